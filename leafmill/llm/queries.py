@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .packing import op10_packing
+from .quality import op4_quality
+from .sstable import op6_sstable
 
 QUERIES = {
+    "op4_quality": op4_quality,
+    "op6_sstable": op6_sstable,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
