@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .neardup import op9_neardup
 from .packing import op10_packing
+from .pii import op3_pii
 from .quality import op4_quality
 from .sstable import op6_sstable
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_sstable": op6_sstable,
+    "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
