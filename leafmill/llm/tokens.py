@@ -9,7 +9,8 @@ import numpy as np
 
 #: File used where no path is given; looked up on the executor, never copied.
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-_SAFE = re.compile(r" \S(?:.*\S)?", re.S)
+#: A word of Latin letters and the ASCII marks that follow it: two runs of pre-tokens of their own.
+_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -19,12 +20,13 @@ class ChunkEncoder:
 
     A byte-level BPE never merges across its pre-tokens, and a space after a non-space always opens
     a pre-token. A text is therefore cut before such spaces; each distinct chunk goes through the
-    library once while the memo holds it. Chunks that begin with a space and end in a non-space are
-    encoded jointly, as one string, and cut apart by byte lengths. Texts with a special token's
+    library once while the memo holds it, words apart from the marks after them. Chunks that begin
+    with at most one space and end in a non-space are encoded jointly, as one string, and cut apart by
+    byte lengths. Texts with a special token's
     string or U+0000 go through the library whole. The memo is emptied at max_memo entries.
     """
 
-    def __init__(self, path: str, max_memo: int = 400_000):
+    def __init__(self, path: str, max_memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,45 +44,63 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        joint = [c for c in chunks if _SAFE.fullmatch(c)]
-        single = [c for c in chunks if not _SAFE.fullmatch(c)]
-        for k in range(0, len(joint), 2000):
-            part = joint[k : k + 2000]
-            raw = self._whole(["".join(part)])[0]
-            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part])
-            reached = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
-            last = np.searchsorted(reached, ends)
-            if last[-1] >= len(reached) or (reached[last] != ends).any():
-                single += part
-                continue
-            begin = 0
-            for c, end in zip(part, (last + 1) * 4):
-                self.memo[c] = raw[begin:end]
-                begin = end
+    def _learn(self, chunks: set[str]) -> None:
+        memo, parts = self.memo, {}
+        for c in chunks:
+            if m := _MARKED.fullmatch(c):
+                parts[c] = m.groups()
+        todo = chunks.difference(parts).union(*parts.values()).difference(memo) if parts else chunks
+        spaced, bare, single = [], [], []
+        for c in sorted(todo):
+            if c[0].isspace() and (c[0] != " " or len(c) == 1 or c[1].isspace()) or c[-1].isspace():
+                single.append(c)
+            else:
+                (spaced if c[0] == " " else bare).append(c)
+        for group, between in ((spaced, ""), (bare, "\n")):
+            for k in range(0, len(group), 2000):
+                single += self._learn_joint(group[k : k + 2000], between)
         if single:
-            self.memo.update(zip(single, self._whole(single)))
+            memo.update(zip(single, self._whole(single)))
+        for c, (word, marks) in parts.items():
+            memo[c] = memo[word] + memo[marks]
+
+    def _learn_joint(self, chunks: list[str], between: str) -> list[str]:
+        """Learn chunks from one string; gives them back if its tokens don't end where they do."""
+        raw = self._whole([between.join(chunks)])[0]
+        reached = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
+        sizes = np.array([len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+        ends = np.cumsum(sizes + len(between)) - len(between)
+        begins = ends - sizes
+        last, first = np.searchsorted(reached, ends), np.searchsorted(reached, begins, side="right")
+        if last[-1] >= len(reached) or (reached[last] != ends).any() or (begins[1:] != reached[first[1:] - 1]).any():
+            return chunks
+        for c, a, b in zip(chunks, (first * 4).tolist(), ((last + 1) * 4).tolist()):
+            self.memo[c] = raw[a:b]
+        return []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; texts of one call may share the work on new chunks."""
         if len(self.memo) > self.max_memo:
             self.memo = {"": b""}
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[list[str] | None] = [None] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
+        open_texts: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        get = self.memo.get
         for i, text in enumerate(texts):
             if "\x00" in text or any(s in text for s in self.special):
                 out[i] = self._whole([text])[0]
-            elif "  " in text:
-                cut[i] = _CUT.split(text)
+                continue
+            chunks = _CUT.split(text) if "  " in text else text.replace(" ", "\x00 ").split("\x00")
+            ids = list(map(get, chunks))
+            if None in ids:
+                new.update(c for c, x in zip(chunks, ids) if x is None)
+                open_texts.append((i, chunks))
             else:
-                cut[i] = text.replace(" ", "\x00 ").split("\x00")
-        new = set().union(*(c for c in cut if c is not None)).difference(self.memo)
+                out[i] = b"".join(ids)
         if new:
-            self._learn(sorted(new))
-        get = self.memo.__getitem__
-        for i, chunks in enumerate(cut):
-            if chunks is not None:
-                out[i] = b"".join(map(get, chunks))
+            self._learn(new)
+        for i, chunks in open_texts:
+            out[i] = b"".join(map(get, chunks))
         return out
 
 
