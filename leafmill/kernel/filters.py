@@ -17,21 +17,30 @@ MAX_DECODED = 256 << 20
 
 def flate(data: bytes) -> bytes:
     """zlib, else raw deflate, else raw deflate after a broken two-byte header; what was decoded before damage is kept."""
-    best = None
+    best = b""
     for wbits, raw in ((15, data), (-15, data), (-15, data[2:])):
-        engine = zlib.decompressobj(wbits)
+        engine, out = zlib.decompressobj(wbits), bytearray()
         try:
-            return engine.decompress(raw, MAX_DECODED) + engine.flush()
+            for i in range(0, len(raw), 1 << 16):
+                out += engine.decompress(raw[i : i + (1 << 16)], MAX_DECODED - len(out) + 1)
+                if engine.eof or len(out) > MAX_DECODED:
+                    return bytes(out[:MAX_DECODED])
         except zlib.error:
-            engine, out = zlib.decompressobj(wbits), bytearray()
-            try:
-                for i in range(0, len(raw), 256):
-                    out += engine.decompress(raw[i : i + 256])
-            except zlib.error:
-                pass
-            if len(out) > len(best or b""):
-                best = bytes(out)
-    return data if best is None else best
+            out = _until_damage(raw, wbits)
+        if len(out) > len(best):
+            best = bytes(out)
+    return best or data
+
+
+def _until_damage(raw: bytes, wbits: int) -> bytearray:
+    """What a damaged stream holds before its damage, to a few bytes."""
+    engine, out = zlib.decompressobj(wbits), bytearray()
+    try:
+        for i in range(0, len(raw), 64):
+            out += engine.decompress(raw[i : i + 64], MAX_DECODED)
+    except zlib.error:
+        pass
+    return out
 
 
 def ascii85(data: bytes) -> bytes:
