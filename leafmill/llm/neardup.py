@@ -9,10 +9,10 @@ retains the SKETCH least values. Documents with equal sets are one class from th
   prefixes enter the inverted lists. Values of passages that thousands of documents share come last, and rarely enter.
 * A list is linked as stars first: its members, by size class, with the least member of their own and the two
   neighbouring size classes. That is linear in the list, and joins groups of copies, however large.
-* What the stars leave open - members of one list in different components - is compared in blocks of bounded
-  size by the overlap of their sketches, so no link depends on which member was a centre.
 * Every candidate passes the union-sketch estimate, then the exact Jaccard of the full sets of both texts.
-  Components come from rounds of contraction, with tables staged between rounds.
+* What the stars leave open - members of one list in different components - is compared in blocks of bounded
+  size, by sketches first and then by full sets, so no link depends on which member was a centre.
+* Components come from rounds of contraction, with tables staged between rounds.
 """
 
 from __future__ import annotations
@@ -168,68 +168,122 @@ def stars(lists: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def block_pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[np.ndarray], diagonal: bool) -> list[tuple[int, int]]:
-    """Pairs of different labels, of fitting sizes, whose sketches share enough; off the diagonal, across the two sides only."""
-    values, where = np.unique(np.concatenate(sketches), return_inverse=True)
-    owner = np.repeat(np.arange(len(node)), [len(s) for s in sketches])
+def _shared(sets: list[np.ndarray]):
+    """For each set in turn, how many values it shares with every set, through the inverted lists of all of them."""
+    lengths = [len(s) for s in sets]
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), lengths)
     order = np.argsort(where, kind="stable")
     members, first = owner[order], np.searchsorted(where[order], np.arange(len(values) + 1))
-    begin = np.concatenate([[0], np.cumsum([len(s) for s in sketches])])
-    out = []
-    for i in range(len(node)):
-        shared = np.bincount(np.concatenate([members[first[v] : first[v + 1]] for v in where[begin[i] : begin[i + 1]]]), minlength=len(node))
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    for i in range(len(sets)):
+        yield np.bincount(np.concatenate([members[first[v] : first[v + 1]] for v in where[begin[i] : begin[i + 1]]]), minlength=len(sets))
+
+
+def _open_to(i: int, n: np.ndarray, label: np.ndarray, side: np.ndarray, diagonal: bool) -> np.ndarray:
+    """Which members i is to be compared with: of another label, of a fitting size, off the diagonal of the other side."""
+    fit = (label != label[i]) & (100 * n >= THRESHOLD * n[i]) & (100 * n[i] >= THRESHOLD * n)
+    return fit if diagonal else fit & (side != side[i])
+
+
+def near_members(n: np.ndarray, label: np.ndarray, side: np.ndarray, sketches: list[np.ndarray], diagonal: bool) -> np.ndarray:
+    """Which members of a block pair share enough retained values with a member that they are to be compared with."""
+    found = np.zeros(len(n), bool)
+    for i, shared in enumerate(_shared(sketches)):
         need = np.where(np.maximum(n, n[i]) <= SKETCH, -(-3 * (n + n[i]) // 7), MIN_OVERLAP)
-        fit = (shared >= need) & (label != label[i]) & (node > node[i]) & (100 * n >= THRESHOLD * n[i]) & (100 * n[i] >= THRESHOLD * n)
-        if not diagonal:
-            fit &= side != side[i]
-        out += [(int(node[i]), int(x)) for x in node[fit]]
-    return out
+        fit = (shared >= need) & _open_to(i, n, label, side, diagonal)
+        found |= fit
+        found[i] |= fit.any()
+    return found
+
 
+def linking_pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], diagonal: bool) -> list[tuple[int, int]]:
+    """Links between the full sets of a block pair, as many as join its labels: none closes a circle."""
+    root = {x: x for x in label.tolist()}
 
-def _rest(batches):
-    """Block pairs, rows of each together: (value, one, two, node, n, label, side, sketch)."""
-    names = ("node", "n", "label", "side", "sketch")
-    held, key = {k: [] for k in names}, None
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    def flush():
-        if key is None or len(set(held["label"])) < 2:
-            return []
-        arrays = [np.array(held[k], np.int64) for k in names[:4]]
-        return block_pairs(*arrays, [np.array(s, np.int64) for s in held["sketch"]], key[1] == key[2])
+    out = []
+    for i, shared in enumerate(_shared(sets)):
+        fit = (100 * shared >= THRESHOLD * (n + n[i] - shared)) & _open_to(i, n, label, side, diagonal)
+        for k in np.nonzero(fit)[0]:
+            a, b = find(int(label[i])), find(int(label[k]))
+            if a != b:
+                root[a] = b
+                out.append((int(node[i]), int(node[k])))
+    return out
 
-    found: set[tuple[int, int]] = set()
+
+def _by_group(batches, handle):
+    """Rows of each (centre, one, two), which come together, as columns."""
+    held, key = {}, None
     for batch in batches:
         columns = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
-        for i, k in enumerate(zip(columns["value"], columns["one"], columns["two"])):
+        for i, k in enumerate(zip(columns["centre"], columns["one"], columns["two"])):
             if k != key:
-                found.update(flush())
-                held, key = {c: [] for c in names}, k
-            for c in names:
-                held[c].append(columns[c][i])
-        if len(found) > 100_000:
-            yield _pairs(found)
-            found.clear()
-    found.update(flush())
-    yield _pairs(found)
+                if key is not None:
+                    yield from handle(key, held)
+                held, key = {c: [] for c in columns}, k
+            for c, rows in held.items():
+                rows.append(columns[c][i])
+    if key is not None:
+        yield from handle(key, held)
+
+
+def _near(batches):
+    def handle(key, held):
+        if len(set(held["label"])) < 2:
+            return
+        n, label, side = (np.array(held[c], np.int64) for c in ("n", "label", "side"))
+        keep = np.nonzero(near_members(n, label, side, [np.array(s, np.int64) for s in held["sketch"]], key[1] == key[2]))[0]
+        if len(keep):
+            columns = [np.full(len(keep), k) for k in key] + [np.array(held["node"], np.int64)[keep], label[keep], side[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["centre", "one", "two", "node", "label", "side"])
+
+    yield from _by_group(batches, handle)
+
 
+def _link(batches):
+    def handle(key, held):
+        node, label, side = (np.array(held[c], np.int64) for c in ("node", "label", "side"))
+        sets = [np.frombuffer(s, np.uint64) for s in held["full"]]
+        found = linking_pairs(node, np.array([len(s) for s in sets]), label, side, sets, key[1] == key[2])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-def _pairs(found) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    yield from _by_group(batches, handle)
 
 
-def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs that the stars left open: members of one list whose components differ, in blocks."""
+def _full_sets(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in _bytes(batch.column(1))], pa.binary())], names=["node", "full"])
+
+
+def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links that the stars left open, staged: among members of one list whose components differ.
+
+    Lists with the same least member are joined, as those of one passage or one group of copies mostly are, and cut into
+    blocks. The sketches tell which members of a pair of blocks have someone to be compared with; only their full
+    sets are sent after them, and compared there. What comes out is linear in the members.
+    """
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = labelled.groupBy("value").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 2 and low <> high").select("value", "size")
-    members = staged(labelled.join(open_lists, "value"), "open-lists")
-    nodes = members.select("node").distinct()
-    sketches = _picked(classes, nodes, members.count()).select("node", "n", "sketch")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    side = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    open_lists = labelled.groupBy("value").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("centre"))
+    open_lists = open_lists.where("size > 2 and low <> high").select("value", "centre")
+    members = staged(labelled.join(open_lists, "value").select("centre", "node", "n", "label").distinct(), "open-members")
+    sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    side = members.join(sizes, "centre").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
     paired = side.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
-    rows = paired.join(sketches, ["node", "n"]).select("value", "one", "two", "node", "n", "label", "side", "sketch")
-    return rows.repartition("value", "one", "two").sortWithinPartitions("value", "one", "two").mapInArrow(_rest, "a long, b long")
+    sketches = _picked(classes, members.select("node").distinct(), members.count())
+    rows = paired.join(sketches, ["node", "n"]).select("centre", "one", "two", "node", "n", "label", "side", "sketch")
+    rows = rows.repartition("centre", "one", "two").sortWithinPartitions("centre", "one", "two")
+    near = staged(rows.mapInArrow(_near, "centre long, one long, two long, node long, label long, side long"), "near-members")
+    nodes = near.select("node").distinct()
+    full = _picked(texts, nodes, near.count()).select("node", "text").mapInArrow(_full_sets, "node long, full binary").distinct()
+    rows = near.join(full, "node").repartition("centre", "one", "two").sortWithinPartitions("centre", "one", "two")
+    return staged(rows.select("centre", "one", "two", "node", "label", "side", "full").mapInArrow(_link, "a long, b long"), "more-links")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -252,7 +306,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     lists = staged(inverted_lists(classes), "lists")
     whole = texts.withColumnRenamed("doc_id", "node").where("node is not null")
     links = verify(stars(lists), classes, whole)
-    more = verify(rest(lists, components(links), classes), classes, whole)
+    more = rest(lists, components(links), classes, whole)
     labels = components(links.unionByName(more).unionByName(copies))
     return sketched.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
@@ -262,8 +316,10 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component, with all its columns; rows with a null doc_id stay."""
-    verdicts = deduplicate(documents).where("not kept").select("doc_id").distinct()
-    return documents.join(verdicts, "doc_id", "left_anti").select(*documents.columns)
+    dropped = staged(deduplicate(documents).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return documents.join(dropped, documents["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
