@@ -283,7 +283,7 @@ def find(documents: DataFrame, redacted: bool = False) -> DataFrame:
     added = discover(documents)
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(documents[c] for c in documents.columns)).alias("row")] if redacted else []))
     if added is not None:
-        hashed = keyed.mapInArrow(_with_key, keyed.schema.add("h", T.LongType()))
+        hashed = keyed.mapInArrow(_with_key, T.StructType([*keyed.schema.fields, T.StructField("h", T.LongType())]))
         keyed = hashed.join(added, ["doc_id", "h"], "left").drop("h").select(*keyed.columns[: 3 if redacted else 2], "found")
     schema = T.StructType([f for f in FOUND if redacted or f.name != "text"])
     if redacted:
