@@ -121,12 +121,12 @@ def mix_documents(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     if taken.count() <= BROADCAST_DOCUMENTS:
         taken = F.broadcast(taken)
     on = (
-        documents["doc_id"].cast("long").eqNullSafe(F.col("taken_doc_id"))
-        & (F.coalesce(documents["lang"].cast("string"), F.lit("")) == F.col("taken_lang"))
-        & (F.coalesce(documents["source"].cast("string"), F.lit("")) == F.col("taken_source"))
+        documents["doc_id"].cast("long").eqNullSafe(taken["taken_doc_id"])
+        & (F.coalesce(documents["lang"].cast("string"), F.lit("")) == taken["taken_lang"])
+        & (F.coalesce(documents["source"].cast("string"), F.lit("")) == taken["taken_source"])
     )
-    joined = documents.join(taken, on)
-    return joined.withColumn("taken_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*(documents[c] for c in documents.columns))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), taken["times"]))
+    return documents.join(taken, on).select(*(documents[c] for c in documents.columns), copies.alias("_copy")).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
