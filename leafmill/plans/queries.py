@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import clean, dates, filters, geometry, images, layout
+from leafmill.functions import clean, dates, filters, geometry, images, layout, tables
 from leafmill.functions import text as codes
 from leafmill.operators import formats, relational
 from leafmill.operators.fixtures import write_documents
@@ -102,6 +102,14 @@ def pdf_guards(spark, sf_dir):
     return parse(written, Options(max_safe_size=2000)).where("status in ('too_large', 'error')").select("doc_id", "status")
 
 
+@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, 612.0::DOUBLE AS width, CAST(len(list_slice(lines, (n - 1) * {LINES} + 1, n * {LINES})) AS INTEGER) AS n_runs FROM p WHERE n <= 100")
+def pdf_sql_pages(spark, sf_dir):
+    """Pages by a table function in SQL, one lateral join."""
+    tables.register(spark)
+    fixtures(spark, sf_dir).createOrReplaceTempView("_pdf_fixtures")
+    return spark.sql("SELECT d.doc_id, p.page_number, p.width, p.n_runs FROM _pdf_fixtures d, LATERAL pdf_pages(d.content) p")
+
+
 # -- inspection
 
 @query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, operator, CASE operator WHEN 'Tj' THEN k WHEN 'Td' THEN k + 1 ELSE 1 END AS n_operations FROM (SELECT doc_id, n, len(list_slice(lines, (n - 1) * {LINES} + 1, n * {LINES})) AS k FROM p), (SELECT unnest(['BT', 'ET', 'Tf', 'Td', 'Tj']) AS operator) WHERE operator <> 'Tj' OR k > 0")

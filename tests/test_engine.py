@@ -149,3 +149,27 @@ def test_odd_images_and_failed_page_text(spark):
     from leafmill.operators.parse import FAILED_PAGE, result
 
     assert result(runs).first()["text"] == FAILED_PAGE
+
+
+def test_api_and_preview(spark, tmp_path):
+    from leafmill import api
+    from leafmill.__main__ import preview
+
+    path = tmp_path / "a.pdf"
+    path.write_bytes(writer.text_pdf("hello", "Title"))
+    assert api.files_to_markdown(spark, str(tmp_path)).first()["markdown"].startswith("# Title")
+    assert json.loads(api.files_to_json(spark, str(tmp_path)).first()["json"])["text"] == "hello"
+    df = spark.createDataFrame([(1, path.read_bytes())], "k long, c binary")
+    assert api.buffers_to_markdown(df, "k", "c").first()["markdown"].endswith("hello") and json.loads(api.buffers_to_json(df, "k", "c").first()["json"])["text"] == "hello"
+    assert api.images_of_files(spark, str(tmp_path)).count() == api.images_of_buffers(df, "k", "c").count() == 0
+    assert "1 pages" in preview(str(path)) and "hello" in preview(str(path))
+
+
+def test_table_functions(spark):
+    from leafmill.functions import tables
+
+    tables.register(spark)
+    spark.createDataFrame([(1, writer.text_pdf("a\nb"))], "k long, c binary").createOrReplaceTempView("held")
+    assert [r["text"] for r in spark.sql("SELECT r.text FROM held, LATERAL pdf_runs(c) r ORDER BY r.seq").collect()] == ["a", "b"]
+    assert spark.sql("SELECT o.* FROM held, LATERAL pdf_operations(c) o WHERE operator = 'Tj'").count() == 2
+    assert spark.sql("SELECT o.* FROM held, LATERAL pdf_objects(c) o WHERE kind = 'stream'").count() == 2
