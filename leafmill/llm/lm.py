@@ -79,18 +79,11 @@ class Model:
     end: int
 
     def tables(self) -> None:
-        """Projections by token, scaled so that no exponential can overflow."""
+        """Projections by token."""
         w, f = self.weights, self.features
-        self.q, self.k, self.v, self.r = (np.ascontiguousarray(f @ w[n], np.float32) for n in ("q", "k", "v", "r"))
-        reach = np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max() + np.abs(w["distance"]).max()
-        shrink = max(1.0, reach / 60)
-        self.q /= shrink
-        self.bias = (distance_bias(w["distance"]) / np.float32(shrink)).astype(np.float32)
-        top = np.linalg.norm(self.v, axis=1).max() + np.linalg.norm(self.r, axis=1).max()
-        reach = top * np.linalg.norm(w["out"], axis=0).max() + np.abs(w["class"]).max()
-        shrink = np.float32(max(1.0, reach / 60))
-        self.out, self.class_bias = w["out"] / shrink, w["class"] / shrink
-        self.kv, self.qr = np.concatenate([self.k, self.v], 1), np.concatenate([self.q, self.r], 1)
+        q, k, v, r = (np.asarray(f @ w[n], np.float32) for n in ("q", "k", "v", "r"))
+        self.bias, self.out, self.class_bias = distance_bias(w["distance"]).astype(np.float32), w["out"], w["class"]
+        self.kv, self.qr = np.concatenate([k, v], 1), np.concatenate([q, r], 1)
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log P of targets (n, STEP), given windows (n, WINDOW) whose last STEP tokens precede them."""
@@ -100,6 +93,7 @@ class Model:
             kv, qr = self.kv.take(ids, axis=0), self.qr.take(ids[:, WINDOW - STEP :], axis=0)
             s = np.matmul(qr[:, :, :WIDTH], kv[:, :, :WIDTH].transpose(0, 2, 1))
             s += self.bias
+            s -= s.max(2, keepdims=True)
             np.exp(s, out=s)
             h = np.matmul(s, kv[:, :, WIDTH:])
             h /= s.sum(2, keepdims=True)
@@ -107,6 +101,7 @@ class Model:
             z = h.reshape(-1, WIDTH) @ self.out
             z += self.class_bias
             flat = goal.ravel()
+            z -= z.max(1, keepdims=True)
             own = z[np.arange(len(flat)), self.classes[flat]]
             np.exp(z, out=z)
             out[a : a + BATCH_WINDOWS] = (own - np.log(z.sum(1)) + self.log_within[flat]).reshape(goal.shape)
@@ -223,18 +218,20 @@ def gradients(w: dict[str, np.ndarray], features: np.ndarray, windows: np.ndarra
     }
 
 
-def train(w: dict[str, np.ndarray], features: np.ndarray, windows: np.ndarray, goals: np.ndarray, epochs: int, rate: float, seed: int = 6, batch: int = 64) -> dict[str, np.ndarray]:
-    """Adam over batches of windows, from weights w."""
+def train(w: dict[str, np.ndarray], features: np.ndarray, windows: np.ndarray, goals: np.ndarray, epochs: int, rate: float, seed: int = 6, batch: int = 64, warm: int = 50) -> dict[str, np.ndarray]:
+    """Adam over batches of windows, from weights w; the rate rises over warm batches and falls to 0, or stays (warm = 0)."""
     w = {k: x.copy() for k, x in w.items()}
     m, s, step, rng = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, np.random.default_rng(seed)
+    batches = max(1, len(windows) // batch)
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // batch)):
+        for part in np.array_split(rng.permutation(len(windows)), batches):
             _, g = gradients(w, features, windows[part], goals[part])
             step += 1
+            now = rate * min(1.0, step / warm) * (1 - step / (batches * epochs + 1)) if warm else rate
             for name in w:
                 m[name] = 0.9 * m[name] + 0.1 * g[name]
                 s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
-                w[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                w[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return w
 
 
@@ -303,8 +300,8 @@ def fit(texts: DataFrame, counts: DataFrame, vocabulary: str | None = None) -> M
     weights = start_weights()
     weights["class"] = np.log(by_class.clip(1e-3) / by_class.sum()).clip(-20, 0).astype(np.float32)
     if sequences:
-        windows, targets, real, _ = cut_windows([s[: 64 * STEP] for s in sequences], end)
-        weights = train(weights, features, windows, _goals(classes, targets, real), epochs=2, rate=0.01)
+        windows, targets, real, _ = cut_windows(sequences, end)
+        weights = train(weights, features, windows, _goals(classes, targets, real), epochs=3, rate=0.005)
         weights = _train_on_all(learning, weights, features, classes, end, vocabulary)
     return Model(features, classes, within, weights, end)
 
@@ -327,7 +324,7 @@ def _train_on_all(learning: DataFrame, weights: dict, features: np.ndarray, clas
                 sequences.append(subwords(words, enc, end)[:STEP])
             if sequences:
                 windows, targets, real, _ = cut_windows(sequences, end)
-                own = train(own, f, windows, _goals(c, targets, real), epochs=1, rate=0.001)
+                own = train(own, f, windows, _goals(c, targets, real), epochs=1, rate=0.0005, warm=0)
                 n += len(windows)
         if n:
             flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * n
