@@ -21,6 +21,8 @@ from .common import WORD_PATTERN, require, staged
 
 #: Selected documents up to this many are broadcast to pick rows; beyond, the join shuffles.
 BROADCAST_DOCUMENTS = 300_000
+#: Leaves, by epoch, up to this many are broadcast to their documents; beyond, the join shuffles.
+BROADCAST_LEAVES = 100_000
 LEAF = ["domain", "lang", "source"]
 
 
@@ -65,10 +67,11 @@ def _divide(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """(domain, lang, source, tokens, budget) from leaves (domain, lang, source, tokens)."""
     capped = leaves.withColumn("cap", F.col("tokens") * mix.epochs)
-    total = capped.agg(F.floor(F.sum("tokens") * mix.percent / 100).cast("long").alias("budget"))
     by_lang = capped.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    by_domain = by_lang.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    one = _divide(by_domain.join(F.broadcast(total)).withColumn("weight", _weight(mix.domains, "domain")), [], "domain")  # total: one row
+    by_domain = capped.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    by_domain = by_domain.withColumn("budget", F.floor(total * mix.percent / 100).cast("long")).drop("tokens")
+    one = _divide(by_domain.withColumn("weight", _weight(mix.domains, "domain")), [], "domain")
     two = _divide(by_lang.join(one.select("domain", "budget"), "domain").withColumn("weight", _weight(mix.langs, "lang")), ["domain"], "lang")
     three = _divide(capped.join(two.select("domain", "lang", "budget"), ["domain", "lang"]).withColumn("weight", _weight(mix.sources, "source")), ["domain", "lang"], "source")
     return three.select(*LEAF, "tokens", "budget")
@@ -100,14 +103,15 @@ def select(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
         .withColumn("part", F.greatest(F.lit(0), F.least("tokens", F.col("budget") - F.col("epoch") * F.col("tokens")))).where("part > 0"),
         "mix-budgets",
     )
-    whole = rows.join(parts.where("part = tokens"), LEAF)
+    small = F.broadcast if parts.count() <= BROADCAST_LEAVES else (lambda df: df)
+    whole = rows.join(small(parts.where("part = tokens")), LEAF)
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    cut = rows.join(parts.where("part < tokens"), LEAF).withColumn("order", order).withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
+    cut = rows.join(small(parts.where("part < tokens")), LEAF).withColumn("order", order).withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
     up_to = Window.partitionBy(*LEAF, "epoch").orderBy("bucket")
     sums = cut.groupBy(*LEAF, "epoch", "part", "bucket").agg(F.sum("n_tokens").alias("held"))
     summed = sums.withColumn("reached", F.sum("held").over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
     ends = summed.where("reached > part").groupBy(*LEAF, "epoch").agg(F.min(F.struct("bucket", (F.col("reached") - F.col("held")).alias("before"))).alias("end")).select(*LEAF, "epoch", "end.*")
-    placed = cut.join(ends.withColumnRenamed("bucket", "end"), [*LEAF, "epoch"])
+    placed = cut.join(small(ends.withColumnRenamed("bucket", "end")), [*LEAF, "epoch"])
     running = Window.partitionBy(*LEAF, "epoch", "bucket").orderBy("order", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     last = placed.where("bucket = end").withColumn("run", F.sum("n_tokens").over(running) + F.col("before")).where("run <= part")
     names = ["doc_id", *LEAF, "n_tokens", "epoch", F.col("budget").alias("leaf_budget")]
