@@ -6,9 +6,8 @@ line found in more documents than the host's limit is boilerplate; it is removed
 documents, and a document that is left with too little of its text is rejected.
 
 Copies of a text say nothing about boilerplate and are the near-duplicate stage's to remove. The
-documents counted are therefore distinct by a one-value sketch of their lines, the least line hash:
-copies, exact and mostly the near ones too, share it and count once, while documents that share only
-boilerplate have a least line of their own.
+documents counted are therefore distinct by a hash of the whole text, normalised as lines are: texts
+that are equal but for case, digits and white space count once, any others each.
 """
 
 from __future__ import annotations
@@ -49,6 +48,11 @@ def line_hash(line: bytes) -> int | None:
     return xxhash.xxh3_64_intdigest(_DIGITS.sub(b"0", b" ".join(words))) - (1 << 63)
 
 
+def text_hash(text: bytes) -> int:
+    """Signed 64-bit hash of a whole text, normalised as lines are."""
+    return xxhash.xxh3_64_intdigest(_DIGITS.sub(b"0", b" ".join(text.lower().split()))) - (1 << 63)
+
+
 def statistics(text: bytes) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text in UTF-8."""
     words = text.split()
@@ -84,23 +88,23 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def _occurrences(batches):
-    """(host, line, document sketch) of each distinct line of a document."""
+    """(host, line, hash of the document's text) of each distinct line of a document."""
     for batch in batches:
         hosts = batch.column(0)
-        row, lines, sketch = [], [], []
+        row, lines, texts = [], [], []
         for i, text in enumerate(_texts(batch)):
             own = {h for x in text.split(b"\n") if (h := line_hash(x)) is not None}
             if own:
                 row += [i] * len(own)
                 lines += own
-                sketch += [min(own)] * len(own)
-        yield pa.RecordBatch.from_arrays([hosts.take(pa.array(row, pa.int64())), pa.array(lines, pa.int64()), pa.array(sketch, pa.int64())], names=["host", "line", "sketch"])
+                texts += [text_hash(text)] * len(own)
+        yield pa.RecordBatch.from_arrays([hosts.take(pa.array(row, pa.int64())), pa.array(lines, pa.int64()), pa.array(texts, pa.int64())], names=["host", "line", "text"])
 
 
 def hot_lines(documents: DataFrame, host: str = "source") -> DataFrame:
     """(host, line, n_docs) of the lines above their host's limit, over all documents."""
     held = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string"))
-    occurrences = held.mapInArrow(_occurrences, "host string, line long, sketch long").distinct()
+    occurrences = held.mapInArrow(_occurrences, "host string, line long, text long").distinct()
     counts = occurrences.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > LIMIT_DOCUMENTS)
     sizes = held.groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(sizes, "host").where(F.col("n_docs") > F.col("host_docs") * LIMIT_SHARE).select("host", "line", "n_docs")
