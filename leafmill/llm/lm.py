@@ -3,8 +3,8 @@
 The text is its lower-case words (A-Z), each after one space, cut into sub-words by a public vocabulary, then an
 end. The model gives the next sub-word as P(class | context) P(sub-word | class):
 
-* Classes and the tokens' feature vectors come from neighbour counts in a bounded sample of training documents
-  (SAMPLE_DOCUMENTS, by least hashes): singular vectors, then k-means.
+* Classes and the tokens' feature vectors come from neighbour counts (ids by the CONTEXTS commonest ids, on both sides)
+  over all training documents, summed in Spark: singular vectors, then k-means.
 * P(sub-word | class) comes from counts over all words of all training documents.
 * P(class | context) is one causal self-attention layer. Queries, keys, values and a direct path are projections of the
   token's features, so they are tables by token; attention adds a learnt bias by distance. It is trained by
@@ -39,6 +39,9 @@ HEAD_WORDS = 500_000
 #: Words counted in memory before a partial count is passed on.
 PARTIAL_WORDS = 400_000
 BATCH_WINDOWS = 96
+#: Ids of texts held at once while counting and training, and neighbour counts sent to the driver at once.
+SEQUENCE_IDS = 400_000
+CELLS_AT_ONCE = 4_000_000
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _ENCODINGS: dict = {}
@@ -140,33 +143,48 @@ def score_sequences(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(p.sum(1), first) / np.log(10)
 
 
-def fit_features(sequences: list[np.ndarray], size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(features, classes) of all ids from neighbour counts: singular vectors of both sides, k-means of the left side."""
-    features, classes = np.zeros((size, FEATURES), np.float32), np.arange(size) % CLASSES
-    if not sequences:
-        return features, classes
-    ids = np.concatenate([np.concatenate([[size - 1], s]) for s in sequences])
-    seen, index = np.unique(ids, return_inverse=True)
-    top = np.argsort(-np.bincount(index), kind="stable")[:CONTEXTS]
-    column = np.full(len(seen), -1)
-    column[top] = np.arange(len(top))
-    before, after = index[:-1], index[1:]
-    counts = np.zeros((len(seen), 2 * CONTEXTS), np.float32)
+def add_neighbours(counts: np.ndarray, ids: np.ndarray, column: np.ndarray) -> None:
+    """Add to counts (ids, 2 CONTEXTS) how often each of ids follows, and precedes, an id that has a column."""
+    before, after = ids[:-1], ids[1:]
     known = column[before] >= 0
     np.add.at(counts, (after[known], column[before[known]]), 1)
     known = column[after] >= 0
     np.add.at(counts, (before[known], CONTEXTS + column[after[known]]), 1)
+
+
+def context_columns(frequency: np.ndarray) -> np.ndarray:
+    """The column of each id as a context, the commonest first; -1 if it is none."""
+    column = np.full(len(frequency), -1)
+    top = np.argsort(-frequency, kind="stable")[: min(CONTEXTS, np.count_nonzero(frequency))]
+    column[top] = np.arange(len(top))
+    return column
+
+
+def fit_features(sequences: list[np.ndarray], size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(features, classes) of all ids from the neighbours in sequences."""
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.concatenate([[size - 1], s]) for s in sequences)]).astype(np.int64)
+    seen, index = np.unique(ids, return_inverse=True)
+    frequency, counts = np.bincount(index, minlength=len(seen)), np.zeros((len(seen), 2 * CONTEXTS), np.float32)
+    add_neighbours(counts, index, context_columns(frequency))
+    return features_of(seen, frequency, counts, size, seed)
+
+
+def features_of(seen: np.ndarray, frequency: np.ndarray, counts: np.ndarray, size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(features, classes) of all ids from seen ids' frequencies and neighbour counts: singular vectors of both sides, k-means of the left side."""
+    features, classes = np.zeros((size, FEATURES), np.float32), np.arange(size) % CLASSES
+    if not len(seen):
+        return features, classes
     x = np.log1p(counts)
     x /= np.linalg.norm(x, axis=1, keepdims=True).clip(1e-6)
     values, vectors = np.linalg.eigh(x.T @ x)
     e = x @ vectors[:, -FEATURES + 1 :]
     e = e / e.std(0).clip(1e-6)
-    frequency = np.log1p(np.bincount(index))
-    features[seen] = np.concatenate([e, (frequency / frequency.max())[:, None]], 1).clip(-4, 4)
+    share = np.log1p(frequency)
+    features[seen] = np.concatenate([e, (share / share.max())[:, None]], 1).clip(-4, 4)
     rng = np.random.default_rng(seed)
     left = np.log1p(counts[:, :CONTEXTS])
     left /= np.linalg.norm(left, axis=1, keepdims=True).clip(1e-6)
-    weight = np.bincount(index).astype(np.float64) ** 0.5
+    weight = frequency.astype(np.float64) ** 0.5
     centres = left[rng.choice(len(seen), min(CLASSES, len(seen)), replace=False, p=weight / weight.sum())]
     for _ in range(12):
         nearest = (left @ centres.T).argmax(1)
@@ -285,6 +303,53 @@ def subword_counts(counts: DataFrame, vocabulary: str | None) -> np.ndarray:
     return total
 
 
+def neighbour_counts(learning: DataFrame, column: np.ndarray, vocabulary: str | None) -> DataFrame:
+    """(cell, n) over all texts of learning, staged; cell is the id times 2 CONTEXTS, plus the column of its neighbour."""
+    columns = learning.sparkSession.sparkContext.broadcast(column)
+
+    def count(batches):
+        enc, end = encoding(vocabulary)
+        held = np.zeros((end + 1, 2 * CONTEXTS), np.int32)
+        for batch in batches:
+            for sequences in _sequences(batch.column(0), enc, end):
+                add_neighbours(held, np.concatenate([x for s in sequences for x in ([end], s)]), columns.value)
+        flat = held.reshape(-1)
+        cells = np.flatnonzero(flat)
+        for a in range(0, len(cells), 1_000_000):
+            part = cells[a : a + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flat[part], pa.int64())], names=["cell", "n"])
+
+    return staged(learning.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "neighbours")
+
+
+def _sequences(column, enc, end: int):
+    """Lists of the ids of texts, whole, of about SEQUENCE_IDS ids."""
+    held, room = [], 0
+    for text in _bytes(column):
+        held.append(subwords(words_of(text), enc, end))
+        room += len(held[-1])
+        if room > SEQUENCE_IDS:
+            yield held
+            held, room = [], 0
+    if held:
+        yield held
+
+
+def all_features(learning: DataFrame, total: np.ndarray, vocabulary: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """fit_features over all texts of learning, whose ids' counts are total."""
+    found = neighbour_counts(learning, context_columns(total), vocabulary)
+    seen = np.flatnonzero(total)
+    row, counts = np.full(len(total), -1), np.zeros((len(seen), 2 * CONTEXTS), np.float32)
+    row[seen] = np.arange(len(seen))
+    parts = 1 + found.count() // CELLS_AT_ONCE
+    for k in range(parts):  # CELLS_AT_ONCE rows or so
+        cells = found.where(F.pmod("cell", F.lit(parts)) == k).toArrow()
+        cell = cells.column("cell").to_numpy()
+        at = row[cell // (2 * CONTEXTS)]
+        counts[at[at >= 0], cell[at >= 0] % (2 * CONTEXTS)] = cells.column("n").to_numpy()[at >= 0]
+    return features_of(seen, total[seen], counts, len(total))
+
+
 def fit(texts: DataFrame, counts: DataFrame, vocabulary: str | None = None) -> Model:
     """The model from the training rows of texts (doc_id, held_out, text) and their word counts."""
     spark = texts.sparkSession
@@ -293,8 +358,9 @@ def fit(texts: DataFrame, counts: DataFrame, vocabulary: str | None = None) -> M
     least = learning.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCUMENTS)
     sample = learning.join(F.broadcast(least), "doc_id", "left_semi").orderBy("doc_id", "text").limit(SAMPLE_DOCUMENTS).select("text")  # SAMPLE_DOCUMENTS ids
     sequences = [subwords(words_of((r["text"] or "").encode("utf-8", "replace")), enc, end) for r in sample.collect()]
-    features, classes = fit_features(sequences, end + 1)
-    n = subword_counts(counts, vocabulary) + 0.1
+    total = subword_counts(counts, vocabulary)
+    features, classes = all_features(learning, total, vocabulary)
+    n = total + 0.1
     by_class = np.bincount(classes, n, CLASSES)
     within = np.log(n / by_class[classes]).astype(np.float32)
     weights = start_weights()

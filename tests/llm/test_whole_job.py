@@ -1,6 +1,9 @@
 """Operators do the whole job: what a count, a scan or a training round may not leave out."""
 
-from leafmill.llm import quality
+import numpy as np
+from pyspark.sql import functions as F
+
+from leafmill.llm import lm, quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,3 +27,25 @@ def test_documents_that_share_their_least_line_count_each(spark):
     rows += [(100 + i, f"a copied text {shared}\nwith this line", "en", "s", 0) for i in range(30)]  # copies count once
     got = {(r["host"], r["line"]): r["n_docs"] for r in quality.hot_lines(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {("s", quality.line_hash(shared.encode())): 30}
+
+
+# -- language model
+
+def test_features_come_from_all_training_documents(spark, monkeypatch):
+    """As many documents as the sample holds say nothing about most of the words."""
+    monkeypatch.setattr(lm, "SAMPLE_DOCUMENTS", 5)
+    texts = [f"{a} {b} {b} {c}" for a in ("red", "green", "blue") for b in ("house", "garden", "river") for c in ("stands", "falls")] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    enc, end = lm.encoding()
+    model = lm.fit(df, lm.word_counts(df))
+    sequences = [lm.subwords(lm.words_of(t.encode()), enc, end) for t in texts]
+    frequency = np.bincount(np.concatenate(sequences), minlength=end + 1)
+    counts = np.zeros((end + 1, 2 * lm.CONTEXTS), np.float32)
+    for s in sequences:
+        lm.add_neighbours(counts, np.concatenate([[end], s]), column := lm.context_columns(frequency))
+    counts[end, column[end]] = counts[end, lm.CONTEXTS + column[end]] = 0  # how texts follow one another is left to chance
+    seen = np.flatnonzero(frequency)
+    assert (np.abs(model.features[seen]).sum(1) > 0).all()
+    found = {r["cell"]: r["n"] for r in lm.neighbour_counts(df, column, None).collect()}
+    skip = {end * 2 * lm.CONTEXTS + column[end], end * 2 * lm.CONTEXTS + lm.CONTEXTS + column[end]}
+    assert {k: v for k, v in found.items() if k not in skip} == {int(k): int(counts.flat[k]) for k in np.flatnonzero(counts)}
