@@ -8,8 +8,8 @@ end. The model gives the next sub-word as P(class | context) P(sub-word | class)
 * P(sub-word | class) comes from counts over all words of all training documents.
 * P(class | context) is one causal self-attention layer. Queries, keys, values and a direct path are projections of the
   token's features, so they are tables by token; attention adds a learnt bias by distance. It is trained by
-  back-propagation on the sample, then once more on a window of every training document: each partition goes on from
-  the same weights, and the results are averaged.
+  back-propagation on all windows of every training document: each partition goes on from the same weights, and the
+  results are averaged. Those weights are a start from a sample (SAMPLE_DOCUMENTS, by least hashes).
 
 Scoring cuts a document into overlapping windows of WINDOW tokens; each scores its last STEP, so that every token
 is scored once, with at least WINDOW - STEP tokens before it. Batches of windows share masked matrix products.
@@ -18,7 +18,6 @@ is scored once, with at least WINDOW - STEP tokens before it. Batches of windows
 from __future__ import annotations
 
 import base64
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -373,7 +372,7 @@ def fit(texts: DataFrame, counts: DataFrame, vocabulary: str | None = None) -> M
 
 
 def _train_on_all(learning: DataFrame, weights: dict, features: np.ndarray, classes: np.ndarray, end: int, vocabulary: str | None) -> dict:
-    """Each partition trains on from weights, on one window of each of its documents; results are averaged by their windows."""
+    """Each partition trains on from weights, on all windows of its documents; results are averaged by their windows."""
     start = learning.sparkSession.sparkContext.broadcast((weights, features, classes))
     names = sorted(weights)
 
@@ -382,13 +381,7 @@ def _train_on_all(learning: DataFrame, weights: dict, features: np.ndarray, clas
         own, f, c = start.value
         n = 0
         for batch in batches:
-            sequences = []
-            for text in _bytes(batch.column(0)):
-                h = zlib.crc32(text)
-                at = h % max(1, len(text) - 40 * STEP)  # a place in the text; its first, perhaps cut, word is left out
-                words = words_of(text[at : at + 40 * STEP])[1 if at else 0 :][:STEP]
-                sequences.append(subwords(words, enc, end)[:STEP])
-            if sequences:
+            for sequences in _sequences(batch.column(0), enc, end):
                 windows, targets, real, _ = cut_windows(sequences, end)
                 own = train(own, f, windows, _goals(c, targets, real), epochs=1, rate=0.0005, warm=0)
                 n += len(windows)

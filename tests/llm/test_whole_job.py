@@ -49,3 +49,27 @@ def test_features_come_from_all_training_documents(spark, monkeypatch):
     found = {r["cell"]: r["n"] for r in lm.neighbour_counts(df, column, None).collect()}
     skip = {end * 2 * lm.CONTEXTS + column[end], end * 2 * lm.CONTEXTS + lm.CONTEXTS + column[end]}
     assert {k: v for k, v in found.items() if k not in skip} == {int(k): int(counts.flat[k]) for k in np.flatnonzero(counts)}
+
+
+def test_all_windows_of_every_document_train(spark, monkeypatch, tmp_path):
+    """What each partition trains on, told by a file: all ids of long texts, and of more texts than are held at once."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(4)] + ["one line", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    enc, end = lm.encoding()
+    at = str(tmp_path / "goals")
+
+    def train(w, features, windows, goals, **_):
+        with open(at, "a") as f:
+            print(int((goals >= 0).sum()), file=f)
+        return w
+
+    monkeypatch.setattr(lm, "train", train)
+    monkeypatch.setattr(lm, "SEQUENCE_IDS", 2000)
+    weights = lm.start_weights()
+    features, classes = np.zeros((end + 1, lm.FEATURES), np.float32), np.arange(end + 1) % lm.CLASSES
+    run = lm._train_on_all.__get__(df)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: spark.createDataFrame([(r["i"], r["x"], r["n"]) for b in f(iter(self.toArrow().to_batches())) for r in b.to_pylist()], schema))
+    out = run(weights, features, classes, end, None)
+    trained = [int(x) for x in open(at).read().split()]
+    assert sum(trained) == sum(len(lm.subwords(lm.words_of((t or "").encode()), enc, end)) for t in texts) and len(trained) > 1
+    assert all(np.allclose(out[k], weights[k]) for k in weights)
