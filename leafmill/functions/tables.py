@@ -7,13 +7,16 @@ from pyspark.sql.functions import udtf
 
 from leafmill.kernel import document as kernel
 
+#: A limit that no document reaches, for whole documents.
+ALL_PAGES = 2**31 - 1
+
 
 @udtf(returnType="page_number int, width double, height double, n_runs int, n_images int")
 class PdfPages:
     """A row per page of a document."""
 
     def eval(self, content: bytes):
-        for p in kernel.parse(bytes(content or b""))["pages"]:
+        for p in kernel.parse(bytes(content or b""), ALL_PAGES)["pages"]:
             yield p["page_number"], p["width"], p["height"], sum(map(len, p["streams"])), len(p["images"])
 
 
@@ -22,7 +25,7 @@ class PdfRuns:
     """A row per text run of a document."""
 
     def eval(self, content: bytes):
-        for p in kernel.parse(bytes(content or b""), what=frozenset(["text"]))["pages"]:
+        for p in kernel.parse(bytes(content or b""), ALL_PAGES, what=frozenset(["text"]))["pages"]:
             for n, runs in enumerate(p["streams"]):
                 for seq, r in enumerate(runs):
                     yield (p["page_number"], n, seq, *r.values())

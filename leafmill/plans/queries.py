@@ -54,20 +54,20 @@ _PAGE_TEXT = f"array_to_string(list_slice(lines, (n - 1) * {LINES} + 1, n * {LIN
 @query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text FROM p WHERE n <= 100")
 def pdf_roundtrip_text(spark, sf_dir):
     """Flagship: documents to bytes, parsed, laid out within the row, a row per page."""
-    pages = result(parse_raw(fixtures(spark, sf_dir), Options(what=frozenset(["text"])))).select("doc_id", F.explode("pages").alias("p"))
+    pages = result(parse_raw(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"])))).select("doc_id", F.explode("pages").alias("p"))
     return pages.select("doc_id", "p.page_number", "p.text")
 
 
 @query(f"{_PAGES} SELECT doc_id, string_agg({_PAGE_TEXT}, chr(10) || chr(10) ORDER BY n) AS text, count(*) AS n_pages FROM p WHERE n <= 100 GROUP BY doc_id")
 def pdf_document_text(spark, sf_dir):
     """Whole documents through the size guard; page texts joined by a blank line."""
-    return parse(fixtures(spark, sf_dir), Options(what=frozenset(["text"]))).select("doc_id", "text", F.size("pages").cast("long").alias("n_pages"))
+    return parse(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"]))).select("doc_id", "text", F.size("pages").cast("long").alias("n_pages"))
 
 
 @query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text FROM p WHERE n <= 100 AND len(lines) > 0")
 def pdf_roundtrip_window(spark, sf_dir):
     """The same texts by the relational form: a row per run, lag window, ordered aggregation."""
-    runs = text_runs(parse_raw(fixtures(spark, sf_dir), Options(what=frozenset(["text"]))))
+    runs = text_runs(parse_raw(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"]))))
     streams = layout.layout_table(runs, ["doc_id", "page_number", "stream_no"])
     return streams.groupBy("doc_id", "page_number").agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY stream_no)").alias("text"))
 
