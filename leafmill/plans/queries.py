@@ -132,6 +132,12 @@ def pdf_xref_entries(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_in_use"))
 
 
+@query()
+def pdf_xref_all(spark, sf_dir):
+    """Entries in use of every document: tables, streams and recovered files; tested by brute force."""
+    return inspect(fixtures(spark, sf_dir), "xref").where("in_use").groupBy("doc_id").agg(F.count("*").alias("n_in_use"))
+
+
 @query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, 'F1' AS key, 'Type0' AS subtype, 'Identity-H' AS encoding, true AS composite, true AS has_to_unicode FROM p")
 def pdf_fonts(spark, sf_dir):
     """Fonts that pages inherit."""
