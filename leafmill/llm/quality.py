@@ -27,7 +27,7 @@ MAX_REPEAT_PERCENT = 50
 #: A line is above the limit of a host if more distinct documents hold it than both of these.
 LIMIT_DOCUMENTS = 10
 LIMIT_SHARE = 0.002
-#: Lines with fewer words are counted but never removed: they carry no boilerplate worth the gap.
+#: Read by the brute-force test only: lines above the limit are removed whatever their length.
 MIN_LINE_WORDS = 3
 #: A document is depleted if its removed lines hold more than this share of its words.
 DEPLETED_SHARE = 0.7
@@ -158,9 +158,9 @@ def assess(documents: DataFrame, host: str = "source", clean: bool = False) -> D
                 if above:
                     left = []
                     for line in text.split(b"\n"):
-                        if (h := line_hash(line)) is not None and h in above and (w := len(line.split())) >= MIN_LINE_WORDS:
+                        if (h := line_hash(line)) is not None and h in above:
                             hot_n += 1
-                            hot_words += w
+                            hot_words += len(line.split())
                         else:
                             left.append(line)
                     if clean:

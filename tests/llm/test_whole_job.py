@@ -29,6 +29,12 @@ def test_documents_that_share_their_least_line_count_each(spark):
     assert got == {("s", quality.line_hash(shared.encode())): 30}
 
 
+def test_short_lines_above_the_limit_go(spark):
+    rows = [(i, f"Home\nContact us\nonly page {_letters(i)} has this", "en", "s", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert {(r["n_hot_lines"], r["n_hot_words"]) for r in quality.assess(df).collect()} == {(2, 3)}
+
+
 # -- language model
 
 def test_features_come_from_all_training_documents(spark, monkeypatch):
