@@ -4,8 +4,8 @@ Base spans come from four checked patterns (e-mail, IP, card, phone). They are t
 words around them become lexical patterns ("a b _", "a _ c", "_ b c"). Every place of the corpus where
 a pattern with enough distinct seeds fits is gathered, and the bipartite graph of patterns and the
 instances they hold is scored for some rounds: a pattern by the mean score of all that it holds, an
-instance by the patterns that hold it. Words that could be no identifier of the kind count against a
-pattern. Patterns of high confidence then mark unseen identifiers of a fitting shape.
+instance by the patterns that hold it. Distinct words that could be no identifier of the kind count
+against a pattern. Patterns of high confidence then mark unseen identifiers of a fitting shape.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ MIN_CONFIDENCE = 0.8
 ROUNDS = 3
 #: Patterns that one scan looks for; more of them take more scans.
 PATTERNS_PER_SCAN = 200_000
+#: Other words that a scan remembers, so as not to pass them on again.
+PARTIAL_WORDS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -145,8 +147,8 @@ def seed_patterns(text: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def fitting(text: str, wanted: dict[str, tuple[str, ...]], lefts: set, arounds: set, rights: set, other: Counter) -> list[tuple]:
-    """(pattern, kind, instance, start, end) of unseen identifiers where wanted patterns fit; other counts what else they hold."""
+def fitting(text: str, wanted: dict[str, tuple[str, ...]], lefts: set, arounds: set, rights: set, other: set) -> list[tuple]:
+    """(pattern, kind, instance, start, end) of unseen identifiers where wanted patterns fit; other gets (pattern, kind, hash) of what else they hold."""
     words = text.lower().split()
     if not (lefts.intersection(zip(words, words[1:])) or rights.intersection(zip(words, words[1:])) or arounds.intersection(zip(words, words[2:]))):
         return []
@@ -170,27 +172,27 @@ def fitting(text: str, wanted: dict[str, tuple[str, ...]], lefts: set, arounds:
                 if _SHAPES[kind].fullmatch(token):
                     out.append((p, kind, _key(token.lower()), a, b))
                 else:
-                    other[p, kind] += 1
+                    other.add((p, kind, _key(token.lower())))
     return out
 
 
 def _scan(wanted: dict[str, tuple[str, ...]]):
-    """A mapInArrow function over (doc_id, text): rows of candidates, and of counts of what else patterns hold."""
+    """A mapInArrow function over (doc_id, text): rows of candidates, and, without a place, of what else patterns hold."""
     split = [p.split(" ") for p in wanted]
     lefts = {(p[0], p[1]) for p in split if p[2] == "_" and p[0] != "_"}
     arounds = {(p[0], p[2]) for p in split if p[1] == "_"}
     rights = {(p[1], p[2]) for p in split if p[0] == "_"}
 
     def scan(batches):
-        other: Counter = Counter()
+        told: set = set()
         for batch in batches:
-            rows = []
+            rows, other = [], set()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text and (found := fitting(text, wanted, lefts, arounds, rights, other)):
                     h = _key(text)
-                    rows += [(doc_id, h, *f, 1) for f in found]
-            rows += [(None, None, p, kind, None, None, None, n) for (p, kind), n in other.items()]
-            other.clear()
+                    rows += [(doc_id, h, *f) for f in found]
+            rows += [(None, None, *x, None, None) for x in other - told]
+            told = told | other if len(told) + len(other) <= PARTIAL_WORDS else other
             yield pa.RecordBatch.from_pylist([dict(zip(PLACES.names, r)) for r in rows], schema=_PLACES_ARROW)
 
     return scan
@@ -198,7 +200,7 @@ def _scan(wanted: dict[str, tuple[str, ...]]):
 
 PLACES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("pattern", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("instance", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("instance", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
 ])
 _PLACES_ARROW = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in PLACES])
 
@@ -212,9 +214,9 @@ def _seeds(batches):
 
 def score_graph(seeds: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence) after some rounds over the pattern-instance graph."""
-    held = places.where(F.col("instance").isNotNull()).select("pattern", "kind", "instance").distinct().withColumn("seed", F.lit(False))
+    held = places.where(F.col("start").isNotNull()).select("pattern", "kind", "instance").distinct().withColumn("seed", F.lit(False))
     edges = staged(seeds.withColumn("seed", F.lit(True)).select("pattern", "kind", "instance", "seed").unionByName(held), "pii-edges")
-    others = places.where(F.col("instance").isNull()).groupBy("pattern", "kind").agg(F.sum("n").alias("n_other"))
+    others = places.where(F.col("start").isNull()).select("pattern", "kind", "instance").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("n_other"))
     scores = edges.select("kind", "instance", "seed").distinct().groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     patterns = None
     for _ in range(rounds):
@@ -248,10 +250,10 @@ def discover(documents: DataFrame) -> DataFrame | None:
     if places is None:
         return None
     places = staged(places, "pii-places")
-    if places.where(F.col("instance").isNotNull()).isEmpty():
+    if places.where(F.col("start").isNotNull()).isEmpty():
         return None
     trusted = score_graph(seeds.join(supported.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), places).where(F.col("confidence") >= MIN_CONFIDENCE)
-    found = places.where(F.col("instance").isNotNull()).join(trusted, ["pattern", "kind"], "left_semi")
+    found = places.where(F.col("start").isNotNull()).join(trusted, ["pattern", "kind"], "left_semi")
     found = staged(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("kind", "start", "end")).alias("found")), "pii-found")
     return None if found.isEmpty() else found
 

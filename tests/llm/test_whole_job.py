@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from leafmill.llm import lm, quality
+from leafmill.llm import lm, pii, quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,6 +35,15 @@ def test_short_lines_above_the_limit_go(spark):
     assert {(r["n_hot_lines"], r["n_hot_words"]) for r in quality.assess(df).collect()} == {(2, 3)}
 
 
+# -- personal data
+
+def test_copies_change_no_confidence(spark):
+    rows = [(i, f"please write to user{i}@example.com today") for i in range(20)] + [(99, "please write to someone(at)example(dot)com today")]
+    rows += [(1000 + i, "please write to them today") for i in range(50)]
+    found = {r["doc_id"]: r["n_added"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[99] == 1 and sum(found.values()) == 1
+
+
 # -- language model
 
 def test_features_come_from_all_training_documents(spark, monkeypatch):
