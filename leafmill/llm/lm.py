@@ -1,15 +1,17 @@
 """Language-model scoring: a causal self-attention model over sub-word ids, trained and run in numpy.
 
-The text is its lower-case words (A-Z), each after one space, cut into sub-words by a public vocabulary, then an
-end. The model gives the next sub-word as P(class | context) P(sub-word | class):
-
-* Classes and the tokens' feature vectors come from neighbour counts (ids by the CONTEXTS commonest ids, on both sides)
-  over all training documents, summed in Spark: singular vectors, then k-means.
-* P(sub-word | class) comes from counts over all words of all training documents.
-* P(class | context) is one causal self-attention layer. Queries, keys, values and a direct path are projections of the
-  token's features, so they are tables by token; attention adds a learnt bias by distance. It is trained by
-  back-propagation on all windows of every training document: each partition goes on from the same weights, and the
-  results are averaged. Those weights are a start from a sample (SAMPLE_DOCUMENTS, by least hashes).
+The text is its lower-case words (A-Z), each encoded after one space by a public vocabulary, then an end. The model gives
+the next sub-word as P(class | context) P(sub-word | class, group of the sub-word before):
+
+* Counts first, over all training documents, summed in Spark: how often ids stand beside the CONTEXTS commonest ids. k-means
+  of what precedes an id gives its class, of what follows it its group. A second pass counts ids by the group before
+  them, and classes by the id before them: the second factor, and the start of the first one's direct path.
+* P(class | context) is one causal self-attention layer. Queries, keys and values are tables by group, with a learnt bias by
+  distance; the direct path is a table by id, plus one by group. Exponentials are linear between powers of two, and
+  normalised as any softmax is, so probabilities add up to one.
+* It is trained by back-propagation on all windows of every training document, once each. Documents are dealt by hash to
+  shards of about SHARD_IDS ids; a shard is trained through in a set order. Round by round GROWTH times as many shards
+  go on from the average of the round before, so the result doesn't depend on how the table is partitioned.
 
 Scoring cuts a document into overlapping windows of WINDOW tokens; each scores its last STEP, so that every token
 is scored once, with at least WINDOW - STEP tokens before it. Batches of windows share masked matrix products.
@@ -30,20 +32,36 @@ from pyspark.sql import types as T
 from .common import require, staged
 
 WINDOW, STEP = 32, 24
-FEATURES, WIDTH, CLASSES = 48, 16, 64
+#: Windows of training follow each other without overlap: every token is a target once.
+TRAIN_WINDOW = 24
+WIDTH, CLASSES, GROUPS = 16, 32, 256
 CONTEXTS = 256
-SAMPLE_DOCUMENTS = 2000
+#: Ids of a shard, and shards at most (then they are larger); shards of a round for each of the one before.
+SHARD_IDS = 4_000_000
+MAX_SHARDS = 4096
+GROWTH = 8
 #: Words whose counts are broadcast; the others' meet their documents in a shuffled join.
 HEAD_WORDS = 500_000
-#: Words counted in memory before a partial count is passed on.
+#: Words counted in memory before a partial count is passed on, and words whose ids are remembered.
 PARTIAL_WORDS = 400_000
 BATCH_WINDOWS = 96
-#: Ids of texts held at once while counting and training, and neighbour counts sent to the driver at once.
+TRAIN_BATCH = 256
+#: Ids of texts held at once while counting and scoring.
 SEQUENCE_IDS = 400_000
+#: Ids that a shard holds before it trains on them.
+TRAIN_IDS = 100_000
+#: Counts sent to the driver at once.
 CELLS_AT_ONCE = 4_000_000
+#: Weight of the prior in a class by the id before, and in a sub-word by the group before.
+PRIOR_CLASS, PRIOR_WITHIN = 5.0, 2.0
+#: Greatest norms of rows: queries, keys; values, group's direct path; id's direct path; columns of the output. They keep logits within 85.
+MOST_QK, MOST_V, MOST_R, MOST_OUT, MOST_BIAS = 6.0, 6.0, 24.0, 1.7, 20.0
+#: exp(x) is about the float whose bits are the integer SCALE x + SHIFT.
+SCALE, SHIFT = np.float32(2**23 / np.log(2)), np.float32(127 * 2**23 - 366_393)
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _ENCODINGS: dict = {}
+_MEMOS: dict = {}
 
 
 def encoding(path: str | None = None):
@@ -56,6 +74,7 @@ def encoding(path: str | None = None):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODINGS[path] = (tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks))
+        _MEMOS[path] = {}
     return _ENCODINGS[path]
 
 
@@ -64,71 +83,112 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def subwords(words: list[bytes], enc, end: int) -> np.ndarray:
+def id_type(end: int) -> str:
+    """How ids are stored: two bytes each where they fit."""
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def subword_bytes(words: list[bytes], vocabulary: str | None = None) -> bytes:
+    """Ids of the words, each after a space, and the end, as bytes of id_type."""
+    import public_tokenizers
+
+    enc, end = encoding(vocabulary)
+    memo, kind = _MEMOS[vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")], id_type(end)
+    if len(memo) > PARTIAL_WORDS:
+        memo.clear()
+    get = memo.get
+    parts = list(map(get, words))
+    if None in parts:
+        for i, part in enumerate(parts):
+            if part is None:
+                if (part := get(words[i])) is None:
+                    part = memo[words[i]] = np.array(enc.encode_ordinary(" " + words[i].decode("utf-8", "replace")), kind).tobytes()
+                parts[i] = part
+    parts.append(end.to_bytes(np.dtype(kind).itemsize, "little"))
+    return b"".join(parts)
+
+
+def subwords(words: list[bytes], vocabulary: str | None = None) -> np.ndarray:
     """Ids of the words, each after a space, and the end."""
-    ids = enc.encode_ordinary(" " + b" ".join(words).decode("utf-8", "replace")) if words else []
-    return np.array([*ids, end], np.int32)
+    return np.frombuffer(subword_bytes(words, vocabulary), id_type(encoding(vocabulary)[1])).astype(np.int32)
+
+
+def exponential(bits: np.ndarray) -> np.ndarray:
+    """exp(x) for bits = SCALE x + SHIFT, off by 6 per cent at most; |x| is below 87."""
+    return bits.astype(np.int32).view(np.float32)
 
 
 @dataclass
 class Model:
-    """features[V + 1, FEATURES], class of each id, log P(id | class), and the trained weights."""
+    """class and group of each id, log P(id | class, group before), the ids' direct path, and the trained weights."""
 
-    features: np.ndarray
     classes: np.ndarray
+    groups: np.ndarray
     log_within: np.ndarray
+    direct: np.ndarray
     weights: dict[str, np.ndarray]
     end: int
 
     def tables(self) -> None:
-        """Projections by token."""
-        w, f = self.weights, self.features
-        q, k, v, r = (np.asarray(f @ w[n], np.float32) for n in ("q", "k", "v", "r"))
-        self.bias, self.out, self.class_bias = distance_bias(w["distance"]).astype(np.float32), w["out"], w["class"]
-        self.kv, self.qr = np.concatenate([k, v], 1), np.concatenate([q, r], 1)
+        """What scoring looks up."""
+        w = self.weights
+        self.kv, self.q = key_values(w), w["q"] * SCALE
+        self.bias, self.mask = distance_bits(w["distance"], WINDOW, STEP)
+        self.r = np.concatenate([self.direct + w["r"][self.groups], np.zeros((len(self.direct), 1), np.float32)], 1)
+        self.out = output_bits(w)
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log P of targets (n, STEP), given windows (n, WINDOW) whose last STEP tokens precede them."""
         out = np.empty(targets.shape, np.float64)
+        ones = np.ones(CLASSES, np.float32)
         for a in range(0, len(windows), BATCH_WINDOWS):
-            ids, goal = windows[a : a + BATCH_WINDOWS], targets[a : a + BATCH_WINDOWS]
-            kv, qr = self.kv.take(ids, axis=0), self.qr.take(ids[:, WINDOW - STEP :], axis=0)
-            s = np.matmul(qr[:, :, :WIDTH], kv[:, :, :WIDTH].transpose(0, 2, 1))
+            ids, goal = windows[a : a + BATCH_WINDOWS], targets[a : a + BATCH_WINDOWS].ravel()
+            groups, last = self.groups.take(ids), ids[:, WINDOW - STEP :]
+            kv, q = self.kv.take(groups, axis=0), self.q.take(groups[:, WINDOW - STEP :], axis=0)
+            s = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
             s += self.bias
-            s -= s.max(2, keepdims=True)
-            np.exp(s, out=s)
+            s = exponential(s)
+            s *= self.mask
             h = np.matmul(s, kv[:, :, WIDTH:])
-            h /= s.sum(2, keepdims=True)
-            h += qr[:, :, WIDTH:]
-            z = h.reshape(-1, WIDTH) @ self.out
-            z += self.class_bias
-            flat = goal.ravel()
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(flat)), self.classes[flat]]
-            np.exp(z, out=z)
-            out[a : a + BATCH_WINDOWS] = (own - np.log(z.sum(1)) + self.log_within[flat]).reshape(goal.shape)
+            h /= h[:, :, WIDTH - 1 :].copy()
+            h += self.r.take(last, axis=0)
+            p = exponential(h.reshape(-1, WIDTH) @ self.out)
+            own = p[np.arange(len(goal)), self.classes.take(goal)]
+            own /= p @ ones
+            within = self.log_within[goal, groups[:, WINDOW - STEP :].ravel()]
+            out[a : a + BATCH_WINDOWS] = (np.log(own) + within).reshape(-1, STEP)
         return out
 
 
-def distance_bias(distance: np.ndarray) -> np.ndarray:
-    """(STEP, WINDOW) bias by how far a key is before its query; later keys are masked."""
-    d = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None]
-    return np.where(d >= 0, distance[np.clip(d, 0, WINDOW - 1)], np.float32(-1e4)).astype(np.float32)
+def key_values(w: dict[str, np.ndarray]) -> np.ndarray:
+    """(GROUPS, 2 WIDTH): keys, values, and a one that sums what values are weighed by."""
+    return np.concatenate([w["k"], w["v"], np.ones((GROUPS, 1), np.float32)], 1)
+
+
+def output_bits(w: dict[str, np.ndarray]) -> np.ndarray:
+    """(WIDTH, CLASSES) from a state whose last component is one, to the bits of exponentials."""
+    return np.concatenate([w["out"] * SCALE, (w["class"] * SCALE + SHIFT)[None]]).astype(np.float32)
 
 
-def cut_windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distance_bits(distance: np.ndarray, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(step, window) bias by how far a key is before its query, as bits, and the mask of later keys."""
+    d = (np.arange(step)[:, None] + window - step) - np.arange(window)[None]
+    return (distance[np.clip(d, 0, len(distance) - 1)] * SCALE + SHIFT).astype(np.float32), (d >= 0).astype(np.float32)
+
+
+def cut_windows(sequences: list[np.ndarray], end: int, window: int = WINDOW, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(windows, targets, which targets count, first window of each sequence); an end precedes each sequence."""
     parts, goals, real, first, n = [], [], [], [], 0
-    lead = np.full(WINDOW - STEP + 1, end, np.int32)
+    lead = np.full(window - step + 1, end, np.int32)
     for ids in sequences:
-        blocks = -(-len(ids) // STEP)
-        fill = np.full(blocks * STEP - len(ids), end, np.int32)
+        blocks = -(-len(ids) // step)
+        fill = np.full(blocks * step - len(ids), end, np.int32)
         flat = np.concatenate([lead, ids[:-1], fill])
-        parts.append(np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::STEP])
-        goals.append(np.concatenate([ids, fill]).reshape(blocks, STEP))
-        keep = np.ones(blocks * STEP, bool)
+        parts.append(np.lib.stride_tricks.sliding_window_view(flat, window)[::step])
+        goals.append(np.concatenate([ids, fill]).reshape(blocks, step))
+        keep = np.ones(blocks * step, bool)
         keep[len(ids) :] = False
-        real.append(keep.reshape(blocks, STEP))
+        real.append(keep.reshape(blocks, step))
         first.append(n)
         n += blocks
     return np.concatenate(parts), np.concatenate(goals), np.concatenate(real), np.array(first)
@@ -142,15 +202,6 @@ def score_sequences(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(p.sum(1), first) / np.log(10)
 
 
-def add_neighbours(counts: np.ndarray, ids: np.ndarray, column: np.ndarray) -> None:
-    """Add to counts (ids, 2 CONTEXTS) how often each of ids follows, and precedes, an id that has a column."""
-    before, after = ids[:-1], ids[1:]
-    known = column[before] >= 0
-    np.add.at(counts, (after[known], column[before[known]]), 1)
-    known = column[after] >= 0
-    np.add.at(counts, (before[known], CONTEXTS + column[after[known]]), 1)
-
-
 def context_columns(frequency: np.ndarray) -> np.ndarray:
     """The column of each id as a context, the commonest first; -1 if it is none."""
     column = np.full(len(frequency), -1)
@@ -159,101 +210,181 @@ def context_columns(frequency: np.ndarray) -> np.ndarray:
     return column
 
 
-def fit_features(sequences: list[np.ndarray], size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(features, classes) of all ids from the neighbours in sequences."""
-    ids = np.concatenate([np.zeros(0, np.int32), *(np.concatenate([[size - 1], s]) for s in sequences)]).astype(np.int64)
-    seen, index = np.unique(ids, return_inverse=True)
-    frequency, counts = np.bincount(index, minlength=len(seen)), np.zeros((len(seen), 2 * CONTEXTS), np.float32)
-    add_neighbours(counts, index, context_columns(frequency))
-    return features_of(seen, frequency, counts, size, seed)
+def neighbour_cells(before: np.ndarray, after: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Cells (id times 2 CONTEXTS, plus column) of ids that follow, and precede, an id with a column."""
+    left, right = column[before], column[after]
+    return np.concatenate([(after * (2 * CONTEXTS) + left)[left >= 0], (before * (2 * CONTEXTS) + CONTEXTS + right)[right >= 0]])
+
+
+def joint_cells(before: np.ndarray, after: np.ndarray, classes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Cells (id times (GROUPS + CLASSES), plus column) of ids by the group before them, and of ids by the class after them."""
+    wide = GROUPS + CLASSES
+    return np.concatenate([after * wide + groups[before], before * wide + GROUPS + classes[after]])
 
 
-def features_of(seen: np.ndarray, frequency: np.ndarray, counts: np.ndarray, size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(features, classes) of all ids from seen ids' frequencies and neighbour counts: singular vectors of both sides, k-means of the left side."""
-    features, classes = np.zeros((size, FEATURES), np.float32), np.arange(size) % CLASSES
-    if not len(seen):
-        return features, classes
+def clusters(counts: np.ndarray, n: int, frequency: np.ndarray, seed: int, rounds: int = 12) -> np.ndarray:
+    """k-means by cosine of log counts, rows weighed by the root of their frequency."""
     x = np.log1p(counts)
     x /= np.linalg.norm(x, axis=1, keepdims=True).clip(1e-6)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    e = x @ vectors[:, -FEATURES + 1 :]
-    e = e / e.std(0).clip(1e-6)
-    share = np.log1p(frequency)
-    features[seen] = np.concatenate([e, (share / share.max())[:, None]], 1).clip(-4, 4)
+    rng, weight = np.random.default_rng(seed), frequency.astype(np.float64) ** 0.5
+    centres = x[rng.choice(len(x), min(n, len(x)), replace=False, p=weight / weight.sum())]
+    for _ in range(rounds):
+        nearest = (x @ centres.T).argmax(1)
+        order = np.argsort(nearest, kind="stable")
+        first = np.searchsorted(nearest[order], np.arange(len(centres) + 1))
+        for c in np.flatnonzero(np.diff(first)):
+            rows = order[first[c] : first[c + 1]]
+            centre = weight[rows] @ x[rows]
+            centres[c] = centre / max(1e-6, np.linalg.norm(centre))
+    return nearest
+
+
+def cluster_ids(seen: np.ndarray, frequency: np.ndarray, counts: np.ndarray, size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(class, group) of all ids from seen ids' frequencies and neighbour counts; those of others are by number."""
+    classes, groups = np.arange(size) % CLASSES, (np.arange(size) % GROUPS).astype(np.uint8)
+    if len(seen):
+        classes[seen] = clusters(counts[:, :CONTEXTS], CLASSES, frequency, seed)
+        groups[seen] = clusters(counts[:, CONTEXTS:], GROUPS, frequency, seed + 1)
+    return classes, groups
+
+
+def assemble(total: np.ndarray, classes: np.ndarray, groups: np.ndarray, by_group: np.ndarray, by_class: np.ndarray, seed: int = 4) -> Model:
+    """The untrained model from counts of ids, of ids by the group before (size, GROUPS), and of classes by the id before (size, CLASSES)."""
+    own = total + 0.1
+    of_class = np.bincount(classes, own, CLASSES)
+    share = (own / of_class[classes]).astype(np.float32)
+    of_both = np.zeros((CLASSES, GROUPS), np.float32)
+    np.add.at(of_both, classes, by_group)
+    within = by_group.astype(np.float32)
+    within += PRIOR_WITHIN * share[:, None]
+    within /= (of_both + PRIOR_WITHIN)[classes]
+    np.log(within, out=within)
+    common = (of_class / of_class.sum()).clip(1e-8)
+    n = by_class.sum(1, keepdims=True)
+    lift = np.log((by_class + PRIOR_CLASS * common) / (n + PRIOR_CLASS)) - np.log(common)
+    _, vectors = np.linalg.eigh((lift * n).T @ lift)
+    out = vectors[:, -(WIDTH - 1) :]
     rng = np.random.default_rng(seed)
-    left = np.log1p(counts[:, :CONTEXTS])
-    left /= np.linalg.norm(left, axis=1, keepdims=True).clip(1e-6)
-    weight = frequency.astype(np.float64) ** 0.5
-    centres = left[rng.choice(len(seen), min(CLASSES, len(seen)), replace=False, p=weight / weight.sum())]
-    for _ in range(12):
-        nearest = (left @ centres.T).argmax(1)
-        for c in range(len(centres)):
-            rows = nearest == c
-            if rows.any():
-                centre = (left[rows] * weight[rows, None]).sum(0)
-                centres[c] = centre / max(1e-6, np.linalg.norm(centre))
-    classes[seen] = nearest
-    return features, classes
-
-
-def start_weights(seed: int = 4) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
-    return {"q": draw(FEATURES, WIDTH) * 0.3, "k": draw(FEATURES, WIDTH) * 0.3, "v": draw(FEATURES, WIDTH) * 0.3, "r": draw(FEATURES, WIDTH), "out": draw(WIDTH, CLASSES), "class": np.zeros(CLASSES, np.float32), "distance": np.linspace(1, 0, WINDOW, dtype=np.float32)}
-
-
-def gradients(w: dict[str, np.ndarray], features: np.ndarray, windows: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the class predictions and its gradients; goals: classes (n, STEP), -1 where none counts."""
-    x, n = features[windows], windows.shape[0]
-    xq = x[:, WINDOW - STEP :]
-    q, k, v, r = xq @ w["q"], x @ w["k"], x @ w["v"], xq @ w["r"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) + distance_bias(w["distance"])
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    h = np.matmul(a, v) + r
-    z = h @ w["out"] + w["class"]
-    p = np.exp(z - z.max(2, keepdims=True))
-    p /= p.sum(2, keepdims=True)
-    real = goals >= 0
-    total = max(1, real.sum())
-    rows, cols = np.nonzero(real)
-    loss = -float(np.log(p[rows, cols, goals[rows, cols]].clip(1e-30)).sum()) / total
-    dz = p
-    dz[rows, cols, goals[rows, cols]] -= 1
-    dz[~real] = 0
-    dz /= total
-    dh = dz @ w["out"].T
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    d = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None]
-    by_distance = np.bincount(d[d >= 0], ds.sum(0)[d >= 0], WINDOW).astype(np.float32)
-    return loss, {
-        "q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "r": flat(xq).T @ flat(dh),
-        "out": flat(h).T @ flat(dz), "class": dz.sum((0, 1)), "distance": by_distance,
+    draw = lambda wide, scale: (rng.normal(size=(GROUPS, wide)) * scale).astype(np.float32)
+    weights = {
+        "q": draw(WIDTH, 0.3), "k": draw(WIDTH, 0.3), "v": draw(WIDTH - 1, 0.1), "r": np.zeros((GROUPS, WIDTH - 1), np.float32),
+        "out": np.ascontiguousarray(out.T, np.float32), "class": np.log(common).astype(np.float32), "distance": np.linspace(1, 0, WINDOW, dtype=np.float32),
+    }
+    return Model(classes, groups, within, _shorter((lift @ out).astype(np.float32), MOST_R), _held(weights), len(total) - 1)
+
+
+def _shorter(x: np.ndarray, most: float, axis: int = 1) -> np.ndarray:
+    """x with rows (or columns, along axis 0) of a norm above most cut to it."""
+    return x * np.minimum(1, most / np.sqrt((x * x).sum(axis, keepdims=True)).clip(1e-9)).astype(np.float32)
+
+
+def _held(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights within the bounds that keep every logit in the range of exponential()."""
+    return {
+        "q": _shorter(w["q"], MOST_QK), "k": _shorter(w["k"], MOST_QK), "v": _shorter(w["v"], MOST_V), "r": _shorter(w["r"], MOST_V), "out": _shorter(w["out"], MOST_OUT, 0),
+        "class": w["class"].clip(-MOST_BIAS, MOST_BIAS), "distance": w["distance"].clip(-MOST_BIAS, MOST_BIAS),
     }
 
 
-def train(w: dict[str, np.ndarray], features: np.ndarray, windows: np.ndarray, goals: np.ndarray, epochs: int, rate: float, seed: int = 6, batch: int = 64, warm: int = 50) -> dict[str, np.ndarray]:
-    """Adam over batches of windows, from weights w; the rate rises over warm batches and falls to 0, or stays (warm = 0)."""
-    w = {k: x.copy() for k, x in w.items()}
-    m, s, step, rng = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, np.random.default_rng(seed)
-    batches = max(1, len(windows) // batch)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(windows)), batches):
-            _, g = gradients(w, features, windows[part], goals[part])
-            step += 1
-            now = rate * min(1.0, step / warm) * (1 - step / (batches * epochs + 1)) if warm else rate
-            for name in w:
-                m[name] = 0.9 * m[name] + 0.1 * g[name]
-                s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
-                w[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return w
+def _by_group(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """(GROUPS, width) sums of rows (n, width) by group (n)."""
+    order, count = np.argsort(groups, kind="stable"), np.bincount(groups, minlength=GROUPS)
+    there = np.flatnonzero(count)
+    out = np.zeros((GROUPS, rows.shape[1]), np.float32)
+    if len(there):
+        out[there] = np.add.reduceat(rows[order], (np.cumsum(count) - count)[there], axis=0)
+    return out
+
 
+def gradients(w: dict[str, np.ndarray], direct: np.ndarray, groups: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of the class predictions and its gradients.
 
-def _goals(classes: np.ndarray, targets: np.ndarray, real: np.ndarray) -> np.ndarray:
-    return np.where(real, classes[targets], -1)
+    direct: (n, window, WIDTH - 1) and groups: (n, window) of the tokens, goals: the next ones' classes, -1 where none counts.
+    """
+    n, window = groups.shape
+    kv, q = key_values(w).take(groups, axis=0), w["q"].take(groups, axis=0)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    bias, mask = distance_bits(w["distance"], window, window)
+    e = np.matmul(q * SCALE, k.transpose(0, 2, 1))
+    e += bias
+    e = exponential(e)
+    e *= mask
+    h = np.matmul(e, v)
+    scale = 1 / h[:, :, WIDTH - 1 :]
+    h *= scale
+    attended = h[:, :, : WIDTH - 1].copy()
+    h[:, :, : WIDTH - 1] += direct
+    h[:, :, : WIDTH - 1] += w["r"].take(groups, axis=0)
+    flat = h.reshape(-1, WIDTH)
+    p = exponential(flat @ output_bits(w))
+    p /= (p @ np.ones(CLASSES, np.float32))[:, None]
+    goal = goals.ravel()
+    real = goal >= 0
+    rows = np.flatnonzero(real)
+    total = np.float32(max(1, len(rows)))
+    own = p[rows, goal[rows]]
+    loss = -float(np.log(own).sum()) / float(total)
+    p[rows, goal[rows]] = own - 1
+    if len(rows) < len(goal):
+        p[~real] = 0
+    d_out = flat.T @ p
+    by_token = np.zeros((n, window, 4 * WIDTH), np.float32)  # keys, values, queries, direct path
+    back = np.empty((n, window, WIDTH), np.float32)
+    back[:, :, : WIDTH - 1] = (p @ w["out"].T).reshape(n, window, WIDTH - 1)
+    by_token[:, :, 3 * WIDTH : 4 * WIDTH - 1] = back[:, :, : WIDTH - 1]
+    back[:, :, WIDTH - 1] = -np.einsum("nwd,nwd->nw", back[:, :, : WIDTH - 1], attended)
+    back *= scale
+    ds = np.matmul(back, v.transpose(0, 2, 1))
+    ds *= e
+    by_token[:, :, :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+    by_token[:, :, WIDTH : 2 * WIDTH] = np.matmul(e.transpose(0, 2, 1), back)
+    by_token[:, :, 2 * WIDTH : 3 * WIDTH] = np.matmul(ds, k)
+    sums = _by_group(by_token.reshape(-1, 4 * WIDTH), groups.ravel())
+    d = np.arange(window)[:, None] - np.arange(window)[None]
+    found = {
+        "k": sums[:, :WIDTH], "v": sums[:, WIDTH : 2 * WIDTH - 1], "q": sums[:, 2 * WIDTH : 3 * WIDTH], "r": sums[:, 3 * WIDTH : 4 * WIDTH - 1], "out": d_out[: WIDTH - 1], "class": d_out[WIDTH - 1],
+        "distance": np.bincount(d[d >= 0], ds.sum(0)[d >= 0], len(w["distance"])).astype(np.float32),
+    }
+    return loss, {name: g / total for name, g in found.items()}
+
+
+class Trainer:
+    """Adam over batches of windows in the order in which sequences come; the rate falls with the steps taken."""
+
+    def __init__(self, model: Model, rate: float, warm: int):
+        self.model, self.rate, self.warm, self.steps, self.windows = model, rate, warm, 0, 0
+        self.w = {k: x.copy() for k, x in model.weights.items()}
+        self.m, self.s = {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.room = 0
+
+    def add(self, sequences: list[np.ndarray]) -> None:
+        windows, targets, real, _ = cut_windows(sequences, self.model.end, TRAIN_WINDOW, TRAIN_WINDOW)
+        self.held.append((windows, np.where(real, self.model.classes[targets], -1)))
+        self.room += len(windows)
+        if self.room >= TRAIN_BATCH:
+            windows, goals = (np.concatenate(x) for x in zip(*self.held))
+            whole = len(windows) // TRAIN_BATCH * TRAIN_BATCH
+            for a in range(0, whole, TRAIN_BATCH):
+                self._step(windows[a : a + TRAIN_BATCH], goals[a : a + TRAIN_BATCH])
+            self.held, self.room = [(windows[whole:], goals[whole:])], len(windows) - whole
+
+    def done(self) -> dict[str, np.ndarray]:
+        if self.room:
+            self._step(*(np.concatenate(x) for x in zip(*self.held)))
+            self.held, self.room = [], 0
+        return self.w
+
+    def _step(self, windows: np.ndarray, goals: np.ndarray) -> None:
+        _, g = gradients(self.w, self.model.direct.take(windows, axis=0), self.model.groups.take(windows), goals)
+        self.steps += 1
+        self.windows += len(windows)
+        rate = self.rate * min(1.0, self.steps / self.warm) / np.sqrt(1 + self.steps / 400)
+        for name, x in g.items():
+            self.m[name] += 0.1 * (x - self.m[name])
+            self.s[name] += 0.01 * (x * x - self.s[name])
+            self.w[name] = self.w[name] - np.float32(rate / (1 - 0.9**self.steps)) * self.m[name] / (np.sqrt(self.s[name] / (1 - 0.99**self.steps)) + 1e-8).astype(np.float32)
+        self.w = _held(self.w)
 
 
 def _bytes(column) -> list[bytes]:
@@ -282,50 +413,48 @@ def _counts(found: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
 
-def subword_counts(counts: DataFrame, vocabulary: str | None) -> np.ndarray:
-    """Counts of all ids over the training words, and of the end."""
-
-    def count(batches):
-        enc, end = encoding(vocabulary)
-        held = np.zeros(end + 1, np.int64)
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i in enc.encode_ordinary(" " + word.decode("utf-8", "replace")) if word else (end,):
-                    held[i] += n
-        ids = np.nonzero(held)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held[ids], pa.int64())], names=["id", "n"])
+ENCODED = T.StructType([
+    T.StructField("uid", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
+    T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("ids", T.BinaryType()),
+])
 
-    _, end = encoding(vocabulary)
-    total = np.zeros(end + 1, np.int64)
-    for r in counts.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id at most
-        total[r["id"]] = r["n"]
-    return total
 
+def encoded(texts: DataFrame, logs: dict[bytes, float], vocabulary: str | None) -> DataFrame:
+    """Each row of texts with its ids, and its base score as far as logs knows its words (the others: tail), staged."""
+    head = texts.sparkSession.sparkContext.broadcast(logs)
 
-def neighbour_counts(learning: DataFrame, column: np.ndarray, vocabulary: str | None) -> DataFrame:
-    """(cell, n) over all texts of learning, staged; cell is the id times 2 CONTEXTS, plus the column of its neighbour."""
-    columns = learning.sparkSession.sparkContext.broadcast(column)
+    def run(batches):
+        from pyspark import TaskContext
 
-    def count(batches):
-        enc, end = encoding(vocabulary)
-        held = np.zeros((end + 1, 2 * CONTEXTS), np.int32)
+        get, part, row = head.value.get, TaskContext.get().partitionId(), 0
+        end_log = get(b"")
         for batch in batches:
-            for sequences in _sequences(batch.column(0), enc, end):
-                add_neighbours(held, np.concatenate([x for s in sequences for x in ([end], s)]), columns.value)
-        flat = held.reshape(-1)
-        cells = np.flatnonzero(flat)
-        for a in range(0, len(cells), 1_000_000):
-            part = cells[a : a + 1_000_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(flat[part], pa.int64())], names=["cell", "n"])
+            columns: list[list] = [[] for _ in range(6)]
+            for text in _bytes(batch.column(2)):
+                words = words_of(text)
+                found = list(map(get, words))
+                tail = [w for w, x in zip(words, found) if x is None] if None in found else []
+                known = len(words) - len(tail)
+                base = sum(x for x in found if x is not None) if tail else sum(found)
+                if end_log is None:
+                    tail.append(b"")
+                else:
+                    known, base = known + 1, base + end_log
+                for column, value in zip(columns, (f"{part}-{row}", len(words) + 1, known, base, tail, subword_bytes(words, vocabulary))):
+                    column.append(value)
+                row += 1
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            uid, n, known, base, tail, ids = (pa.array(c, k) for c, k in zip(columns, kinds))
+            yield pa.RecordBatch.from_arrays([uid, batch.column(0), batch.column(1), n, known, base, tail, ids], names=ENCODED.names)
 
-    return staged(learning.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "neighbours")
+    return staged(texts.mapInArrow(run, ENCODED), "encoded")
 
 
-def _sequences(column, enc, end: int):
+def _sequences(column, kind: str):
     """Lists of the ids of texts, whole, of about SEQUENCE_IDS ids."""
     held, room = [], 0
-    for text in _bytes(column):
-        held.append(subwords(words_of(text), enc, end))
+    for raw in column.to_pylist():
+        held.append(np.frombuffer(raw, kind).astype(np.int32))
         room += len(held[-1])
         if room > SEQUENCE_IDS:
             yield held
@@ -334,82 +463,141 @@ def _sequences(column, enc, end: int):
         yield held
 
 
-def all_features(learning: DataFrame, total: np.ndarray, vocabulary: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """fit_features over all texts of learning, whose ids' counts are total."""
-    found = neighbour_counts(learning, context_columns(total), vocabulary)
-    seen = np.flatnonzero(total)
-    row, counts = np.full(len(total), -1), np.zeros((len(seen), 2 * CONTEXTS), np.float32)
-    row[seen] = np.arange(len(seen))
+def id_counts(learning: DataFrame, end: int) -> np.ndarray:
+    """Counts of all ids over the rows of learning (ids)."""
+    kind = id_type(end)
+
+    def count(batches):
+        held = np.zeros(end + 1, np.int64)
+        for batch in batches:
+            for sequences in _sequences(batch.column(0), kind):
+                held += np.bincount(np.concatenate(sequences), minlength=end + 1)
+        ids = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held[ids], pa.int64())], names=["id", "n"])
+
+    total = np.zeros(end + 1, np.int64)
+    for r in learning.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id at most
+        total[r["id"]] = r["n"]
+    return total
+
+
+def pair_counts(learning: DataFrame, wide: int, cells, end: int, name: str) -> np.ndarray:
+    """(ids, wide) counts of the cells that cells(before, after) finds, over all neighbouring ids of learning (ids); an end precedes each text."""
+    kind = id_type(end)
+
+    def count(batches):
+        held = np.zeros((end + 1) * wide, np.int32)
+        for batch in batches:
+            for sequences in _sequences(batch.column(0), kind):
+                after = np.concatenate(sequences).astype(np.int64)
+                before = np.concatenate([[end], after[:-1]])  # each text ends with an end
+                np.add.at(held, cells(before, after), 1)
+        found = np.flatnonzero(held)
+        for a in range(0, len(found), 1_000_000):
+            part = found[a : a + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(held[part], pa.int64())], names=["cell", "n"])
+
+    found = staged(learning.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), name)
+    counts = np.zeros((end + 1) * wide, np.float32)
     parts = 1 + found.count() // CELLS_AT_ONCE
     for k in range(parts):  # CELLS_AT_ONCE rows or so
-        cells = found.where(F.pmod("cell", F.lit(parts)) == k).toArrow()
-        cell = cells.column("cell").to_numpy()
-        at = row[cell // (2 * CONTEXTS)]
-        counts[at[at >= 0], cell[at >= 0] % (2 * CONTEXTS)] = cells.column("n").to_numpy()[at >= 0]
-    return features_of(seen, total[seen], counts, len(total))
+        some = found.where(F.pmod("cell", F.lit(parts)) == k).toArrow()
+        counts[some.column("cell").to_numpy()] = some.column("n").to_numpy()
+    return counts.reshape(end + 1, wide)
 
 
-def fit(texts: DataFrame, counts: DataFrame, vocabulary: str | None = None) -> Model:
-    """The model from the training rows of texts (doc_id, held_out, text) and their word counts."""
-    spark = texts.sparkSession
-    enc, end = encoding(vocabulary)
-    learning = texts.where("not held_out")
-    least = learning.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCUMENTS)
-    sample = learning.join(F.broadcast(least), "doc_id", "left_semi").orderBy("doc_id", "text").limit(SAMPLE_DOCUMENTS).select("text")  # SAMPLE_DOCUMENTS ids
-    sequences = [subwords(words_of((r["text"] or "").encode("utf-8", "replace")), enc, end) for r in sample.collect()]
-    total = subword_counts(counts, vocabulary)
-    features, classes = all_features(learning, total, vocabulary)
-    n = total + 0.1
-    by_class = np.bincount(classes, n, CLASSES)
-    within = np.log(n / by_class[classes]).astype(np.float32)
-    weights = start_weights()
-    weights["class"] = np.log(by_class.clip(1e-3) / by_class.sum()).clip(-20, 0).astype(np.float32)
-    if sequences:
-        windows, targets, real, _ = cut_windows(sequences, end)
-        weights = train(weights, features, windows, _goals(classes, targets, real), epochs=3, rate=0.005)
-        weights = _train_on_all(learning, weights, features, classes, end, vocabulary)
-    return Model(features, classes, within, weights, end)
-
-
-def _train_on_all(learning: DataFrame, weights: dict, features: np.ndarray, classes: np.ndarray, end: int, vocabulary: str | None) -> dict:
-    """Each partition trains on from weights, on all windows of its documents; results are averaged by their windows."""
-    start = learning.sparkSession.sparkContext.broadcast((weights, features, classes))
-    names = sorted(weights)
-
-    def local(batches):
-        enc, _ = encoding(vocabulary)
-        own, f, c = start.value
-        n = 0
+def fit(documents: DataFrame, vocabulary: str | None = None) -> Model:
+    """The model from the training rows of documents (doc_id, held_out, ids), staged."""
+    spark = documents.sparkSession
+    _, end = encoding(vocabulary)
+    learning = documents.where("not held_out")
+    total = id_counts(learning.select("ids"), end)
+    columns = spark.sparkContext.broadcast(context_columns(total))
+    counts = pair_counts(learning.select("ids"), 2 * CONTEXTS, lambda b, a: neighbour_cells(b, a, columns.value), end, "neighbours")
+    seen = np.flatnonzero(total)
+    classes, groups = cluster_ids(seen, total[seen], counts[seen], end + 1)
+    del counts
+    shared = spark.sparkContext.broadcast((classes, groups))
+    joint = pair_counts(learning.select("ids"), GROUPS + CLASSES, lambda b, a: joint_cells(b, a, *shared.value), end, "joint-counts")
+    model = assemble(total, classes, groups, joint[:, :GROUPS], joint[:, GROUPS:])
+    del joint
+    model.weights = train(learning, int(total.sum()), model, vocabulary)
+    return model
+
+
+def train(learning: DataFrame, n_ids: int, model: Model, vocabulary: str | None = None) -> dict[str, np.ndarray]:
+    """The weights after all rounds over the rows of learning (doc_id, ids), which hold n_ids ids.
+
+    A row's shard, and its place in it, are hashes of doc_id and ids; equal rows come one after the other.
+    """
+    spark, kind = learning.sparkSession, id_type(model.end)
+    shards = min(MAX_SHARDS, -(-n_ids // SHARD_IDS))
+    dealt = learning.select("ids", F.xxhash64("doc_id", "ids").alias("place")).withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)) if shards else F.lit(0).cast("long"))
+    names, weights, low = sorted(model.weights), dict(model.weights), 0
+    while low < shards:
+        high = min(shards, max(1, low * GROWTH))
+        start = spark.sparkContext.broadcast(Model(model.classes, model.groups, None, model.direct, weights, model.end))
+        rate, warm = (0.01, 50) if low == 0 else (0.003, 20)
+
+        def local(batches, start=start, rate=rate, warm=warm):
+            shard, trainer, held, room = None, None, [], 0
+
+            def result():
+                trainer.add(held) if held else None
+                w = trainer.done()
+                flat = np.concatenate([w[k].ravel() for k in names]).astype("<f4")
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([trainer.windows], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["shard", "n", "w"])
+
+            for batch in batches:
+                for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if own != shard:
+                        if shard is not None:
+                            yield result()
+                        shard, trainer, held, room = own, Trainer(start.value, rate, warm), [], 0
+                    held.append(np.frombuffer(raw, kind).astype(np.int32))
+                    room += len(held[-1])
+                    if room > TRAIN_IDS:
+                        trainer.add(held)
+                        held, room = [], 0
+            if shard is not None:
+                yield result()
+
+        rows = dealt.where(F.col("shard").between(low, high - 1)).select("shard", "ids", "place")
+        rows = rows.repartition(high - low, "shard").sortWithinPartitions("shard", "place", "ids").select("shard", "ids")
+        trained = staged(rows.mapInArrow(local, "shard long, n long, w binary"), "shard-weights")
+        weights = _averaged(trained, model.weights, names) or weights
+        low = high
+    return weights
+
+
+def _averaged(trained: DataFrame, like: dict[str, np.ndarray], names: list[str]) -> dict[str, np.ndarray] | None:
+    """Mean of the shards' weights by their windows; MAX_SHARDS rows at most, added up in the order of shards."""
+
+    def add(batches):
+        total, n = None, 0
         for batch in batches:
-            for sequences in _sequences(batch.column(0), enc, end):
-                windows, targets, real, _ = cut_windows(sequences, end)
-                own = train(own, f, windows, _goals(c, targets, real), epochs=1, rate=0.0005, warm=0)
-                n += len(windows)
+            for own, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x = np.frombuffer(raw, "<f4").astype(np.float64) * own
+                total, n = x if total is None else total + x, n + own
         if n:
-            flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat), pa.array(np.full(len(flat), n), pa.int64())], names=["i", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["w"])
 
-    rows = learning.select("text").mapInArrow(local, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i").collect()  # one row per weight
+    rows = trained.repartition(1).sortWithinPartitions("shard").mapInArrow(add, "w binary").collect()  # one row
     if not rows:
-        return weights
-    flat, out, at = np.array([r["x"] for r in rows], np.float32), {}, 0
+        return None
+    flat, out, at = np.frombuffer(rows[0]["w"], "<f4"), {}, 0
     for k in names:
-        out[k] = flat[at : at + weights[k].size].reshape(weights[k].shape)
-        at += weights[k].size
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
+        at += like[k].size
     return out
 
 
-SCORED = T.StructType([
-    T.StructField("uid", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
-    T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType())),
-])
-
-
 def score(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of documents.
 
     Null texts are empty: the end alone. A null doc_id counts as the text '' for the hold-out. Rows that share a
-    doc_id are scored each. Without training rows all counts are 0, and the model is even. An empty table gives no rows.
+    doc_id are scored each. Without training rows all counts are 0, and the model is near even. An empty table gives no rows.
+    All training rows are counted and trained on, whole; how the table is partitioned changes no score beyond rounding.
     """
     require(documents, "doc_id", "text")
     spark = documents.sparkSession
@@ -425,55 +613,30 @@ def score(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
         least -= 1
         words += levels.get(least, 0)
     frequent = F.floor(F.log2("n")).cast("int") >= least
-    head = spark.sparkContext.broadcast(_head(counts.where(frequent), size))
-    model = spark.sparkContext.broadcast(fit(texts, counts, vocabulary))
+    rows = encoded(texts, _head(counts.where(frequent), size), vocabulary)
+    model = spark.sparkContext.broadcast(fit(rows.select("doc_id", "held_out", "ids"), vocabulary))
+    kind = id_type(encoding(vocabulary)[1])
 
     def run(batches):
-        from pyspark import TaskContext
-
-        enc, end = encoding(vocabulary)
-        logs, own = head.value, model.value
+        own = model.value
         own.tables()
-        get, part, row = logs.get, TaskContext.get().partitionId(), 0
-        end_log = get(b"")
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            sequences, room = [], 0
-            for text in _bytes(batch.column(2)):
-                words = words_of(text)
-                found = list(map(get, words))
-                tail = [w for w, x in zip(words, found) if x is None] if None in found else []
-                known = len(words) - len(tail)
-                base = sum(x for x in found if x is not None) if tail else sum(found)
-                if end_log is None:
-                    tail.append(b"")
-                else:
-                    known, base = known + 1, base + end_log
-                sequences.append(subwords(words, enc, end))
-                room += len(sequences[-1])
-                for column, value in zip(columns, (f"{part}-{row}", len(words) + 1, known, base, None, tail)):
-                    column.append(value)
-                row += 1
-                if room > 400_000:
-                    columns[4][-len(sequences) :] = score_sequences(own, sequences)
-                    sequences, room = [], 0
-            if sequences:
-                columns[4][-len(sequences) :] = score_sequences(own, sequences)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(columns[0], pa.string()), batch.column(0), batch.column(1), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.list_(pa.binary())),
-            ], names=SCORED.names)
-
-    scored = staged(texts.mapInArrow(run, SCORED), "scored")
-    rare = scored.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("times")).join(counts.where(~frequent), "word", "left")
+            scores = [x for sequences in _sequences(batch.column(6), kind) for x in score_sequences(own, sequences).tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(scores, pa.float64())], names=SCORED.names)
+
+    rare = rows.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("times")).join(counts.where(~frequent), "word", "left")
     logs = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + floor) / F.lit(float(size)))
-    more = rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    more = staged(rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known")), "rare-words")
+    scored = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(run, SCORED)
     return scored.join(more, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
 
 
+SCORED = T.StructType([*(f for f in ENCODED if f.name not in ("tail", "ids")), T.StructField("score", T.DoubleType())])
+
+
 def _head(counts: DataFrame, size: float) -> dict[bytes, float]:
     """log10 of the smoothed share of each frequent word; HEAD_WORDS at most."""
     shared: dict[int, float] = {}

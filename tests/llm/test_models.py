@@ -149,38 +149,60 @@ def test_base_scores_against_brute_force(documents, rows, monkeypatch, head):
     assert all(abs(a[5] - b[5]) < 1e-6 for a, b in zip(got, want)) and all(r[6] < 0 for r in got)
 
 
-def test_gradients_against_differences():
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    monkeypatch.setattr(lm, "exponential", lambda bits: np.exp((bits.astype(np.float64) - 127 * 2**23) / float(lm.SCALE)))
     rng = np.random.default_rng(0)
-    features = rng.normal(size=(30, lm.FEATURES)).astype(np.float64)
-    windows, goals = rng.integers(0, 30, (3, lm.WINDOW)), rng.integers(-1, lm.CLASSES, (3, lm.STEP))
-    w = {k: x.astype(np.float64) for k, x in lm.start_weights().items()}
-    _, g = lm.gradients(w, features, windows, goals)
+    model = lm.assemble(rng.integers(1, 9, 400), np.arange(400) % lm.CLASSES, (np.arange(400) % lm.GROUPS).astype(np.uint8), np.zeros((400, lm.GROUPS), np.float32), rng.random((400, lm.CLASSES)).astype(np.float32))
+    windows, goals = rng.integers(0, 400, (3, lm.TRAIN_WINDOW)), rng.integers(-1, lm.CLASSES, (3, lm.TRAIN_WINDOW))
+    w = {k: x + rng.normal(size=x.shape) * 0.3 for k, x in model.weights.items()}
+    loss = lambda w: lm.gradients(w, model.direct[windows], model.groups[windows], goals)
+    _, g = loss(w)
     for name in w:
-        at = tuple(0 for _ in w[name].shape)
-        values = []
-        for step in (1e-4, -1e-4):
-            moved = {k: x.copy() for k, x in w.items()}
-            moved[name][at] += step
-            values.append(lm.gradients(moved, features, windows, goals)[0])
-        assert (values[0] - values[1]) / 2e-4 == pytest.approx(float(g[name][at]), abs=2e-4)
+        for at in [np.unravel_index(np.abs(g[name]).argmax(), g[name].shape), np.unravel_index(g[name].size // 3, g[name].shape)]:
+            values = []
+            for by in (1e-2, -1e-2):
+                moved = {k: x.copy() for k, x in w.items()}
+                moved[name][at] += by
+                values.append(loss(moved)[0])
+            assert (values[0] - values[1]) / 2e-2 == pytest.approx(float(g[name][at]), abs=2e-3, rel=0.03), name
+
+
+def _counts(sequences, end):
+    """Counts of ids, neighbours' and joint ones, by loops."""
+    total = np.bincount(np.concatenate(sequences), minlength=end + 1)
+    column = lm.context_columns(total)
+    near = np.zeros((end + 1, 2 * lm.CONTEXTS), np.float32)
+    pairs = [(int(a), int(b)) for s in sequences for a, b in zip([end, *s[:-1]], s)]
+    for a, b in pairs:
+        if column[a] >= 0:
+            near[b, column[a]] += 1
+        if column[b] >= 0:
+            near[a, lm.CONTEXTS + column[b]] += 1
+    seen = np.flatnonzero(total)
+    classes, groups = lm.cluster_ids(seen, total[seen], near[seen], end + 1)
+    joint = np.zeros((end + 1, lm.GROUPS + lm.CLASSES), np.float32)
+    for a, b in pairs:
+        joint[b, groups[a]] += 1
+        joint[a, lm.GROUPS + classes[b]] += 1
+    return total, classes, groups, near, joint
 
 
 def _small_model():
-    enc, end = lm.encoding()
+    _, end = lm.encoding()
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha beta gamma", "one two three four"]) for _ in range(30)).encode() for _ in range(120)]
-    sequences = [lm.subwords(lm.words_of(t), enc, end) for t in texts]
-    features, classes = lm.fit_features(sequences[:100], end + 1)
-    counts = np.bincount(np.concatenate(sequences[:100]), minlength=end + 1) + 0.1
-    by_class = np.bincount(classes, counts, lm.CLASSES)
-    windows, targets, real, _ = lm.cut_windows(sequences[:100], end)
-    weights = lm.train(lm.start_weights(), features, windows, np.where(real, classes[targets], -1), 6, 0.02)
-    model = lm.Model(features, classes, np.log(counts / by_class[classes]).astype(np.float32), weights, end)
+    sequences = [lm.subwords(lm.words_of(t)) for t in texts]
+    total, classes, groups, _, joint = _counts(sequences[:100], end)
+    model = lm.assemble(total, classes, groups, joint[:, : lm.GROUPS], joint[:, lm.GROUPS :])
+    trainer = lm.Trainer(model, 0.02, 5)
+    for _ in range(6):
+        trainer.add(sequences[:100])
+    model.weights = trainer.done()
     model.tables()
-    return model, sequences, counts
+    return model, sequences, total + 0.1
 
 
-def test_attention_learns_held_out_text_and_is_a_distribution():
+def test_the_model_learns_and_sums_to_one():
     model, sequences, counts = _small_model()
     held = sequences[100:]
     unigram = sum(np.log10(counts[s] / counts.sum()).sum() for s in held)
@@ -191,6 +213,13 @@ def test_attention_learns_held_out_text_and_is_a_distribution():
     assert np.exp(p[:, [0, 3, lm.STEP - 1]]).sum(0) == pytest.approx(1, abs=1e-3)
 
 
+def test_logits_stay_in_the_range_of_the_exponential():
+    """At the greatest norms that training allows, an attention or class logit is below 87."""
+    assert lm.MOST_QK**2 + lm.MOST_BIAS < 87 and (2 * lm.MOST_V + lm.MOST_R) * lm.MOST_OUT + lm.MOST_BIAS < 87
+    x = np.linspace(-85, 85, 100_001, dtype=np.float32)
+    assert np.abs(lm.exponential(x * lm.SCALE + lm.SHIFT) / np.exp(x.astype(np.float64)) - 1).max() < 0.062
+
+
 def test_each_token_is_scored_once_and_causally():
     model, sequences, _ = _small_model()
     alone = [float(lm.score_sequences(model, [s])[0]) for s in sequences[:7]]

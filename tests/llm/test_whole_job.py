@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import lm, pii, quality
 
+from test_models import _counts
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -46,45 +48,42 @@ def test_copies_change_no_confidence(spark):
 
 # -- language model
 
-def test_features_come_from_all_training_documents(spark, monkeypatch):
-    """As many documents as the sample holds say nothing about most of the words."""
-    monkeypatch.setattr(lm, "SAMPLE_DOCUMENTS", 5)
+def _encoded(spark, texts):
+    rows = [(i, False, lm.subword_bytes(lm.words_of((t or "").encode()))) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary")
+
+
+def test_counts_come_from_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SEQUENCE_IDS", 50)
+    monkeypatch.setattr(lm, "CELLS_AT_ONCE", 30)
     texts = [f"{a} {b} {b} {c}" for a in ("red", "green", "blue") for b in ("house", "garden", "river") for c in ("stands", "falls")] * 3
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
-    enc, end = lm.encoding()
-    model = lm.fit(df, lm.word_counts(df))
-    sequences = [lm.subwords(lm.words_of(t.encode()), enc, end) for t in texts]
-    frequency = np.bincount(np.concatenate(sequences), minlength=end + 1)
-    counts = np.zeros((end + 1, 2 * lm.CONTEXTS), np.float32)
+    df, (_, end) = _encoded(spark, texts).repartition(3), lm.encoding()
+    sequences = [lm.subwords(lm.words_of(t.encode())) for t in texts]
+    total, classes, groups, near, joint = _counts(sequences, end)
+    assert (lm.id_counts(df.select("ids"), end) == total).all()
+    column = lm.context_columns(total)
+    assert (lm.pair_counts(df.select("ids"), 2 * lm.CONTEXTS, lambda b, a: lm.neighbour_cells(b, a, column), end, "near") == near).all()
+    assert (lm.pair_counts(df.select("ids"), lm.GROUPS + lm.CLASSES, lambda b, a: lm.joint_cells(b, a, classes, groups), end, "joint") == joint).all()
+
+
+def test_all_windows_of_every_document_train_once():
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(4)] + ["one line", ""]
+    sequences, (_, end) = [lm.subwords(lm.words_of(t.encode())) for t in texts], lm.encoding()
+    model = lm.assemble(np.ones(end + 1), np.arange(end + 1) % lm.CLASSES, (np.arange(end + 1) % lm.GROUPS).astype(np.uint8), np.zeros((end + 1, lm.GROUPS), np.float32), np.zeros((end + 1, lm.CLASSES), np.float32))
+    trainer, goals = lm.Trainer(model, 0.01, 5), []
+    step = trainer._step
+    trainer._step = lambda windows, goal: (goals.append((goal >= 0).sum()), step(windows, goal))
     for s in sequences:
-        lm.add_neighbours(counts, np.concatenate([[end], s]), column := lm.context_columns(frequency))
-    counts[end, column[end]] = counts[end, lm.CONTEXTS + column[end]] = 0  # how texts follow one another is left to chance
-    seen = np.flatnonzero(frequency)
-    assert (np.abs(model.features[seen]).sum(1) > 0).all()
-    found = {r["cell"]: r["n"] for r in lm.neighbour_counts(df, column, None).collect()}
-    skip = {end * 2 * lm.CONTEXTS + column[end], end * 2 * lm.CONTEXTS + lm.CONTEXTS + column[end]}
-    assert {k: v for k, v in found.items() if k not in skip} == {int(k): int(counts.flat[k]) for k in np.flatnonzero(counts)}
-
-
-def test_all_windows_of_every_document_train(spark, monkeypatch, tmp_path):
-    """What each partition trains on, told by a file: all ids of long texts, and of more texts than are held at once."""
-    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(4)] + ["one line", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    enc, end = lm.encoding()
-    at = str(tmp_path / "goals")
-
-    def train(w, features, windows, goals, **_):
-        with open(at, "a") as f:
-            print(int((goals >= 0).sum()), file=f)
-        return w
-
-    monkeypatch.setattr(lm, "train", train)
-    monkeypatch.setattr(lm, "SEQUENCE_IDS", 2000)
-    weights = lm.start_weights()
-    features, classes = np.zeros((end + 1, lm.FEATURES), np.float32), np.arange(end + 1) % lm.CLASSES
-    run = lm._train_on_all.__get__(df)
-    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: spark.createDataFrame([(r["i"], r["x"], r["n"]) for b in f(iter(self.toArrow().to_batches())) for r in b.to_pylist()], schema))
-    out = run(weights, features, classes, end, None)
-    trained = [int(x) for x in open(at).read().split()]
-    assert sum(trained) == sum(len(lm.subwords(lm.words_of((t or "").encode()), enc, end)) for t in texts) and len(trained) > 1
-    assert all(np.allclose(out[k], weights[k]) for k in weights)
+        trainer.add([s])
+    trainer.done()
+    assert sum(goals) == sum(map(len, sequences)) and trainer.windows == sum(-(-len(s) // lm.TRAIN_WINDOW) for s in sequences)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Several rounds of several shards: the same scores from any layout and order of the rows."""
+    monkeypatch.setattr(lm, "SHARD_IDS", 900)
+    monkeypatch.setattr(lm, "GROWTH", 2)
+    texts = [" ".join(f"{a}{(i * k) % 7}" for k, a in enumerate(("red", "green", "blue", "house") * 12)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = ({r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score(x).collect()} for x in (df.coalesce(1), df.orderBy("text").repartition(7)))
+    assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], rtol=1e-4) for k in one)
