@@ -5,9 +5,9 @@ chosen, for a loss that weighs the part of the residual parallel to the vector m
 inner products that matter: those of queries that score high. The fit is on a bounded sample (SAMPLE_VECTORS, by the least hashes
 of vec_id); every vector is coded and searched.
 
-A scan looks up sums of query tables by code, two codes a byte, in blocks of rows; each block's best RERANK vectors by these
-sums are scored exactly, in double precision, and merged into the query's best k. Queries come in bounded chunks that
-are broadcast, so one scan of the vectors serves a whole chunk.
+Vectors are coded once, and stored with their codes. A scan looks up sums of query tables by code, two codes a byte, in blocks of
+rows; each block's best RERANK vectors by these sums are scored exactly, in double precision, and merged into the query's
+best k. Queries come in bounded chunks that are broadcast, so one scan of the vectors serves a whole chunk.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ RERANK = 192
 #: Queries of one broadcast, and rows of one block.
 QUERY_CHUNK = 8192
 BLOCK_ROWS = 16_384
+#: Repeated ids up to this many are broadcast; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass
@@ -120,20 +122,18 @@ class Search:
         self.best_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.best = np.full((len(ids), k), -np.inf)
 
-    def block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def block(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray) -> None:
+        """Search a block: ids are distinct; codes as packed() gives them."""
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
+        ids, vectors, codes = ids[order], vectors[order], codes[order]
         # Copies of a vector tie: only its k + 1 least ids can be among the k best (one may be the query itself).
         _, inverse, counts = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True, return_counts=True)
         if counts.max() > self.k + 1:
             grouped = np.argsort(inverse, kind="stable")
             rank = np.arange(len(ids)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
             keep = np.sort(grouped[rank <= self.k])
-            ids, vectors = ids[keep], vectors[keep]
-        if len(ids) <= self.rerank:
-            near = None
-        else:
-            codes = packed(self.books.encode(vectors))
+            ids, vectors, codes = ids[keep], vectors[keep], codes[keep]
+        near = None  # no more vectors than are reranked: all of them are
         step = max(1, 4_000_000 // len(ids))
         for a in range(0, len(self.ids), step):
             b = min(len(self.ids), a + step)
@@ -167,27 +167,61 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
 
 
+def one_per_id(good: DataFrame) -> DataFrame:
+    """good (vec_id, v) with one row per vec_id: the least vector, in order of components, of an id that repeats.
+
+    Only ids are shuffled to find those; vectors of ids that occur once stay where they are.
+    """
+    repeated = staged(good.groupBy("vec_id").agg(F.count("*").alias("times")).where("times > 1").select("vec_id"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return good
+    small = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    again = good.join(small, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.join(small, "vec_id", "left_anti").unionByName(again)
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every.
 
     Scores are exact inner products; nearest first, ties to the smaller vec_id. All other rows are candidates.
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of another
-    length than the most common one (the shorter, in a tie) take no part. Of rows that share a vec_id, equal vectors count
-    once and others each; a query never finds its own id. An empty table gives no rows.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of
+    different lengths have no inner product: a query's candidates are those of its own length. Of rows that share a vec_id one
+    takes part, with the least vector in order of components; a query never finds its own id. An empty table gives no rows.
     """
     require(vectors, "vec_id", "embedding")
     spark = vectors.sparkSession
-    result = "query_id long, vec_id long, score double"
-    good = usable(vectors)
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").head(1)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    dim = sizes[0]["dim"]
-    good = good.where(F.size("v") == dim)
+    good = staged(one_per_id(usable(vectors)), "vectors")
+    sizes = [r["dim"] for r in good.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]
+    found = None
+    for dim in sizes:
+        near = _search_length(good.where(F.size("v") == dim), dim, every, k, rerank)
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _coded(good: DataFrame, books, dim: int) -> DataFrame:
+    """good with the packed code of each vector, staged."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            codes = packed(books.value.encode(x)) if batch.num_rows else np.empty((0, 1), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "code"])
+
+    return staged(good.mapInArrow(run, "vec_id long, v array<double>, code binary"), "coded")
+
+
+def _search_length(good: DataFrame, dim: int, every: int, k: int, rerank: int) -> DataFrame:
+    """(query_id, vec_id, score): k candidates or more of each query, over vectors of one length, staged by chunk of queries."""
+    spark = good.sparkSession
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).select("v")
     books = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sample.toLocalIterator()])))
-    queries = good.where(F.col("vec_id") % every == 0).distinct()
+    coded = _coded(good, books, dim)
+    queries = coded.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     chunks = max(1, -(-queries.count() // QUERY_CHUNK))
     found = None
     for c in range(chunks):
@@ -201,12 +235,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERAN
             state, held, size = Search(books.value, ids, points, k, rerank), [], 0
 
             def flush():
-                state.block(np.concatenate([h[0] for h in held]), np.ascontiguousarray(np.concatenate([h[1] for h in held])))
+                own, vectors, codes = (np.concatenate(x) for x in zip(*held))
+                state.block(own, np.ascontiguousarray(vectors), codes)
 
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)))
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim), codes))
                 size += batch.num_rows
                 if size >= BLOCK_ROWS:
                     flush()
@@ -216,11 +252,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERAN
             q, v, s = state.rows()
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-        near = staged(good.mapInArrow(scan, result), "nearest")
+        near = staged(coded.mapInArrow(scan, "query_id long, vec_id long, score double"), "nearest")
         found = near if found is None else found.unionByName(near)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,55 @@ def test_recall_with_copies(spark):
     assert np.mean([len(got[q] & {j for _, j in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def _found(spark, vectors, **options):
+    got: dict = {}
+    for r in ann.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1), **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_repeated_rows_cost_no_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    want = _found(spark, vectors)
+    assert all(len(x) == 20 and len({i for i, _ in x}) == 20 for x in want.values()) and len(want) == 20
+    assert _found(spark, vectors * 2) == want
+    monkeypatch.setattr(ann, "BROADCAST_IDS", -1)
+    assert _found(spark, vectors + vectors[:7] * 50) == want
+
+
+def test_an_id_of_several_vectors_stands_for_the_least(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    more = [(3, [9.0] * 8), (40, [8.0] * 8), (5, [-50.0, *[9.0] * 7])]
+    least = [(i, min([v, *(w for j, w in more if j == i)])) for i, v in vectors]
+    assert _found(spark, vectors + more) == _found(spark, least)
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(6)
+    short, long = [(i, rng.normal(size=4).tolist()) for i in range(0, 100, 2)], [(i, rng.normal(size=6).tolist()) for i in range(1, 100, 2)]
+    long += [(100, rng.normal(size=6).tolist())]
+    got = _found(spark, short + long)
+    assert set(got) == {0, 20, 40, 60, 80, 100}
+    assert all({v % 2 for v, _ in x} == ({1} if q == 100 else {0}) and len(x) == 20 for q, x in got.items())
+
+
+def test_recall_of_a_full_block(spark):
+    """One block of BLOCK_ROWS vectors, of which RERANK are reranked."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, ann.BLOCK_ROWS)] + 0.6 * rng.normal(size=(ann.BLOCK_ROWS, 32))
+    ids = np.arange(len(x))
+    queries = ids[ids % 400 == 0]
+    books = ann.fit(x[:4000])
+    search = ann.Search(books, queries, x[queries], 20, ann.RERANK)
+    search.block(ids, x, ann.packed(books.encode(x)))
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(search.best_ids.tolist(), want.tolist())]) >= 0.9
+
+
 def test_anisotropic_loss_favours_inner_products():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16)) * np.linspace(2, 0.5, 16)
