@@ -2,12 +2,11 @@
 
 Lines are normalised (ASCII lower case, runs of digits as 0, runs of white space as one space) and
 hashed to 64 bits. For each host (the source), distinct documents that hold a line are counted. A
-line found in more documents than the host's limit is boilerplate; it is removed from the host's
-documents, and a document that is left with too little of its text is rejected.
+line found in more documents than the host's limit is boilerplate, whatever its length; it is removed from the
+host's documents, and a document that is left with too little of its text is rejected.
 
-Copies of a text say nothing about boilerplate and are the near-duplicate stage's to remove. The
-documents counted are therefore distinct by a hash of the whole text, normalised as lines are: texts
-that are equal but for case, digits and white space count once, any others each.
+Documents are distinct by doc_id. With copies_once they are distinct by a hash of the whole text, normalised as lines
+are: a stage that is followed by the removal of copies then doesn't reject all of a large group of them.
 """
 
 from __future__ import annotations
@@ -24,15 +23,13 @@ from .common import require, staged
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is above the limit of a host if more distinct documents hold it than both of these.
+#: A line is above the limit of a host if more distinct documents hold it than both of these: a number, and a part of the host's rows.
 LIMIT_DOCUMENTS = 10
-LIMIT_SHARE = 0.002
-#: Read by the brute-force test only: lines above the limit are removed whatever their length.
-MIN_LINE_WORDS = 3
-#: A document is depleted if its removed lines hold more than this share of its words.
-DEPLETED_SHARE = 0.7
-#: Hot lines up to this many rows (24 bytes each) are broadcast; beyond, the join shuffles.
-BROADCAST_LINES = 1_000_000
+LIMIT_PER_MILLE = 2
+#: A document is depleted if its removed lines hold more than this part of its words.
+DEPLETED_PERCENT = 70
+#: Hot lines up to this many rows (about 100 bytes each in Python) are broadcast; beyond, the join shuffles.
+BROADCAST_LINES = 300_000
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
@@ -87,30 +84,36 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
-def _occurrences(batches):
-    """(host, line, hash of the document's text) of each distinct line of a document."""
-    for batch in batches:
-        hosts = batch.column(0)
-        row, lines, texts = [], [], []
-        for i, text in enumerate(_texts(batch)):
-            own = {h for x in text.split(b"\n") if (h := line_hash(x)) is not None}
-            if own:
-                row += [i] * len(own)
-                lines += own
-                texts += [text_hash(text)] * len(own)
-        yield pa.RecordBatch.from_arrays([hosts.take(pa.array(row, pa.int64())), pa.array(lines, pa.int64()), pa.array(texts, pa.int64())], names=["host", "line", "text"])
+def _occurrences(copies_once: bool):
+    """A mapInArrow function over (host, doc_id, text): (host, line, document) of each distinct line of a row."""
+
+    def run(batches):
+        for batch in batches:
+            row, lines, keys = [], [], []
+            for i, (doc_id, text) in enumerate(zip(batch.column(1).to_pylist(), _texts(batch))):
+                own = {h for x in text.split(b"\n") if (h := line_hash(x)) is not None}
+                if own:
+                    row += [i] * len(own)
+                    lines += own
+                    keys += [text_hash(text) if copies_once or doc_id is None else doc_id] * len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(lines, pa.int64()), pa.array(keys, pa.int64())], names=["host", "line", "document"])
+
+    return run
 
 
-def hot_lines(documents: DataFrame, host: str = "source") -> DataFrame:
-    """(host, line, n_docs) of the lines above their host's limit, over all documents."""
-    held = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string"))
-    occurrences = held.mapInArrow(_occurrences, "host string, line long, text long").distinct()
+def hot_lines(documents: DataFrame, host: str = "source", copies_once: bool = False) -> DataFrame:
+    """(host, line, n_docs) of the lines above their host's limit, over all documents.
+
+    Rows that share a doc_id are one document; rows with a null one are told apart by their texts.
+    """
+    held = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    occurrences = held.mapInArrow(_occurrences(copies_once), "host string, line long, document long").distinct()
     counts = occurrences.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > LIMIT_DOCUMENTS)
     sizes = held.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(sizes, "host").where(F.col("n_docs") > F.col("host_docs") * LIMIT_SHARE).select("host", "line", "n_docs")
+    return counts.join(sizes, "host").where(F.col("n_docs") * 1000 > F.col("host_docs") * LIMIT_PER_MILLE).select("host", "line", "n_docs")
 
 
-def assess(documents: DataFrame, host: str = "source", clean: bool = False) -> DataFrame:
+def assess(documents: DataFrame, host: str = "source", clean: bool = False, copies_once: bool = False) -> DataFrame:
     """Statistics and verdict of each row of documents; with clean, the text without hot lines too.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -120,7 +123,7 @@ def assess(documents: DataFrame, host: str = "source", clean: bool = False) -> D
     """
     require(documents, "doc_id", "text", host)
     spark = documents.sparkSession
-    hot = staged(hot_lines(documents, host), "hot-lines")
+    hot = staged(hot_lines(documents, host, copies_once), "hot-lines")
     n_hot = hot.count()
     at = documents.columns
 
@@ -166,7 +169,7 @@ def assess(documents: DataFrame, host: str = "source", clean: bool = False) -> D
                     if clean:
                         text = b"\n".join(left)
                 failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-                kept = not failed and hot_words <= DEPLETED_SHARE * n
+                kept = not failed and 100 * hot_words <= DEPLETED_PERCENT * n
                 for column, value in zip(columns, (n, chars, symbols, duplicates, repeats, failed, kept, hot_n, hot_words)):
                     column.append(value)
                 cleaned.append(text)
@@ -184,8 +187,6 @@ def assess(documents: DataFrame, host: str = "source", clean: bool = False) -> D
     return judged.mapInArrow(verdicts, schema)
 
 
-
-
 def _own_lines(batches):
     for batch in batches:
         row, lines = [], []
@@ -197,13 +198,37 @@ def _own_lines(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(lines, pa.int64()), batch.column(2).take(take)], names=["host", "line", "uid"])
 
 
-def filter_documents(documents: DataFrame, host: str = "source") -> DataFrame:
+def filter_documents(documents: DataFrame, host: str = "source", copies_once: bool = False) -> DataFrame:
     """The documents that pass, with lines above the limit removed and n_chars (if there) counted anew."""
-    kept = assess(documents, host, clean=True).where("kept")
+    kept = assess(documents, host, clean=True, copies_once=copies_once).where("kept")
     fresh = {"text": F.col("row_text"), "n_chars": F.length("row_text").cast("long")}
     return kept.select(*(fresh.get(c, F.col(f"row.`{c}`")).cast(documents.schema[c].dataType).alias(c) for c in documents.columns))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
-    """Contract query: statistics and verdict for every document."""
+    """Contract query: statistics and verdict for every document. Nulls, repeated rows and empty tables: as assess()."""
     return assess(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+#: The same in DuckDB, by the normalised lines themselves; a null doc_id counts by the text, as in hot_lines().
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT uid, regexp_extract_all(text, {_WORDS}) AS words FROM d),
+windows AS (SELECT uid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS three FROM (SELECT uid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+again AS (SELECT uid, i FROM windows QUALIFY count(*) OVER (PARTITION BY uid, three) > 1),
+repeats AS (SELECT uid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY uid),
+lines AS (SELECT uid, doc_id, host, text, line, regexp_extract_all(line, {_WORDS}) AS words FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM d)),
+normal AS (SELECT *, regexp_replace(translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm FROM lines WHERE len(words) > 0),
+hosts AS (SELECT host, count(*) AS size FROM d GROUP BY host),
+held AS (SELECT host, norm, count(DISTINCT CASE WHEN doc_id IS NULL THEN 'text ' || md5(text) ELSE CAST(doc_id AS VARCHAR) END) AS n FROM normal GROUP BY host, norm),
+hot AS (SELECT host, norm FROM held JOIN hosts USING (host) WHERE n > {LIMIT_DOCUMENTS} AND n * 1000 > size * {LIMIT_PER_MILLE}),
+by_line AS (SELECT uid, count(*) - count(DISTINCT line) AS duplicates, count(hot.norm) AS hot_lines, coalesce(sum(CASE WHEN hot.norm IS NOT NULL THEN len(words) END), 0) AS hot_words
+  FROM normal LEFT JOIN hot ON hot.host = normal.host AND hot.norm = normal.norm GROUP BY uid),
+measured AS (SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(length(array_to_string(w.words, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(by_line.duplicates, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(coalesce(by_line.hot_lines, 0) AS BIGINT) AS n_hot_lines, CAST(coalesce(by_line.hot_words, 0) AS BIGINT) AS n_hot_words
+  FROM d JOIN w USING (uid) LEFT JOIN repeats USING (uid) LEFT JOIN by_line USING (uid)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND 100 * n_hot_words <= {DEPLETED_PERCENT} * n_words AS kept FROM judged"""

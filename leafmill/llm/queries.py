@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup
+from . import mixing, neardup, quality
 from .ann import op1_ann
 from .html import op8_html
 from .licenses import op7_licenses
@@ -26,4 +26,4 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.oracle(), "op9_neardup": neardup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality": quality.ORACLE_SQL, "op5_mixing": mixing.oracle(), "op9_neardup": neardup.ORACLE_SQL}

@@ -143,28 +143,38 @@ def test_statistics_against_brute_force(text):
     assert quality.statistics(text.encode()) == brute_statistics(text)
 
 
-def test_quality_against_brute_force(documents, rows):
-    got = Counter(tuple(r) for r in quality.assess(documents).collect())
+@pytest.mark.parametrize("copies_once", [False, True])
+def test_quality_against_brute_force(documents, rows, copies_once):
+    got = Counter(tuple(r) for r in quality.assess(documents, copies_once=copies_once).collect())
     norm = lambda x: re.sub(r"[0-9]+", "0", " ".join(WORD.findall(x.lower())))
     held, hosts = {}, Counter()
-    for _, text, _, host, _ in rows:
+    for doc_id, text, _, host, _ in rows:
         hosts[host or ""] += 1
-        own = {norm(x) for x in (text or "").split("\n") if WORD.search(x)}
-        sketch = min((quality.line_hash(x.encode()) for x in own), default=None)
-        for x in own:
-            held.setdefault((host or "", x), set()).add(sketch)
-    hot = {k for k, v in held.items() if len(v) > quality.LIMIT_DOCUMENTS and len(v) > quality.LIMIT_SHARE * hosts[k[0]]}
+        for x in {norm(x) for x in (text or "").split("\n") if WORD.search(x)}:
+            held.setdefault((host or "", x), set()).add(norm(text) if copies_once or doc_id is None else doc_id)
+    hot = {k for k, v in held.items() if len(v) > quality.LIMIT_DOCUMENTS and 1000 * len(v) > quality.LIMIT_PER_MILLE * hosts[k[0]]}
     assert ("src0", "this line is on every third page of the site.") in hot
     want = Counter()
     for doc_id, text, _, host, _ in rows:
         n, chars, symbols, duplicates, repeats = brute_statistics(text)
-        lines = [x for x in (text or "").split("\n") if (host or "", norm(x)) in hot and len(WORD.findall(x)) >= quality.MIN_LINE_WORDS]
+        lines = [x for x in (text or "").split("\n") if (host or "", norm(x)) in hot]
         lost = sum(len(WORD.findall(x)) for x in lines)
         failed = n < 50 or 100 * repeats > 50 * n
-        want[doc_id, n, chars, symbols, duplicates, repeats, failed, not failed and lost <= quality.DEPLETED_SHARE * n, len(lines), lost] += 1
+        want[doc_id, n, chars, symbols, duplicates, repeats, failed, not failed and 100 * lost <= quality.DEPLETED_PERCENT * n, len(lines), lost] += 1
     assert got == want
 
 
+def test_quality_against_sql(documents):
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("documents", documents.select("doc_id", "text", "source").toArrow())
+    names = list(quality.STATISTICS)
+    sql = c.sql(quality.ORACLE_SQL)
+    at = [sql.columns.index(n) for n in names]
+    assert Counter(tuple(r) for r in quality.assess(documents).collect()) == Counter(tuple(r[i] for i in at) for r in sql.fetchall())
+
+
 def test_many_hot_lines_take_the_shuffled_way(documents, monkeypatch):
     want = sorted(map(tuple, quality.filter_documents(documents).select("doc_id", "text", "n_chars").collect()), key=repr)
     monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
@@ -174,7 +184,7 @@ def test_many_hot_lines_take_the_shuffled_way(documents, monkeypatch):
 def test_depleted_documents_go(spark):
     line = "the same long line of a site that every page of it repeats over and over again"
     rows = [(i, "\n".join([f"own words of page number {i} alpha{i} beta{i}"] + [f"{line} {k % 7} tail" for k in range(5)] * 1), "en", "s", 0) for i in range(30)]
-    rows += [(100 + i, " ".join(f"u{i}x{k}" for k in range(80)), "en", "s", 0) for i in range(30)]
+    rows += [(100 + i, " ".join("u" * (i + 1) + "x" * (k + 1) for k in range(80)), "en", "s", 0) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in quality.filter_documents(df).collect()}
     assert kept == set(range(100, 130))
@@ -183,7 +193,7 @@ def test_depleted_documents_go(spark):
 def test_filtered_rows_keep_their_columns(documents):
     out = quality.filter_documents(documents)
     assert out.columns == documents.columns and [f.dataType for f in out.schema] == [f.dataType for f in documents.schema]
-    row = out.where("doc_id = 3").first()
+    row = out.where("doc_id = 6").first()
     assert row["host"] == "host" and "every third page" not in row["text"] and row["n_chars"] == len(row["text"])
 
 

@@ -26,9 +26,21 @@ def _least_line(n):
 def test_documents_that_share_their_least_line_count_each(spark):
     own, shared = _least_line(30)
     rows = [(i, f"{x}\n{shared}", "en", "s", 0) for i, x in enumerate(own)]
-    rows += [(100 + i, f"a copied text {shared}\nwith this line", "en", "s", 0) for i in range(30)]  # copies count once
-    got = {(r["host"], r["line"]): r["n_docs"] for r in quality.hot_lines(spark.createDataFrame(rows, COLUMNS)).collect()}
-    assert got == {("s", quality.line_hash(shared.encode())): 30}
+    copied = [f"a copied text {shared}", "with this line"]
+    rows += [(100 + i, "\n".join(copied), "en", "s", 0) for i in range(30)]
+    rows += rows[:5]  # repeated rows are one document
+    df, key = spark.createDataFrame(rows, COLUMNS), lambda x: ("s", quality.line_hash(x.encode()))
+    counted = lambda once: {(r["host"], r["line"]): r["n_docs"] for r in quality.hot_lines(df, copies_once=once).collect()}
+    assert counted(True) == {key(shared): 30} and counted(False) == {key(shared): 30, key(copied[0]): 30, key(copied[1]): 30}
+
+
+def test_pages_of_nothing_but_boilerplate_are_rejected(spark):
+    lines = [" ".join(f"{name}{_letters(k)}" for k in range(20)) for name in ("menu", "footer", "link")]
+    rows = [(i, "\n".join(lines), "en", "s", 0) for i in range(500)] + [(1000 + i, " ".join(f"{_letters(i)}x{_letters(k)}" for k in range(80)), "en", "s", 0) for i in range(100)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert quality.hot_lines(df).count() == 3
+    assert {r["doc_id"] for r in quality.assess(df).where("kept").collect()} == set(range(1000, 1100))
+    assert quality.filter_documents(df, copies_once=True).count() == 600  # all left to the removal of copies
 
 
 def test_short_lines_above_the_limit_go(spark):
