@@ -1,7 +1,8 @@
 """Training-corpus pipeline: quality rules, near-duplicates, personal data, mixing, packing.
 
 Each stage gets its predecessor's output as Parquet and works on all of it. All but the last return documents with
-their own columns: quality drops rejected documents and removes boilerplate lines; near-duplicates keeps the least
+their own columns: quality drops rejected documents and removes boilerplate lines (copies of a
+text count once there, or all of a large group would go before one of it is chosen); near-duplicates keeps the least
 doc_id of each component; personal data is replaced in the texts; mixing takes each document once for every
 epoch that its budget allows. Packing returns a row per piece.
 """
@@ -18,7 +19,7 @@ from leafmill.llm.pii import redact_documents
 from leafmill.llm.quality import filter_documents
 
 STAGES = [
-    ("quality", lambda spark, docs, sf_dir: filter_documents(docs)),
+    ("quality", lambda spark, docs, sf_dir: filter_documents(docs, copies_once=True)),
     ("near_duplicates", lambda spark, docs, sf_dir: keep_one(docs)),
     ("personal_data", lambda spark, docs, sf_dir: redact_documents(docs)),
     ("mixing", lambda spark, docs, sf_dir: mix_documents(docs)),
