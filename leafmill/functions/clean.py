@@ -26,15 +26,28 @@ def fuse(text: Column) -> Column:
 
 
 def repair(text: Column) -> Column:
+    """The literal repairs of REPAIRS, wherever they occur; null stays null."""
     for wrong, right in REPAIRS:
         text = F.replace(text, F.lit(wrong), F.lit(right))
     return text
 
 
 def split_words(text: Column) -> Column:
+    """The words of APART set apart, in any case. Null stays null; a text without any of them, which a cheap search tells, is left as it is."""
+    pairs = [(first + second).lower() for first, more in APART for second in more.split("|")]
+    folded = F.translate(F.lower(F.upper(F.translate(text, "İ", "i"))), "ſ", "s")
+    held = F.exists(F.array(folded), lambda t: _any(t, pairs))
+    out = text
     for first, second in APART:
-        text = F.regexp_replace(text, f"(?iu)({first})({second})", f"{first} $2" if first == "uppdatera" else "$1 $2")
-    return text
+        out = F.regexp_replace(out, f"(?iu)({first})({second})", f"{first} $2" if first == "uppdatera" else "$1 $2")
+    return F.when(held, out).otherwise(text)
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
 
 
 def split_long(text: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Table functions for SQL: SELECT d.id, p.* FROM docs d, LATERAL pdf_pages(d.content) p."""
+"""Table functions for SQL: SELECT d.id, p.* FROM docs d, LATERAL pdf_pages(d.content) p.
+
+Null contents, those that are no document and those over MAX_SAFE_SIZE have no rows; none of them fails.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,23 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from leafmill.kernel import document as kernel
+from leafmill.sources.pdf import MAX_SAFE_SIZE
 
 #: A limit that no document reaches, for whole documents.
 ALL_PAGES = 2**31 - 1
 
 
+def _within(content: bytes | None) -> bytes:
+    """The content, or nothing if it is over the size limit."""
+    return bytes(content) if content and len(content) <= MAX_SAFE_SIZE else b""
+
+
 @udtf(returnType="page_number int, width double, height double, n_runs int, n_images int")
 class PdfPages:
     """A row per page of a document."""
 
     def eval(self, content: bytes):
-        for p in kernel.parse(bytes(content or b""), ALL_PAGES)["pages"]:
+        for p in kernel.parse(_within(content), ALL_PAGES)["pages"]:
             yield p["page_number"], p["width"], p["height"], sum(map(len, p["streams"])), len(p["images"])
 
 
@@ -25,7 +34,7 @@ class PdfRuns:
     """A row per text run of a document."""
 
     def eval(self, content: bytes):
-        for p in kernel.parse(bytes(content or b""), ALL_PAGES, what=frozenset(["text"]))["pages"]:
+        for p in kernel.parse(_within(content), ALL_PAGES, what=frozenset(["text"]))["pages"]:
             for n, runs in enumerate(p["streams"]):
                 for seq, r in enumerate(runs):
                     yield (p["page_number"], n, seq, *r.values())
@@ -36,7 +45,7 @@ class PdfOperations:
     """A row per content operation of a document."""
 
     def eval(self, content: bytes):
-        for r in kernel.inspect(bytes(content or b""), "operations"):
+        for r in kernel.inspect(_within(content), "operations"):
             yield tuple(r.values())
 
 
@@ -45,7 +54,7 @@ class PdfObjects:
     """A row per object of a document."""
 
     def eval(self, content: bytes):
-        for r in kernel.inspect(bytes(content or b""), "objects"):
+        for r in kernel.inspect(_within(content), "objects"):
             yield tuple(r.values())
 
 

@@ -12,6 +12,8 @@ from .values import PdfString, Stream, decode_text, kind_of, text_of
 
 #: Info keys with text, and the result's names for them.
 INFO = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "creator", "Producer": "producer"}
+#: Notes listed in a document's error.
+MAX_NOTES = 20
 EMPTY_METADATA = {n: "" for n in INFO.values()} | {"creation_date": None, "modification_date": None, "page_count": 0, "is_encrypted": False}
 
 
@@ -64,51 +66,79 @@ def page_streams(s: Structure, page: dict, resources: dict, compat: bool) -> lis
 
 
 def parse(data: bytes, max_pages: int = 100, what: frozenset[str] = frozenset(["text", "images"]), compat: bool = False) -> dict:
-    """version, status, error, metadata and pages of a document. A page that fails is marked, and the rest goes on."""
+    """version, status, error, metadata and pages of a document; never raises, whatever the bytes.
+
+    status: ok; recovered (found by a scan); truncated (a limit of the parser cut something, named in error); error (no
+    document, or one that can't be read, with the reason). A page that fails is marked, and the rest goes on; objects that can't
+    be read count as missing and are named in error.
+    """
+    pages: list[dict] = []
     try:
         s = Structure(data)
-    except NotAPdf as e:
-        return {"version": None, "status": "error", "error": str(e), "metadata": dict(EMPTY_METADATA), "pages": []}
-    pages = []
-    for number, (page, inherited) in enumerate(s.pages(), 1):
-        if number > max_pages:
-            break
-        width, height = box(s, inherited.get("MediaBox"))
+    except Exception as e:  # noqa: BLE001 one document must not take its task along
+        return failure(e)
+    try:
+        for number, (page, inherited) in enumerate(s.pages(), 1):
+            if number > max_pages:
+                break
+            pages.append(_page(s, page, inherited, number, what, compat))
+        if not pages and not s.xref:
+            return failure(NotAPdf("no pages and no objects"), s.version)
+        held = metadata(s)
+    except Exception as e:  # noqa: BLE001
+        return failure(e, s.version) | {"pages": pages}
+    status = "truncated" if s.cut else "recovered" if s.recovered else "ok"
+    return {"version": s.version, "status": status, "error": "; ".join([*s.notes][:MAX_NOTES]) or None, "metadata": held, "pages": pages}
+
+
+def failure(e: Exception, version: str | None = None) -> dict:
+    """The row of a document that can't be read."""
+    reason = str(e) if isinstance(e, NotAPdf) else f"{type(e).__name__}: {e}"
+    return {"version": version, "status": "error", "error": reason, "metadata": dict(EMPTY_METADATA), "pages": []}
+
+
+def _page(s: Structure, page: dict, inherited: dict, number: int, what: frozenset[str], compat: bool) -> dict:
+    row = {"page_number": number, "width": 0.0, "height": 0.0, "failed": False, "streams": [], "images": []}
+    try:
+        row["width"], row["height"] = box(s, inherited.get("MediaBox"))
         resources = inherited.get("Resources") or {}
-        row = {"page_number": number, "width": width, "height": height, "failed": False, "streams": [], "images": []}
-        try:
-            if "text" in what:
-                row["streams"] = page_streams(s, page, resources, compat)
-            if "images" in what:
-                row["images"] = page_images(s, resources, number)
-        except Exception:  # noqa: BLE001 a damaged page must not take the document, or its task, along
-            row |= {"width": 0.0, "height": 0.0, "failed": True, "streams": [], "images": []}
-        pages.append(row)
-    if not pages and not s.xref:
-        return {"version": s.version, "status": "error", "error": "no pages and no objects", "metadata": dict(EMPTY_METADATA), "pages": []}
-    return {"version": s.version, "status": "recovered" if s.recovered else "ok", "error": None, "metadata": metadata(s), "pages": pages}
+        if "text" in what:
+            row["streams"] = page_streams(s, page, resources, compat)
+        if "images" in what:
+            row["images"] = page_images(s, resources, number)
+    except Exception:  # noqa: BLE001 a damaged page must not take the document along
+        row |= {"width": 0.0, "height": 0.0, "failed": True, "streams": [], "images": []}
+    return row
 
 
 def inspect(data: bytes, kind: str) -> list[dict]:
-    """Rows of an inspection table: xref, objects, operations, fonts."""
+    """Rows of an inspection table: xref, objects, operations, fonts; never raises, and a document that can't be read has none."""
     try:
         s = Structure(data)
-    except NotAPdf:
+    except Exception:  # noqa: BLE001
         return []
+    out: list[dict] = []
+    try:
+        _inspect(s, kind, out)
+    except Exception:  # noqa: BLE001 the rows so far stay
+        pass
+    return out
+
+
+def _inspect(s: Structure, kind: str, out: list[dict]) -> None:
     if kind == "xref":
-        return [
+        out += [
             {"section": section, "number": n, "generation": e.generation if e.container is None else 0, "offset": e.offset, "in_use": e.in_use, "compressed": e.container is not None, "container": e.container}
             for section, n, e in s.sections
         ]
+        return
     if kind == "objects":
-        out = []
         for n in sorted(s.xref):
             value = s.get(n)
             d = value.dictionary if isinstance(value, Stream) else value
             type_name = s.resolve(d.get("Type")) if isinstance(d, dict) else None
             out.append({"number": n, "generation": s.xref[n].generation if s.xref[n].container is None else 0, "kind": kind_of(value), "type": str(type_name) if type_name is not None else None, "value": text_of(value), "stream_length": len(value.raw) if isinstance(value, Stream) else None})
-        return out
-    out = []
+        return
     for number, (page, inherited) in enumerate(s.pages(), 1):
         if kind == "operations":
             for stream, data in enumerate(contents(s, page)):
@@ -120,4 +150,3 @@ def inspect(data: bytes, kind: str) -> list[dict]:
             for name, value in held.items() if isinstance(held, dict) else ():
                 if font := load_font(s, value):
                     out.append({"page_number": number, "key": str(name), "base_font": font.name, "subtype": font.subtype, "encoding": font.encoding, "composite": font.composite, "symbolic": font.symbolic, "embedded": font.embedded, "has_to_unicode": bool(font.to_unicode)})
-    return out

@@ -11,7 +11,7 @@ from .values import unhex
 SHORT = {"Fl": "FlateDecode", "A85": "ASCII85Decode", "AHx": "ASCIIHexDecode", "RL": "RunLengthDecode", "LZW": "LZWDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
 #: Filters whose data is an image format of its own.
 PASS = frozenset(["DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode", "Crypt"])
-#: Decoded bytes of one stream; more is damage or an attack.
+#: Decoded bytes of one stream; more is damage or an attack, and a document cut here says so in its status.
 MAX_DECODED = 256 << 20
 
 

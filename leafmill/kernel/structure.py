@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from .filters import decode
+from .filters import MAX_DECODED, decode
 from .values import END, Keyword, Name, Reader, Ref, Stream, SyntaxTrouble
 
 MAX_OBJECT = 10_000_000
 MAX_PAGE_DEPTH = 30
 MAX_SECTIONS = 1000
 MAX_FORM_DEPTH = 12
+#: Numbers that one cross-reference stream may name, whatever its dictionary says.
+MAX_SIZE = 10_000_000
 _VERSION = re.compile(rb"%PDF-([0-9]+\.[0-9]+)")
 _STARTXREF = re.compile(rb"startxref[\x00\t\n\f\r ]+([0-9]+)")
 _HEADER = re.compile(rb"[\x00\t\n\f\r ]*([0-9]+)[\x00\t\n\f\r ]+([0-9]+)[\x00\t\n\f\r ]+obj(?![A-Za-z])")
@@ -20,7 +22,7 @@ _SUBSECTION = re.compile(rb"[\x00\t\n\f\r ]*([0-9]+)[\x00\t\n\f\r ]+([0-9]+)[\x0
 _ENTRY = re.compile(rb"[\x00\t\n\f\r ]*([0-9]{1,10})[\x00\t\n\f\r ]+([0-9]{1,5})[\x00\t\n\f\r ]+([nf])")
 _STREAM = re.compile(rb"[\x00\t\n\f\r ]*stream(?:\r\n|\n|\r)?")
 _ENDSTREAM = re.compile(rb"[\r\n]{0,2}endstream")
-#: Resource kinds that children merge with those of their ancestors, name by name.
+# Resource kinds that children merge with those of their ancestors, name by name.
 MERGED = ("Font", "XObject", "ExtGState", "ColorSpace", "Pattern", "Shading", "Properties")
 
 
@@ -44,6 +46,11 @@ def version_of(data: bytes) -> str | None:
     return m.group(1).decode() if m else None
 
 
+def _whole(value) -> bool:
+    """A number that can be a count: an integer that isn't negative (nor a boolean)."""
+    return type(value) is int and value >= 0
+
+
 class Structure:
     """Objects of one document by number. Newer sections win; a document that can't be followed is scanned instead."""
 
@@ -56,11 +63,14 @@ class Structure:
         self.sections: list[tuple[int, int, Entry]] = []  # all entries as found: (section, number, entry)
         self.trailer: dict = {}
         self.recovered = False
+        self.notes: dict[str, None] = {}  # what was cut or could not be read, in order
+        self.cut = False
         self._cache: dict[int, object] = {}
         self._containers: dict[int, list] = {}
+        self._scanned: dict[tuple[int, int], int] | None = None
         try:
             self._follow()
-        except (SyntaxTrouble, ValueError, IndexError, RecursionError):
+        except Exception:  # noqa: BLE001 whatever a damaged table does, the scan below goes on without it
             self.xref, self.trailer = {}, {}
         if not isinstance(self.resolve(self.trailer.get("Root")), dict) or not self._has_pages():
             self._recover()
@@ -82,6 +92,12 @@ class Structure:
                 self.trailer.setdefault(key, value)
             todo = [x for x in (part.get("XRefStm"), part.get("Prev")) if isinstance(x, int)] + todo
             section += 1
+        if todo and section >= MAX_SECTIONS:
+            self.note(f"cut at {MAX_SECTIONS} cross-reference sections")
+
+    def note(self, what: str) -> None:
+        self.notes[what] = None
+        self.cut |= what.startswith("cut at")
 
     def _add(self, section: int, number: int, entry: Entry) -> None:
         self.sections.append((section, number, entry))
@@ -115,10 +131,13 @@ class Structure:
             raise SyntaxTrouble("no cross-reference stream")
         stream = found[2]
         d = stream.dictionary
-        widths, size = [w if isinstance(w, int) else 0 for w in d.get("W") or ()], d.get("Size") or 0
-        if len(widths) < 3 or min(widths) < 0:
+        widths, size, index = (self.resolve(d.get(k)) for k in ("W", "Size", "Index"))
+        if not isinstance(widths, list) or len(widths) < 3 or not all(_whole(w) and w <= 8 for w in widths):
             raise SyntaxTrouble("no widths")
-        index = d.get("Index") or [0, size]
+        if not isinstance(index, list) or not index:
+            index = [0, size]
+        if not all(_whole(x) and x <= MAX_SIZE for x in index):
+            raise SyntaxTrouble("no index")
         rows, at, step = self.decoded(stream), 0, sum(widths)
         for first, count in zip(index[0::2], index[1::2]):
             for number in range(first, first + count):
@@ -152,7 +171,7 @@ class Structure:
             if isinstance(o, Stream):
                 kind = o.dictionary.get("Type")
                 if kind == "ObjStm":
-                    for i, (inner, _) in enumerate(self._contents(number)):
+                    for i, (inner, _) in enumerate(self._members(number)):
                         entries.setdefault(inner, Entry(section, i, 0, True, number))
                 elif kind == "XRef":
                     for k in ("Root", "Info", "Encrypt", "ID"):
@@ -162,7 +181,7 @@ class Structure:
         for m in re.finditer(rb"trailer", self.data):
             try:
                 t = Reader(self.data, m.end()).value()
-            except SyntaxTrouble:
+            except (SyntaxTrouble, ValueError, RecursionError):
                 continue
             if isinstance(t, dict):
                 self.trailer |= {k: v for k, v in t.items() if v is not None}
@@ -215,23 +234,37 @@ class Structure:
             else:
                 found = self._object_at(entry.offset)
                 if found is None or found[0] != number:
-                    m = None
-                    for m in re.finditer(rb"(?<![0-9])%d[\x00\t\n\f\r ]+%d[\x00\t\n\f\r ]+obj(?![A-Za-z])" % (number, entry.generation), self.data):
-                        pass
-                    found = self._object_at(m.start()) if m else None
+                    at = self._headers().get((number, entry.generation))
+                    found = self._object_at(at) if at is not None else None
                 value = found[2] if found else None
-        except (SyntaxTrouble, ValueError, RecursionError):
-            value = None
+        except Exception as e:  # noqa: BLE001 an object that can't be read is missing; the others are not
+            self.note(f"object {number}: {type(e).__name__}")
         self._cache[number] = value
         return value
 
+    def _headers(self) -> dict[tuple[int, int], int]:
+        """Where the last object of each number and generation begins, by one scan of the bytes."""
+        if self._scanned is None:
+            self._scanned = {(int(m.group(1)), int(m.group(2))): m.start() for m in _ANY_HEADER.finditer(self.data)}
+        return self._scanned
+
+    def _members(self, container: int) -> list[tuple[int, object]]:
+        """What an object stream holds; nothing if it can't be read."""
+        try:
+            return self._contents(container)
+        except Exception as e:  # noqa: BLE001
+            self.note(f"object {container}: {type(e).__name__}")
+            return []
+
     def _contents(self, container: int) -> list[tuple[int, object]]:
         if container not in self._containers:
             self._containers[container] = out = []
             stream = self.get(container)
             if isinstance(stream, Stream):
                 data = self.decoded(stream)
-                n, first = self.resolve(stream.dictionary.get("N")) or 0, self.resolve(stream.dictionary.get("First")) or 0
+                n, first = (self.resolve(stream.dictionary.get(k)) for k in ("N", "First"))
+                if not _whole(n) or not _whole(first):
+                    raise SyntaxTrouble("no counts")
                 head = Reader(data[:first], 0, refs=False)
                 pairs = []
                 for _ in range(min(n, MAX_OBJECT)):
@@ -242,7 +275,7 @@ class Structure:
                 for number, offset in pairs:
                     try:
                         value = Reader(data, first + offset).value()
-                    except SyntaxTrouble:
+                    except (SyntaxTrouble, ValueError, RecursionError):
                         value = None
                     out.append((number, None if value is END or isinstance(value, Keyword) else value))
         return self._containers[container]
@@ -262,7 +295,10 @@ class Structure:
         names = [names] if isinstance(names, Name) else [self.resolve(n) for n in names] if isinstance(names, list) else []
         parameters = [parameters] if isinstance(parameters, dict) else [self.resolve(p) for p in parameters] if isinstance(parameters, list) else []
         parameters = [{k: self.resolve(v) for k, v in p.items()} if isinstance(p, dict) else {} for p in parameters]
-        return decode(stream.raw, [n for n in names if isinstance(n, Name)], parameters)
+        data = decode(stream.raw, [n for n in names if isinstance(n, Name)], parameters)
+        if len(data) >= MAX_DECODED:
+            self.note(f"cut at {MAX_DECODED} decoded bytes of a stream")
+        return data
 
     # -- pages
 
@@ -302,7 +338,10 @@ class Structure:
                 return
             seen.add(node.number)
         d = self.resolve(node)
-        if not isinstance(d, dict) or depth > MAX_PAGE_DEPTH:
+        if not isinstance(d, dict):
+            return
+        if depth > MAX_PAGE_DEPTH:
+            self.note(f"cut at {MAX_PAGE_DEPTH} levels of the page tree")
             return
         kids = self.resolve(d.get("Kids"))
         if isinstance(kids, list) and self.resolve(d.get("Type")) != "Page":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ MANIFEST = 20
 def normalize(text: Column) -> Column:
     """Line ends as \\n, at most one blank line in a row, no blanks at line ends."""
     unix = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(unix, "\n{3,}", "\n\n"), "(?m)[\t ]+$", "")
+    return F.regexp_replace(F.regexp_replace(unix, "\n{3,}", "\n\n"), "(?md)[\t ]+$", "")
 
 
 def markdown(metadata: Column, pages: Column, images: Column) -> Column:
@@ -54,15 +56,21 @@ def image_names(images: DataFrame) -> DataFrame:
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """Write each image under folder/<hash of doc_id>/; returns (doc_id, path). Names are by content, so repeated tasks write the same."""
+    """Write each image under folder/<hash of doc_id>/; returns (doc_id, path). Names are by content, so repeated tasks write the same.
+
+    A folder without a scheme is on the cluster's default file system.
+    """
     import pyarrow as pa
 
+    jvm = images.sparkSession.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    folder = re.sub("^file:/+", "file:///", place.getFileSystem(images.sparkSession.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString())
     named = image_names(images).withColumn("place", F.concat(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16), F.lit("/"), "file_name"))
 
     def run(batches):
         import pyarrow.fs as pafs
 
-        fs, inner = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs, inner = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             paths = []
             for place, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import clean, dates, filters, geometry, images, layout, tables
 from leafmill.functions import text as codes
 from leafmill.operators import formats, relational
-from leafmill.operators.fixtures import write_documents
+from leafmill.operators.fixtures import write_documents, write_malformed, write_operators
 from leafmill.operators.parse import Options, extract_images, inspect, parse, parse_raw, result, text_runs
 from leafmill.sources.pdf import from_column
 
@@ -51,20 +51,20 @@ _PAGE_TEXT = f"array_to_string(list_slice(lines, (n - 1) * {LINES} + 1, n * {LIN
 
 # -- documents: sources, structure, pages, text
 
-@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text FROM p WHERE n <= 100")
+@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text FROM p")
 def pdf_roundtrip_text(spark, sf_dir):
     """Flagship: documents to bytes, parsed, laid out within the row, a row per page."""
     pages = result(parse_raw(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"])))).select("doc_id", F.explode("pages").alias("p"))
     return pages.select("doc_id", "p.page_number", "p.text")
 
 
-@query(f"{_PAGES} SELECT doc_id, string_agg({_PAGE_TEXT}, chr(10) || chr(10) ORDER BY n) AS text, count(*) AS n_pages FROM p WHERE n <= 100 GROUP BY doc_id")
+@query(f"{_PAGES} SELECT doc_id, string_agg({_PAGE_TEXT}, chr(10) || chr(10) ORDER BY n) AS text, count(*) AS n_pages FROM p GROUP BY doc_id")
 def pdf_document_text(spark, sf_dir):
     """Whole documents through the size guard; page texts joined by a blank line."""
     return parse(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"]))).select("doc_id", "text", F.size("pages").cast("long").alias("n_pages"))
 
 
-@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text FROM p WHERE n <= 100 AND len(lines) > 0")
+@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text FROM p WHERE len(lines) > 0")
 def pdf_roundtrip_window(spark, sf_dir):
     """The same texts by the relational form: a row per run, lag window, ordered aggregation."""
     runs = text_runs(parse_raw(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"]))))
@@ -102,7 +102,7 @@ def pdf_guards(spark, sf_dir):
     return parse(written, Options(max_safe_size=2000)).where("status in ('too_large', 'error')").select("doc_id", "status")
 
 
-@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, 612.0::DOUBLE AS width, CAST(len(list_slice(lines, (n - 1) * {LINES} + 1, n * {LINES})) AS INTEGER) AS n_runs FROM p WHERE n <= 100")
+@query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, 612.0::DOUBLE AS width, CAST(len(list_slice(lines, (n - 1) * {LINES} + 1, n * {LINES})) AS INTEGER) AS n_runs FROM p")
 def pdf_sql_pages(spark, sf_dir):
     """Pages by a table function in SQL, one lateral join."""
     tables.register(spark)
@@ -110,6 +110,23 @@ def pdf_sql_pages(spark, sf_dir):
     return spark.sql("SELECT d.doc_id, p.page_number, p.width, p.n_runs FROM _pdf_fixtures d, LATERAL pdf_pages(d.content) p")
 
 
+@query(f"""{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, {_PAGE_TEXT} AS text,
+    source || CASE WHEN doc_id % 5 = 0 THEN ' revised' ELSE '' END AS title, doc_id % 11 = 0 AS is_encrypted FROM p JOIN (SELECT doc_id, source FROM l) USING (doc_id)""")
+def pdf_operators(spark, sf_dir):
+    """Lines shown by each text and graphics operator in turn, through composite and simple fonts, forms, two streams a page, two revisions; the newest title counts."""
+    written = write_operators(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    found = result(parse_raw(written, Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"])))).select("doc_id", F.explode("pages").alias("p"), "metadata")
+    return found.select("doc_id", "p.page_number", "p.text", "metadata.title", "metadata.is_encrypted")
+
+
+@query(f"""{_PAGES} SELECT doc_id, CASE WHEN doc_id % 9 IN (0, 2) THEN 'ok' WHEN doc_id % 9 = 8 THEN 'error' ELSE 'recovered' END AS status,
+    CASE WHEN doc_id % 9 < 5 OR doc_id % 9 = 7 THEN string_agg({_PAGE_TEXT}, chr(10) || chr(10) ORDER BY n) ELSE '' END AS text, CASE WHEN doc_id % 9 < 5 OR doc_id % 9 = 7 THEN count(*) ELSE 0 END AS n_pages FROM p GROUP BY doc_id""")
+def pdf_damaged(spark, sf_dir):
+    """Sound documents among malformed ones: broken cross-reference streams are recovered, unreadable object streams leave no page, none fails the job."""
+    written = write_malformed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return parse(written, Options(max_pages=tables.ALL_PAGES, what=frozenset(["text"]))).select("doc_id", "status", "text", F.size("pages").cast("long").alias("n_pages"))
+
+
 # -- inspection
 
 @query(f"{_PAGES} SELECT doc_id, CAST(n AS INTEGER) AS page_number, operator, CASE operator WHEN 'Tj' THEN k WHEN 'Td' THEN k + 1 ELSE 1 END AS n_operations FROM (SELECT doc_id, n, len(list_slice(lines, (n - 1) * {LINES} + 1, n * {LINES})) AS k FROM p), (SELECT unnest(['BT', 'ET', 'Tf', 'Td', 'Tj']) AS operator) WHERE operator <> 'Tj' OR k > 0")
@@ -125,16 +142,9 @@ def pdf_object_kinds(spark, sf_dir):
     return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n_objects"))
 
 
-@query(f"{_PAGES} SELECT doc_id, CAST(5 + 1 + 2 * max(n) AS BIGINT) AS n_in_use FROM p WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0 GROUP BY doc_id")
+@query(f"{_PAGES} SELECT doc_id, CAST(6 + 2 * max(n) + CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 0 END AS BIGINT) AS n_in_use FROM p GROUP BY doc_id")
 def pdf_xref_entries(spark, sf_dir):
-    """Entries in use of classic cross-reference tables."""
-    rows = inspect(fixtures(spark, sf_dir).where("doc_id % 2 = 0 and doc_id % 7 <> 0"), "xref").where("in_use")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_in_use"))
-
-
-@query()
-def pdf_xref_all(spark, sf_dir):
-    """Entries in use of every document: tables, streams and recovered files; tested by brute force."""
+    """Entries in use of every document: tables, streams (which list two containers more) and recovered files."""
     return inspect(fixtures(spark, sf_dir), "xref").where("in_use").groupBy("doc_id").agg(F.count("*").alias("n_in_use"))
 
 
@@ -346,10 +356,14 @@ def json_doc(spark, sf_dir):
     return made.select("doc_id", back.alias("r")).select("doc_id", "r.text", "r.metadata.page_count", "r.metadata.title")
 
 
-@query()
+_TRIMMED = f"regexp_replace(regexp_replace({_PAGE_TEXT}, '\\r\\n?', chr(10), 'g'), '(?m)[\\t ]+$', '', 'g')"
+
+
+@query(f"""{_PAGES} SELECT doc_id, '# ' || any_value(source) || chr(10) || chr(10) || '## Metadata' || chr(10) || '- Author: ' || any_value(lang) || chr(10) || '- Producer: leafmill' || chr(10) || '- Pages: ' || count(*) || chr(10)
+    || string_agg(chr(10) || '## Page ' || n || chr(10) || chr(10) || {_TRIMMED}, chr(10) ORDER BY n) AS markdown FROM p JOIN (SELECT doc_id, source, lang FROM l) USING (doc_id) GROUP BY doc_id""")
 def pdf_markdown(spark, sf_dir):
-    """Whole path: bytes to Markdown."""
-    return formats.to_markdown(parse(fixtures(spark, sf_dir)))
+    """Whole path: bytes to Markdown, all pages."""
+    return formats.to_markdown(parse(fixtures(spark, sf_dir), Options(max_pages=tables.ALL_PAGES)))
 
 
 # -- relations

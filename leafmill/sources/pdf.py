@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +43,14 @@ class _Chunk(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.max_pages, self.files = options["path"], int(options.get("maxpages", 100)), int(options.get("filespertask", 32))
+        self.max_safe_size = int(options.get("maxsafesize", MAX_SAFE_SIZE))
+        if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", self.path):
+            raise ValueError(f"a path with a scheme is needed, as in file:///data or hdfs:///data: {self.path}")
 
     def partitions(self):
         import pyarrow.fs as pafs
 
-        fs, inner = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        fs, inner = pafs.FileSystem.from_uri(self.path)
         info = fs.get_file_info(inner)
         names = [inner] if info.type == pafs.FileType.File else sorted(f.path for f in fs.get_file_info(pafs.FileSelector(inner, recursive=True)) if f.type == pafs.FileType.File and f.path.lower().endswith(".pdf"))
         return [_Chunk(names[i : i + self.files]) for i in range(0, len(names), self.files)] or [_Chunk([])]
@@ -54,9 +58,11 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Chunk) -> Iterator[tuple]:
         import pyarrow.fs as pafs
 
-        fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else pafs.LocalFileSystem()
+        fs = pafs.FileSystem.from_uri(self.path)[0]
         for name in partition.paths:
             with fs.open_input_file(name) as f:
+                if f.size() > self.max_safe_size:
+                    continue
                 found = kernel.parse(f.read(), self.max_pages, frozenset(["text"]))
             for page in found["pages"]:
                 for stream_no, runs in enumerate(page["streams"]):
@@ -65,7 +71,11 @@ class _Reader(DataSourceReader):
 
 
 class PdfDataSource(DataSource):
-    """spark.read.format('pdf').load(path): a row per text run, after spark.dataSource.register(PdfDataSource)."""
+    """spark.read.format('pdf').load(path): a row per text run, after spark.dataSource.register(PdfDataSource).
+
+    For folders that one listing fits into; parse_files reads more, through Spark's own scan. The path has a scheme. Files over
+    the option maxSafeSize, and those that can't be read, have no rows.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -127,7 +127,7 @@ def test_files_source_and_stream(spark, tmp_path):
     query = ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check"))
     assert query.awaitTermination(120) and spark.read.parquet(str(tmp_path / "out")).count() == 3
     spark.dataSource.register(PdfDataSource)
-    assert sorted(r["text"] for r in spark.read.format("pdf").load(str(folder)).collect()) == ["document 0", "document 1", "document 2"]
+    assert sorted(r["text"] for r in spark.read.format("pdf").load(folder.as_uri()).collect()) == ["document 0", "document 1", "document 2"]
 
 
 def test_length_filter_reaches_the_scan(spark, tmp_path, capsys):

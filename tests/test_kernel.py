@@ -1,5 +1,6 @@
 """The parsing kernel: filters, values, structure, recovery, fonts, content, images."""
 
+import re
 import struct
 import zlib
 
@@ -188,3 +189,48 @@ def test_inspection():
     assert [r["operator"] for r in inspect(data, "operations")] == ["BT", "Tf", "Td", "Tj", "Td", "Tj", "Td", "ET"]
     assert {r["kind"] for r in inspect(data, "objects")} == {"null", "dictionary", "stream"} and inspect(data, "fonts")[0]["has_to_unicode"]
     assert sum(r["in_use"] for r in inspect(data, "xref")) == 8 and inspect(b"no", "xref") == []
+
+
+# -- malformed structures
+
+_VALUES = [b"3", b"-1", b"5.5", b"/x", b"(s)", b"null", b"true", b"[]", b"[/a /b]", b"[1 -4 2]", b"[99999999999 1 1]", b"<< /A 1 >>", b"1 0 R", b"99 0 R", b"[1 0 R]", b"999999999999", b">>", b"<<", b"[[[["]
+_KEYS = [b"W", b"Index", b"Size", b"N", b"First", b"Length", b"Filter", b"DecodeParms", b"Prev", b"XRefStm", b"Root", b"Info", b"Encrypt", b"Pages", b"Kids", b"Count", b"Type", b"MediaBox", b"Resources", b"Font", b"Contents", b"Parent", b"Encoding", b"DescendantFonts", b"ToUnicode", b"XObject", b"Subtype", b"Matrix", b"Differences", b"BaseEncoding", b"Predictor", b"Columns", b"Width", b"ColorSpace"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(_KEYS), st.sampled_from(_VALUES), st.integers(0, 3)), min_size=1, max_size=4), st.booleans(), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_any_dictionary_is_survived(changes, modern, rich):
+    """Entries of any kind where others belong: the row has all its fields, and inspections end."""
+    from leafmill.kernel import document, writer
+
+    data = writer.operators_pdf("one\ntwo\nthree words here", "t", "again") if rich else writer.text_pdf("one line\nand two", "t", modern=modern)
+    for key, value, skip in changes:
+        places = [m.start() for m in re.finditer(rb"/%s(?![A-Za-z])" % key, data)]
+        if places:
+            at = places[skip % len(places)] + len(key) + 1
+            data = data[:at] + b" " + value + b" " + data[at:]
+    row = document.parse(data)
+    assert set(row) == {"version", "status", "error", "metadata", "pages"} and row["status"] in ("ok", "recovered", "truncated", "error")
+    for kind in ("xref", "objects", "operations", "fonts"):
+        assert isinstance(document.inspect(data, kind), list)
+
+
+def test_malformed_containers_are_recovered_or_told():
+    from leafmill.kernel import document, writer
+
+    for kind in range(len(writer.MALFORMED) + 2):
+        row = document.parse(writer.malformed_pdf("one line\ntwo lines", kind))
+        texts = [r["text"] for p in row["pages"] for s in p["streams"] for r in s]
+        assert texts == ([] if kind in (5, 6, 8) else ["one line", "two lines"])
+        assert row["status"] == ("error" if kind == 8 else "ok" if kind in (0, 2) else "recovered")
+        assert (kind in (5, 6)) == ("SyntaxTrouble" in (row["error"] or ""))
+
+
+def test_what_a_limit_cuts_is_told(monkeypatch):
+    from leafmill.kernel import document, filters, structure, writer
+
+    data = writer.text_pdf("a line of some length\n" * 5)
+    for module in (filters, structure):
+        monkeypatch.setattr(module, "MAX_DECODED", 60)
+    row = document.parse(data)
+    assert row["status"] == "truncated" and "cut at 60 decoded bytes" in row["error"]

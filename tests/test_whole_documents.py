@@ -37,5 +37,5 @@ def test_whole_texts(spark, data):
 def test_cross_references_of_all_kinds_of_files(spark, data):
     """Catalogue, tree, info and three of the font, and two objects a page; the newer syntax has its two containers too."""
     at, lines = data
-    got = {r["doc_id"]: r["n_in_use"] for r in QUERIES["pdf_xref_all"](spark, at).collect()}
+    got = {r["doc_id"]: r["n_in_use"] for r in QUERIES["pdf_xref_entries"](spark, at).collect()}
     assert got == {i: 6 + 2 * _pages(x) + 2 * (i % 2) for i, x in lines.items()}
