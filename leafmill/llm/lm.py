@@ -20,11 +20,13 @@ is scored once, with at least WINDOW - STEP tokens before it. Batches of windows
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +42,10 @@ CONTEXTS = 256
 SHARD_IDS = 4_000_000
 MAX_SHARDS = 4096
 GROWTH = 8
-#: Words whose counts are broadcast; the others' meet their documents in a shuffled join.
-HEAD_WORDS = 500_000
-#: Words counted in memory before a partial count is passed on, and words whose ids are remembered.
-PARTIAL_WORDS = 400_000
+#: Words whose counts are broadcast, and whose ids workers remember; the others' counts meet their documents in a shuffled join.
+HEAD_WORDS = 300_000
+#: Bytes of texts whose words are held at once.
+SLICE_BYTES = 8 << 20
 BATCH_WINDOWS = 96
 TRAIN_BATCH = 256
 #: Ids of texts held at once while counting and scoring.
@@ -61,11 +63,12 @@ SCALE, SHIFT = np.float32(2**23 / np.log(2)), np.float32(127 * 2**23 - 366_393)
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _ENCODINGS: dict = {}
-_MEMOS: dict = {}
+_HEADS: dict = {}
+_OTHER_SPACE = re.compile(r"[^\S ]")
 
 
 def encoding(path: str | None = None):
-    """This process's sub-word encoding of a ranks file; returns (encoding, id of the end)."""
+    """This process's sub-word encoding of a ranks file; returns (encoding, id of the end, which ids begin with a space)."""
     import public_tokenizers
     import tiktoken
 
@@ -73,8 +76,9 @@ def encoding(path: str | None = None):
     if path not in _ENCODINGS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[path] = (tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks))
-        _MEMOS[path] = {}
+        begins = np.zeros(len(ranks) + 1, bool)
+        begins[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+        _ENCODINGS[path] = (tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks), begins)
     return _ENCODINGS[path]
 
 
@@ -83,34 +87,54 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of all texts, one after the other, and how many each has; a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    held = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    if not held.all():
+        flat, n = flat.filter(pa.array(held)), np.bincount(np.repeat(np.arange(len(n)), n)[held], minlength=len(n))
+    return flat, n.astype(np.int64)
+
+
+def _slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch of rows with about SLICE_BYTES of texts each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def id_type(end: int) -> str:
     """How ids are stored: two bytes each where they fit."""
     return "<u2" if end < 1 << 16 else "<u4"
 
 
-def subword_bytes(words: list[bytes], vocabulary: str | None = None) -> bytes:
-    """Ids of the words, each after a space, and the end, as bytes of id_type."""
-    import public_tokenizers
+def encoded_words(words: list[bytes], vocabulary: str | None = None) -> list[bytes]:
+    """Ids of each word after a space, as bytes of id_type.
 
-    enc, end = encoding(vocabulary)
-    memo, kind = _MEMOS[vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")], id_type(end)
-    if len(memo) > PARTIAL_WORDS:
-        memo.clear()
-    get = memo.get
-    parts = list(map(get, words))
-    if None in parts:
-        for i, part in enumerate(parts):
-            if part is None:
-                if (part := get(words[i])) is None:
-                    part = memo[words[i]] = np.array(enc.encode_ordinary(" " + words[i].decode("utf-8", "replace")), kind).tobytes()
-                parts[i] = part
-    parts.append(end.to_bytes(np.dtype(kind).itemsize, "little"))
-    return b"".join(parts)
+    Words are encoded together, and cut apart where an id begins with a space; those with white space of their own, one by one.
+    """
+    enc, end, begins = encoding(vocabulary)
+    kind = id_type(end)
+    if not words:
+        return []
+    texts = b"\x20".join(words).decode("utf-8", "replace")
+    if not _OTHER_SPACE.search(texts):
+        ids = np.array(enc.encode_ordinary(" " + texts), kind)
+        first = np.flatnonzero(begins[ids])
+        if len(first) == len(words):
+            raw, at = ids.tobytes(), [*(first * ids.itemsize).tolist(), ids.nbytes]
+            return [raw[a:b] for a, b in zip(at, at[1:])]
+    return [np.array(enc.encode_ordinary(" " + w.decode("utf-8", "replace")), kind).tobytes() for w in words]
 
 
 def subwords(words: list[bytes], vocabulary: str | None = None) -> np.ndarray:
     """Ids of the words, each after a space, and the end."""
-    return np.frombuffer(subword_bytes(words, vocabulary), id_type(encoding(vocabulary)[1])).astype(np.int32)
+    _, end, _ = encoding(vocabulary)
+    return np.array([*np.frombuffer(b"".join(encoded_words(words, vocabulary)), id_type(end)), end], np.int32)
 
 
 def exponential(bits: np.ndarray) -> np.ndarray:
@@ -387,69 +411,81 @@ class Trainer:
         self.w = _held(self.w)
 
 
-def _bytes(column) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over the training rows of texts, staged; the word '' stands for the end."""
 
     def count(batches):
-        found: Counter = Counter()
         for batch in batches:
-            for text in _bytes(batch.column(0)):
-                found.update(words_of(text))
-                found[b""] += 1
-                if len(found) > PARTIAL_WORDS:
-                    yield _counts(found)
-                    found = Counter()
-        yield _counts(found)
+            for part in _slices(batch, 0):
+                found = pc.value_counts(split_words(part.column(0))[0])
+                words, n = found.field("values").cast(pa.binary()), found.field("counts")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([b""])]), pa.concat_arrays([n, pa.array([part.num_rows], pa.int64())])], names=["word", "n"])
 
     partial = texts.where("not held_out").select("text").mapInArrow(count, "word binary, n long")
     return staged(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def _counts(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-
 ENCODED = T.StructType([
     T.StructField("uid", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("ids", T.BinaryType()),
 ])
 
 
-def encoded(texts: DataFrame, logs: dict[bytes, float], vocabulary: str | None) -> DataFrame:
-    """Each row of texts with its ids, and its base score as far as logs knows its words (the others: tail), staged."""
-    head = texts.sparkSession.sparkContext.broadcast(logs)
+@dataclass
+class Head:
+    """What base scores need on every worker: the commonest words, their logs, and the end's log and whether training texts hold it."""
+
+    words: pa.Array
+    logs: np.ndarray
+    end_log: float
+    end_known: bool
+    key: str  # workers keep the ids of the words under it
+
+
+def encoded(texts: DataFrame, head: Head, vocabulary: str | None) -> DataFrame:
+    """Each row of texts with its ids, and its base score as far as head knows its words (the others: tail), staged."""
+    shared = texts.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
         from pyspark import TaskContext
 
-        get, part, row = head.value.get, TaskContext.get().partitionId(), 0
-        end_log = get(b"")
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for text in _bytes(batch.column(2)):
-                words = words_of(text)
-                found = list(map(get, words))
-                tail = [w for w, x in zip(words, found) if x is None] if None in found else []
-                known = len(words) - len(tail)
-                base = sum(x for x in found if x is not None) if tail else sum(found)
-                if end_log is None:
-                    tail.append(b"")
-                else:
-                    known, base = known + 1, base + end_log
-                for column, value in zip(columns, (f"{part}-{row}", len(words) + 1, known, base, tail, subword_bytes(words, vocabulary))):
-                    column.append(value)
-                row += 1
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
-            uid, n, known, base, tail, ids = (pa.array(c, k) for c, k in zip(columns, kinds))
-            yield pa.RecordBatch.from_arrays([uid, batch.column(0), batch.column(1), n, known, base, tail, ids], names=ENCODED.names)
+            for rows in _slices(batch, 2):
+                out = encode_texts(rows.column(2), shared.value, vocabulary)
+                uid = pa.array([f"{part}-{row + i}" for i in range(rows.num_rows)], pa.string())
+                row += rows.num_rows
+                yield pa.RecordBatch.from_arrays([uid, rows.column(0), rows.column(1), *out], names=ENCODED.names)
 
     return staged(texts.mapInArrow(run, ENCODED), "encoded")
 
 
+def encode_texts(texts: pa.Array, head: Head, vocabulary: str | None = None) -> list[pa.Array]:
+    """n_tokens, known, base, tail and ids of each text: ENCODED's columns from the fourth on."""
+    _, end, _ = encoding(vocabulary)
+    if head.key not in _HEADS:
+        _HEADS.clear()
+        _HEADS[head.key] = pa.array(encoded_words(head.words.to_pylist(), vocabulary), pa.binary())
+    flat, n = split_words(texts)
+    flat, owner = flat.cast(pa.binary()), np.repeat(np.arange(len(n)), n)
+    index = pc.index_in(flat, value_set=head.words)
+    rare = pc.is_null(index).to_numpy(zero_copy_only=False)
+    missing = flat.filter(pa.array(rare))
+    fresh = pc.unique(missing)
+    at = pc.fill_null(index, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at[rare] = len(head.words) + pc.index_in(missing, value_set=fresh).to_numpy(zero_copy_only=False)
+    last = end.to_bytes(np.dtype(id_type(end)).itemsize, "little")
+    every = pa.concat_arrays([_HEADS[head.key], pa.array([*encoded_words(fresh.to_pylist(), vocabulary), last], pa.binary())])
+    ends = np.cumsum(n)
+    taken = every.take(pa.array(np.insert(at, ends, len(every) - 1)))
+    starts = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1][np.concatenate([[0], ends + np.arange(1, len(n) + 1)])]
+    ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(starts.astype(np.int32).tobytes()), taken.buffers()[2]])
+    base = np.bincount(owner[~rare], head.logs[at[~rare]], len(n)) + head.end_log
+    n_rare = np.bincount(owner[rare], minlength=len(n))
+    tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), missing)
+    return [pa.array(n + 1, pa.int64()), pa.array(n - n_rare + head.end_known, pa.int64()), pa.array(base, pa.float64()), tail, ids]
+
+
 def _sequences(column, kind: str):
     """Lists of the ids of texts, whole, of about SEQUENCE_IDS ids."""
     held, room = [], 0
@@ -463,24 +499,32 @@ def _sequences(column, kind: str):
         yield held
 
 
-def id_counts(learning: DataFrame, end: int) -> np.ndarray:
-    """Counts of all ids over the rows of learning (ids)."""
-    kind = id_type(end)
+def id_counts(counts: DataFrame, vocabulary: str | None = None) -> np.ndarray:
+    """Counts of all ids over the training words, and of the end, from word counts."""
 
     def count(batches):
-        held = np.zeros(end + 1, np.int64)
+        _, end, _ = encoding(vocabulary)
+        kind, held = id_type(end), np.zeros(end + 1, np.int64)
         for batch in batches:
-            for sequences in _sequences(batch.column(0), kind):
-                held += np.bincount(np.concatenate(sequences), minlength=end + 1)
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = [x if w else end.to_bytes(np.dtype(kind).itemsize, "little") for w, x in zip(words, _each(words, vocabulary))]
+            flat = np.frombuffer(b"".join(ids), kind)
+            held += np.bincount(flat, np.repeat(n, [len(x) // flat.itemsize for x in ids]), end + 1).astype(np.int64)
         ids = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held[ids], pa.int64())], names=["id", "n"])
 
-    total = np.zeros(end + 1, np.int64)
-    for r in learning.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id at most
+    total = np.zeros(encoding(vocabulary)[1] + 1, np.int64)
+    for r in counts.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id at most
         total[r["id"]] = r["n"]
     return total
 
 
+def _each(words: list[bytes], vocabulary: str | None) -> list[bytes]:
+    """encoded_words, where a word may be empty: it has no ids."""
+    ids = iter(encoded_words([w for w in words if w], vocabulary))
+    return [next(ids) if w else b"" for w in words]
+
+
 def pair_counts(learning: DataFrame, wide: int, cells, end: int, name: str) -> np.ndarray:
     """(ids, wide) counts of the cells that cells(before, after) finds, over all neighbouring ids of learning (ids); an end precedes each text."""
     kind = id_type(end)
@@ -506,12 +550,12 @@ def pair_counts(learning: DataFrame, wide: int, cells, end: int, name: str) -> n
     return counts.reshape(end + 1, wide)
 
 
-def fit(documents: DataFrame, vocabulary: str | None = None) -> Model:
-    """The model from the training rows of documents (doc_id, held_out, ids), staged."""
+def fit(documents: DataFrame, word_totals: DataFrame, vocabulary: str | None = None) -> Model:
+    """The model from the training rows of documents (doc_id, held_out, ids), staged, and their word counts."""
     spark = documents.sparkSession
-    _, end = encoding(vocabulary)
+    _, end, _ = encoding(vocabulary)
     learning = documents.where("not held_out")
-    total = id_counts(learning.select("ids"), end)
+    total = id_counts(word_totals, vocabulary)
     columns = spark.sparkContext.broadcast(context_columns(total))
     counts = pair_counts(learning.select("ids"), 2 * CONTEXTS, lambda b, a: neighbour_cells(b, a, columns.value), end, "neighbours")
     seen = np.flatnonzero(total)
@@ -613,8 +657,8 @@ def score(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
         least -= 1
         words += levels.get(least, 0)
     frequent = F.floor(F.log2("n")).cast("int") >= least
-    rows = encoded(texts, _head(counts.where(frequent), size), vocabulary)
-    model = spark.sparkContext.broadcast(fit(rows.select("doc_id", "held_out", "ids"), vocabulary))
+    rows = encoded(texts, _head(counts, frequent, size), vocabulary)
+    model = spark.sparkContext.broadcast(fit(rows.select("doc_id", "held_out", "ids"), counts, vocabulary))
     kind = id_type(encoding(vocabulary)[1])
 
     def run(batches):
@@ -624,9 +668,9 @@ def score(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
             scores = [x for sequences in _sequences(batch.column(6), kind) for x in score_sequences(own, sequences).tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(scores, pa.float64())], names=SCORED.names)
 
-    rare = rows.select("uid", F.explode("tail").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("times")).join(counts.where(~frequent), "word", "left")
-    logs = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + floor) / F.lit(float(size)))
-    more = staged(rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known")), "rare-words")
+    rare = rows.select("uid", F.explode("tail").alias("word")).join(counts.where(~frequent), "word", "left")
+    logs = F.log10((F.coalesce("n", F.lit(0)) + floor) / F.lit(float(size)))
+    more = staged(rare.groupBy("uid").agg(F.sum(logs).alias("more"), F.count("n").alias("more_known")), "rare-words")
     scored = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(run, SCORED)
     return scored.join(more, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
@@ -637,14 +681,14 @@ def score(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
 SCORED = T.StructType([*(f for f in ENCODED if f.name not in ("tail", "ids")), T.StructField("score", T.DoubleType())])
 
 
-def _head(counts: DataFrame, size: float) -> dict[bytes, float]:
-    """log10 of the smoothed share of each frequent word; HEAD_WORDS at most."""
-    shared: dict[int, float] = {}
-    out = {}
-    for batch in counts.toArrow().to_batches():
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out[word] = shared.setdefault(n, float(np.log10((n + 0.1) / size)))
-    return out
+def _head(counts: DataFrame, frequent, size: float) -> Head:
+    """Head of the frequent words, HEAD_WORDS at most."""
+    held = counts.where(frequent & (F.octet_length("word") > 0)).toArrow().combine_chunks()
+    n, ends = held.column("n").to_numpy(), counts.where(F.octet_length("word") == 0).select("n").collect()  # one row
+    end_n = ends[0]["n"] if ends else 0
+    words = held.column("word")
+    words = words.chunk(0) if words.num_chunks else pa.array([], pa.binary())
+    return Head(words.cast(pa.binary()), np.log10((n + 0.1) / size), float(np.log10((end_n + 0.1) / size)), end_n > 0, uuid.uuid4().hex)
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

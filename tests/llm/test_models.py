@@ -237,7 +237,7 @@ def _counts(sequences, end):
 
 
 def _small_model():
-    _, end = lm.encoding()
+    _, end, _ = lm.encoding()
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha beta gamma", "one two three four"]) for _ in range(30)).encode() for _ in range(120)]
     sequences = [lm.subwords(lm.words_of(t)) for t in texts]
@@ -262,6 +262,36 @@ def test_the_model_learns_and_sums_to_one():
     assert np.exp(p[:, [0, 3, lm.STEP - 1]]).sum(0) == pytest.approx(1, abs=1e-3)
 
 
+def test_words_encoded_together_are_those_encoded_alone():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abé'sXß1²-.,!\xa0\u2003中😀") for _ in range(rng.randrange(1, 9))).encode() for _ in range(3000)]
+    enc, end, _ = lm.encoding()
+    alone = [np.array(enc.encode_ordinary(" " + w.decode()), "<u2").tobytes() for w in words]
+    assert lm.encoded_words(words) == alone
+    plain = [(w, x) for w, x in zip(words, alone) if not w.decode().split() != [w.decode()]]
+    assert len(plain) > 500 and lm.encoded_words([w for w, _ in plain]) == [x for _, x in plain]
+
+
+def test_texts_are_cut_and_encoded_like_their_words(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aB é'1 \n\x0b\x0c\r\t\x1c\x85\xa0Ü.") for _ in range(rng.randrange(0, 60))) for _ in range(400)] + [None, "", " ", " a", "a "]
+    flat, n = lm.split_words(pa.array(texts))
+    want = [lm.words_of((t or "").encode()) for t in texts]
+    assert flat.cast(pa.binary()).to_pylist() == [w for x in want for w in x] and n.tolist() == list(map(len, want))
+    monkeypatch.setattr(lm, "SLICE_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert sum((x.column(0).to_pylist() for x in lm._slices(batch, 0)), []) == texts
+    common = sorted({w for x in want for w in x})[::2]
+    head = lm.Head(pa.array(common, pa.binary()), -np.arange(1.0, len(common) + 1), -0.5, True, "a test's")
+    total, known, base, tail, ids = (x.to_pylist() for x in lm.encode_texts(pa.array(texts), head))
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids] == [lm.subwords(x).tolist() for x in want] and total == [len(x) + 1 for x in want]
+    logs = dict(zip(common, head.logs))
+    assert tail == [[w for w in x if w not in logs] for x in want] and known == [1 + sum(w in logs for w in x) for x in want]
+    assert np.allclose(base, [sum(logs.get(w, 0) for w in x) - 0.5 for x in want])
+
+
 def test_logits_stay_in_the_range_of_the_exponential():
     """At the greatest norms that training allows, an attention or class logit is below 87."""
     assert lm.MOST_QK**2 + lm.MOST_BIAS < 87 and (2 * lm.MOST_V + lm.MOST_R) * lm.MOST_OUT + lm.MOST_BIAS < 87

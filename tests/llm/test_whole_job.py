@@ -61,7 +61,7 @@ def test_copies_change_no_confidence(spark):
 # -- language model
 
 def _encoded(spark, texts):
-    rows = [(i, False, lm.subword_bytes(lm.words_of((t or "").encode()))) for i, t in enumerate(texts)]
+    rows = [(i, False, lm.subwords(lm.words_of((t or "").encode())).astype("<u2").tobytes()) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary")
 
 
@@ -69,10 +69,11 @@ def test_counts_come_from_all_training_documents(spark, monkeypatch):
     monkeypatch.setattr(lm, "SEQUENCE_IDS", 50)
     monkeypatch.setattr(lm, "CELLS_AT_ONCE", 30)
     texts = [f"{a} {b} {b} {c}" for a in ("red", "green", "blue") for b in ("house", "garden", "river") for c in ("stands", "falls")] * 3
-    df, (_, end) = _encoded(spark, texts).repartition(3), lm.encoding()
+    df, (_, end, _) = _encoded(spark, texts).repartition(3), lm.encoding()
     sequences = [lm.subwords(lm.words_of(t.encode())) for t in texts]
     total, classes, groups, near, joint = _counts(sequences, end)
-    assert (lm.id_counts(df.select("ids"), end) == total).all()
+    words = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    assert (lm.id_counts(lm.word_counts(words)) == total).all()
     column = lm.context_columns(total)
     assert (lm.pair_counts(df.select("ids"), 2 * lm.CONTEXTS, lambda b, a: lm.neighbour_cells(b, a, column), end, "near") == near).all()
     assert (lm.pair_counts(df.select("ids"), lm.GROUPS + lm.CLASSES, lambda b, a: lm.joint_cells(b, a, classes, groups), end, "joint") == joint).all()
@@ -80,7 +81,7 @@ def test_counts_come_from_all_training_documents(spark, monkeypatch):
 
 def test_all_windows_of_every_document_train_once():
     texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(4)] + ["one line", ""]
-    sequences, (_, end) = [lm.subwords(lm.words_of(t.encode())) for t in texts], lm.encoding()
+    sequences, (_, end, _) = [lm.subwords(lm.words_of(t.encode())) for t in texts], lm.encoding()
     model = lm.assemble(np.ones(end + 1), np.arange(end + 1) % lm.CLASSES, (np.arange(end + 1) % lm.GROUPS).astype(np.uint8), np.zeros((end + 1, lm.GROUPS), np.float32), np.zeros((end + 1, lm.CLASSES), np.float32))
     trainer, goals = lm.Trainer(model, 0.01, 5), []
     step = trainer._step
