@@ -3,8 +3,10 @@
 A page becomes a tree as a browser would build it from sloppy markup: void elements, end tags that a start tag
 implies (p, li, dt, dd, tr, td, th, option, table sections), end tags without an element, raw-text elements. Hidden
 are: head, scripts, styles and other elements without a rendering; the attribute hidden; display:none and
-visibility:hidden, inline or by a style sheet's simple selectors (tag, .class, #id); closed dialogs; all but the summary of
-closed details; all but the chosen option of a select. Everything else is emitted: white space collapses outside
+visibility:hidden, inline or by the page's style sheets; closed dialogs; all but the summary of closed details; all but the
+chosen option of a select. Of style sheets, rules outside at-rules, and in @media for all or screen and @layer, count; their
+selectors may join tags, classes, ids and attributes to compounds, and these by descent or as children (others are left out);
+importance, specificity and order decide. Everything else is emitted, the text of formulas and pictures' labels too: white space collapses outside
 pre and textarea, blocks begin on lines of their own, paragraphs, headings, lists and tables are set apart by a blank line,
 list items carry bullets or numbers and indents, and cells are aligned in columns.
 """
@@ -24,7 +26,7 @@ from .common import require
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object video audio canvas svg math datalist map param source track link meta base area rp".split())
+UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object video audio canvas datalist map param source track link meta base area rp desc metadata defs symbol clippath mask annotation annotation-xml".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset menu hr".split())
 BLOCK = APART | frozenset("html body div section article aside header footer nav main address form center details summary dialog figcaption legend li dt dd tr td th caption thead tbody tfoot option optgroup select textarea search hgroup".split())
 #: A start tag of a key ends an open element of its values, up to the nearest of BARRIERS.
@@ -46,66 +48,215 @@ MAX_DEPTH = 200
 #: Columns are padded up to this width; longer cells stay whole and push what follows.
 MAX_PAD = 48
 
-_TAG = re.compile(r"<(?:!--(?:.*?--!?>|>|->|.*\Z)|[!?][^>]*>?|/([A-Za-z][^\s/>]*)[^>]*>?|([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_OTHER_TAG = re.compile(r"<(?:!--(?:.*?--!?>|>|->|.*\Z)|[!?][^>]*>?|/([A-Za-z][^\s/>]*)[^>]*>?)", re.S)
+_START_TAG = re.compile(r"<([A-Za-z][^\s/><]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_SHOWS = re.compile(r"visibility\s*:\s*visible", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE = re.compile("[{}]")
+_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)", re.I)
+_PART = re.compile(r"([.#]?)([A-Za-z_*][\w-]*)|\*|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
+_DECLARATION = re.compile(r"(?:\A|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """An element; gone: it has no rendering; shown: its own visibility, None if inherited."""
+
+    __slots__ = ("tag", "attributes", "children", "gone", "shown")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.gone, self.shown = tag, attributes, [], False, None
+
+
+class Tags:
+    """Finds the end of start tags in one page, in time linear in it: a place from which no tag ends is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.endless, self.barren = page, set(), len(page)
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at a place; -1 if none does. Quoted ones don't count."""
+        passed = []
+        while at < self.barren:
+            if (m := _STOP.search(self.page, at)) is None:
+                self.barren = at
+                break
+            if m.group() == ">":
+                return m.start()
+            if m.start() in self.endless:
+                break
+            passed.append(m.start())
+            at = self.page.find(m.group(), m.end()) + 1
+            if not at:
+                break
+        self.endless.update(passed)
+        return -1
+
+
+def sheet_rules(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet's rules that hold on a screen."""
+    sheet, out, at = _COMMENT.sub("", sheet), [], 0
+    while m := _BRACE.search(sheet, at):
+        head = sheet[at : m.start()].rsplit(";", 1)[-1].strip()  # a statement like @import ends with a semicolon
+        at = m.end()
+        if m.group() == "}":
+            continue
+        if not head.startswith("@"):
+            end = sheet.find("}", at)
+            end = len(sheet) if end < 0 else end
+            out.append((head, sheet[at:end]))
+            at = end + 1
+        elif not (head[:6].lower() == "@layer" or head[:6].lower() == "@media" and any(_SCREEN.fullmatch(x.strip()) for x in head[6:].split(","))):
+            depth = 1
+            while depth and (m := _BRACE.search(sheet, at)):
+                depth += 1 if m.group() == "{" else -1
+                at = m.end()
+            if depth:
+                break
+    return out
+
+
+def compound(text: str) -> tuple | None:
+    """(tag, id, classes, attributes, specificity) of a compound selector; None if it holds anything else."""
+    tag, ident, classes, attributes, at = None, None, [], [], 0
+    while at < len(text):
+        m = _PART.match(text, at)
+        if m is None or m.group(2) and not m.group(1) and at or m.group() == "*" and at:
+            return None
+        if m.group(3):
+            attributes.append((m.group(3).lower(), m.group(4)))
+        elif m.group(1) == "#":
+            ident = m.group(2)
+        elif m.group(1) == ".":
+            classes.append(m.group(2))
+        elif m.group() != "*":
+            tag = m.group(2).lower()
+        at = m.end()
+    return (tag, ident, frozenset(classes), tuple(attributes), (1 if ident else 0, len(classes) + len(attributes), 1 if tag else 0)) if text else None
+
+
+class Styles:
+    """What style sheets say on display and visibility: rules by a name that the last compound of a selector asks for."""
 
+    def __init__(self):
+        self.by_name: dict[str, list[tuple]] = {}
+        self.n = 0
+
+    def add(self, sheet: str) -> None:
+        for selectors, declarations in sheet_rules(sheet):
+            said = [(name.lower(), value.lower(), bool(important)) for name, value, important in _DECLARATION.findall(declarations)]
+            for selector in selectors.split(",") if said else ():
+                steps = re.sub(r"\s*>\s*", " > ", selector).split()
+                chain = [compound(x) if x != ">" else ">" for x in steps]
+                if not chain or None in chain or chain[-1] == ">" or chain[0] == ">":
+                    continue
+                weight = tuple(map(sum, zip(*(c[4] for c in chain if c != ">"))))
+                tag, ident, classes, *_ = chain[-1]
+                name = f"#{ident}" if ident else f".{min(classes)}" if classes else tag or "*"
+                self.n += 1
+                self.by_name.setdefault(name, []).append((chain, weight, self.n, said))
+
+    def resolve(self, node: Node, above: list[Node]) -> None:
+        """Set gone and shown of a node and all below it."""
+        for child in node.children:
+            if not isinstance(child, str):
+                self._own(child, above)
+                if not child.gone:
+                    above.append(child)
+                    self.resolve(child, above)
+                    above.pop()
+
+    def _own(self, node: Node, above: list[Node]) -> None:
+        tag, a = node.tag, node.attributes
+        node.gone = tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden"
+        found: dict[str, tuple] = {}
+        if self.n:
+            for name in {tag, "*", f"#{a.get('id', '')}", *(f".{c}" for c in a.get("class", "").split())} & self.by_name.keys():
+                for chain, weight, order, said in self.by_name[name]:
+                    if _matches(chain, node, above):
+                        for what, value, important in said:
+                            found[what] = max(found.get(what, ((),)), ((important, 0, weight, order), value))
+        if "style" in a:
+            for what, value, important in _DECLARATION.findall(a["style"]):
+                found[what.lower()] = max(found.get(what.lower(), ((),)), ((bool(important), 1, (), 0), value.lower()))
+        if "display" in found and tag not in UNSEEN and not node.gone:
+            node.gone = found["display"][1] == "none"
+        if "visibility" in found and found["visibility"][1] in ("visible", "hidden", "collapse"):
+            node.shown = found["visibility"][1] == "visible"
+
+
+def _fits(part: tuple, node: Node) -> bool:
+    tag, ident, classes, attributes, _ = part
+    a = node.attributes
+    return (tag is None or tag == node.tag) and (ident is None or a.get("id") == ident) and (not classes or classes.issubset(a.get("class", "").split())) and all(k in a and (v is None or a[k] == v) for k, v in attributes)
+
+
+def _matches(chain: list, node: Node, above: list[Node]) -> bool:
+    """Whether a selector's chain ends in node. Descent takes the nearest fit, and steps back where a child's parent fails."""
+    if not _fits(chain[-1], node):
+        return False
+    places = {len(above)}  # places of ancestors, or of node itself, that the rest of the chain may hang from
+    at = len(chain) - 2
+    while at >= 0 and places:
+        child = chain[at] == ">"
+        part = chain[at - child]
+        if child:
+            places = {p - 1 for p in places if p and _fits(part, above[p - 1])}
+        else:
+            places = {p for p in range(max(places)) if _fits(part, above[p])}
+        at -= 1 + child
+    return bool(places)
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the simple selectors that its style sheets hide."""
-    root, hidden = Node("html", {}), set()
-    stack, at, size = [root], 0, len(page)
+
+def parse(page: str) -> Node:
+    """The tree of a page, with what is hidden marked."""
+    root, styles, tags = Node("html", {}), Styles(), Tags(page)
+    stack, at, begun, size = [root], 0, 0, len(page)
 
     def text(raw: str) -> None:
         if raw:
-            children = stack[-1].children
-            raw = html.unescape(raw) if "&" in raw else raw
-            if children and isinstance(children[-1], str):
-                children[-1] += raw
-            else:
-                children.append(raw)
-
-    while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m.group(1):
-            _end(stack, m.group(1).lower())
-        elif m.group(2):
-            tag, raw = m.group(2).lower(), m.group(3) or ""
-            attributes = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTRIBUTE.findall(raw)} if "=" in raw or raw.strip(" \t\n\r\f/") else {}
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
-                continue
-            _imply(stack, tag)
-            node = Node(tag, attributes)
-            stack[-1].children.append(node)
-            if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-                body = page[at : end.start() if end else size]
-                at = end.end() if end else size
-                if tag == "style":
-                    for selectors, rules in _RULE.findall(re.sub(r"/\*.*?\*/", "", body, flags=re.S)):
-                        if _HIDES.search(rules):
-                            hidden.update(s for s in map(str.strip, selectors.split(",")) if _SIMPLE.fullmatch(s))
-                elif tag in ("textarea", "title"):
-                    node.children.append(html.unescape(body))
-            elif tag not in VOID and len(stack) < MAX_DEPTH:
-                stack.append(node)
-    return root, hidden
+            stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
+
+    while (at := page.find("<", at)) >= 0:
+        if m := _OTHER_TAG.match(page, at):
+            text(page[begun:at])
+            at = begun = m.end()
+            if m.group(1):
+                _end(stack, m.group(1).lower())
+            continue
+        m = _START_TAG.match(page, at)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            at += 1
+            continue
+        text(page[begun:at])
+        tag, raw = m.group(1).lower(), page[m.end() : end]
+        at = begun = end + 1
+        attributes: dict[str, str] = {}
+        if "=" in raw or raw.strip(" \t\n\r\f/"):
+            for a, x, y, z in _ATTRIBUTE.findall(raw):
+                attributes.setdefault(a.lower(), html.unescape(x or y or z))
+        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            for a, x in attributes.items():
+                next(n for n in stack if n.tag == tag).attributes.setdefault(a, x)
+            continue
+        _imply(stack, tag)
+        node = Node(tag, attributes)
+        stack[-1].children.append(node)
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            body = page[at : end.start() if end else size]
+            at = begun = end.end() if end else size
+            if tag == "style":
+                styles.add(body)
+            elif tag in ("textarea", "title"):
+                node.children.append(html.unescape(body))
+        elif tag not in VOID and len(stack) < MAX_DEPTH and not (raw.endswith("/") and any(n.tag in ("svg", "math") for n in stack)):
+            stack.append(node)
+    text(page[begun:])
+    styles.resolve(root, [root])
+    return root
 
 
 def _imply(stack: list[Node], tag: str) -> None:
@@ -204,50 +355,45 @@ def _whole(value: str | None, least: int, most: int, default: int) -> int:
         return default
 
 
-def _hidden(node: Node, rules: set[str]) -> bool:
-    tag, a = node.tag, node.attributes
-    if tag in UNSEEN:
-        return True
-    if not a:
-        return bool(rules) and tag in rules
-    if "hidden" in a and a["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
-        return True
-    if "style" in a and _HIDES.search(a["style"]):
-        return True
-    return bool(rules) and (tag in rules or f"#{a.get('id', '')}" in rules or any(f".{c}" in rules for c in a.get("class", "").split()))
+def _seen(node: Node, seen: bool) -> bool:
+    """Whether a node's own text is visible, given its parent's."""
+    return seen if node.shown is None else node.shown
 
 
-def _invisible_only(node: Node) -> bool:
-    """Hidden by visibility, which a descendant may undo, and not by display."""
-    return bool(re.search(r"visibility\s*:", node.attributes.get("style", ""), re.I)) and not re.search(r"display\s*:\s*none", node.attributes.get("style", ""), re.I) and "hidden" not in node.attributes
-
-
-def _layout(node: Node, out: Lines, rules: set[str], pre: bool, seen: bool) -> None:
+def _layout(node: Node, out: Lines, pre: bool, seen: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
             if seen:
                 (out.preformatted if pre else out.inline)(child)
+        elif not child.gone:
+            _element(child, out, pre, _seen(child, seen))
+
+
+def _drawing(node: Node, out: Lines, seen: bool) -> None:
+    """The labels of a drawing: its text elements, and pages within it. Text outside of them is not drawn."""
+    for child in node.children:
+        if isinstance(child, str) or child.gone:
             continue
-        visible = seen
-        if _hidden(child, rules):
-            if not _invisible_only(child):
-                continue
-            visible = False
-        elif not seen and _SHOWS.search(child.attributes.get("style", "")):
-            visible = True
-        _element(child, out, rules, pre, visible)
+        if child.tag in ("text", "foreignobject"):
+            out.inline(" ")
+            _layout(child, out, False, _seen(child, seen))
+            out.inline(" ")
+        else:
+            _drawing(child, out, _seen(child, seen))
 
 
-def _element(node: Node, out: Lines, rules: set[str], pre: bool, seen: bool) -> None:
+def _element(node: Node, out: Lines, pre: bool, seen: bool) -> None:
     tag = node.tag
     if tag == "br":
         out.feed(True)
+    elif tag == "svg":
+        _drawing(node, out, seen)
     elif tag == "table":
         out.apart()
-        out.add(_table(node, rules, seen))
+        out.add(_table(node, seen))
         out.apart()
     elif tag in ("ul", "ol", "menu", "dir"):
-        inner = _list(node, rules, seen)
+        inner = _list(node, seen)
         if out.tight:
             out.add(inner)
         else:
@@ -255,21 +401,21 @@ def _element(node: Node, out: Lines, rules: set[str], pre: bool, seen: bool) ->
             out.add(inner)
             out.apart()
     elif tag == "dd":
-        out.add(["  " + x if x else x for x in _lines(node, rules, pre, seen)])
+        out.add(["  " + x if x else x for x in _lines(node, pre, seen)])
     elif tag == "blockquote":
         out.apart()
-        out.add(["  " + x if x else x for x in _lines(node, rules, pre, seen)])
+        out.add(["  " + x if x else x for x in _lines(node, pre, seen)])
         out.apart()
     elif tag in ("pre", "textarea", "listing", "xmp"):
         out.apart()
-        _layout(node, out, rules, True, seen)
+        _layout(node, out, True, seen)
         out.apart()
     elif tag == "select":
-        options = [o for o in _options(node) if not _hidden(o, rules)]
+        options = [o for o in _options(node) if not o.gone]
         chosen = [o for o in options if "selected" in o.attributes] or ([] if "multiple" in node.attributes else options[:1])
         for o in options if "multiple" in node.attributes else chosen[:1]:
             out.inline(" ")
-            _layout(o, out, rules, pre, seen)
+            _layout(o, out, pre, _seen(o, seen))
             out.inline(" ")
     elif tag == "input":
         kind = node.attributes.get("type", "text").lower()
@@ -278,24 +424,24 @@ def _element(node: Node, out: Lines, rules: set[str], pre: bool, seen: bool) ->
     elif tag == "details" and "open" not in node.attributes:
         out.feed()
         summary = next((c for c in node.children if isinstance(c, Node) and c.tag == "summary"), None)
-        if summary is not None and not _hidden(summary, rules):
-            _layout(summary, out, rules, pre, seen)
+        if summary is not None and not summary.gone:
+            _layout(summary, out, pre, _seen(summary, seen))
         out.feed()
     elif tag in APART:
         out.apart()
-        _layout(node, out, rules, pre, seen)
+        _layout(node, out, pre, seen)
         out.apart()
     elif tag in BLOCK:
         out.feed()
-        _layout(node, out, rules, pre, seen)
+        _layout(node, out, pre, seen)
         out.feed()
     else:
-        _layout(node, out, rules, pre, seen)
+        _layout(node, out, pre, seen)
 
 
-def _lines(node: Node, rules: set[str], pre: bool, seen: bool) -> list[str]:
+def _lines(node: Node, pre: bool, seen: bool) -> list[str]:
     out = Lines(node.tag == "li")
-    _layout(node, out, rules, pre, seen)
+    _layout(node, out, pre, seen)
     return out.done()
 
 
@@ -307,7 +453,7 @@ def _options(node: Node) -> list[Node]:
     return found
 
 
-def _list(node: Node, rules: set[str], seen: bool) -> list[str]:
+def _list(node: Node, seen: bool) -> list[str]:
     number = _whole(node.attributes.get("start"), -(10**9), 10**9, 1)
     step = -1 if "reversed" in node.attributes else 1
     lines: list[str] = []
@@ -315,7 +461,7 @@ def _list(node: Node, rules: set[str], seen: bool) -> list[str]:
 
     def flush() -> None:
         nonlocal loose
-        lines.extend("  " + x if x else x for x in _lines(loose, rules, False, seen))
+        lines.extend("  " + x if x else x for x in _lines(loose, False, seen))
         loose = Node("div", {})
 
     for child in node.children:
@@ -323,12 +469,12 @@ def _list(node: Node, rules: set[str], seen: bool) -> list[str]:
             loose.children.append(child)
             continue
         flush()
-        if _hidden(child, rules) and not _invisible_only(child):
+        if child.gone:
             continue
         number = _whole(child.attributes.get("value"), -(10**9), 10**9, number) if node.tag == "ol" else number
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += step
-        inner = _lines(child, rules, False, seen and not _hidden(child, rules))
+        inner = _lines(child, False, _seen(child, seen))
         if inner:
             lines.append(mark + inner[0])
             lines.extend(" " * len(mark) + x if x else x for x in inner[1:])
@@ -336,7 +482,7 @@ def _list(node: Node, rules: set[str], seen: bool) -> list[str]:
     return lines
 
 
-def _rows(node: Node, rules: set[str]) -> tuple[list[Node], list[Node]]:
+def _rows(node: Node) -> tuple[list[Node], list[Node]]:
     """(rows in order of the table's sections, captions and other children that are no rows)."""
     head, body, foot, loose = [], [], [], []
     for c in node.children:
@@ -344,12 +490,14 @@ def _rows(node: Node, rules: set[str]) -> tuple[list[Node], list[Node]]:
             if c.strip():
                 loose.append(Node("div", {}))
                 loose[-1].children.append(c)
-        elif _hidden(c, rules):
+        elif c.gone:
             continue
         elif c.tag == "tr":
             body.append(c)
         elif c.tag in ("thead", "tbody", "tfoot"):
-            rows, more = _rows(c, rules)
+            rows, more = _rows(c)
+            for row in rows if c.shown is not None else ():
+                row.shown = c.shown if row.shown is None else row.shown
             {"thead": head, "tbody": body, "tfoot": foot}[c.tag].extend(rows)
             loose += more
         elif c.tag in ("td", "th"):
@@ -361,11 +509,11 @@ def _rows(node: Node, rules: set[str]) -> tuple[list[Node], list[Node]]:
     return head + body + foot, loose
 
 
-def _table(node: Node, rules: set[str], seen: bool) -> list[str]:
-    rows, loose = _rows(node, rules)
+def _table(node: Node, seen: bool) -> list[str]:
+    rows, loose = _rows(node)
     out: list[str] = []
     for c in loose:
-        out += _lines(c, rules, False, seen)
+        out += _lines(c, False, seen)
     grid: list[dict[int, list[str]]] = []
     spans: dict[int, int] = {}  # column -> rows that a cell from above still covers
     for row in rows:
@@ -380,11 +528,11 @@ def _table(node: Node, rules: set[str], seen: bool) -> list[str]:
                 cell = Node("td", {})
                 cell.children.append(c)
                 c = cell
-            elif _hidden(c, rules):
+            elif c.gone:
                 continue
             while column in taken:
                 column += 1
-            cells[column] = _lines(c, rules, False, seen)
+            cells[column] = _lines(c, False, _seen(row, seen) if c.shown is None else c.shown)
             wide, deep = _whole(c.attributes.get("colspan"), 1, 1000, 1), _whole(c.attributes.get("rowspan"), 1, 65534, 1)
             if deep > 1:
                 for k in range(column, column + wide):
@@ -409,8 +557,7 @@ def _table(node: Node, rules: set[str], seen: bool) -> list[str]:
 def visible_text(page: str) -> str:
     """All visible text of a page, laid out in lines."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
-    root, hidden = parse(page)
-    return "\n".join(_lines(root, hidden, False, True))
+    return "\n".join(_lines(parse(page), False, True))
 
 
 def extract(pages: DataFrame) -> DataFrame:
