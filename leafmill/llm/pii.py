@@ -1,15 +1,16 @@
 """Personal data: checked patterns as seeds, and bootstrapped contextual extraction of what they miss.
 
-Base spans come from four checked patterns (e-mail, IP, card, phone). They are the seed entities: the
-words around them become lexical patterns ("a b _", "a _ c", "_ b c"). Every place of the corpus where
-a pattern with enough distinct seeds fits is gathered, and the bipartite graph of patterns and the
-instances they hold is scored for some rounds: a pattern by the mean score of all that it holds, an
-instance by the patterns that hold it. Distinct words that could be no identifier of the kind count
-against a pattern. Patterns of high confidence then mark unseen identifiers of a fitting shape.
+Base spans come from four checked patterns (e-mail, IP, card, phone). They are the seed entities: the words around them,
+without punctuation and with digits as 0, become lexical patterns ("b _", "_ c", "a b _", "b _ c", "_ c d"). A scan of the
+corpus gathers what else stands where a pattern with enough distinct seeds fits: candidates, which have a fitting shape
+and may reach over several words, and other words. The bipartite graph of patterns and their distinct instances is scored
+for some rounds: a pattern by the mean score of all that it holds, an instance by the patterns that hold it; other words count
+against a pattern, once each. A last scan marks the candidates where patterns of high confidence fit.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -29,7 +30,7 @@ MIN_CONFIDENCE = 0.8
 ROUNDS = 3
 #: Patterns that one scan looks for; more of them take more scans.
 PATTERNS_PER_SCAN = 200_000
-#: Other words that a scan remembers, so as not to pass them on again.
+#: Instances that a scan remembers, so as not to pass them on again.
 PARTIAL_WORDS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,14 +39,15 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TOKEN = re.compile(r"\S+")
+_WORD = re.compile(r"\w+")
+_DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|"
-#: Shapes of identifiers that the checked patterns don't match, by kind.
+#: Shapes of identifiers that the checked patterns don't match, by kind; they may reach over several words.
 _SHAPES = {
-    "email": re.compile(r"[\w.%+-]+(?:@|\(at\)|\[at\])[\w-]+(?:(?:\.|\(dot\)|\[dot\])[\w-]+)*", re.I),
-    "ip": re.compile(r"[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}", re.I),
-    "card": re.compile(r"[0-9](?:[./_ -]?[0-9]){11,18}"),
-    "phone": re.compile(r"\(?[0-9](?:[()./-]{0,2}[0-9]){6,14}"),
+    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]+(?:(?:@|\(at\)|\[at\])[\w-]+(?:(?:\.|\(dot\)|\[dot\])[\w-]+)*| (?:at|\(at\)|\[at\]) [\w-]+(?: (?:dot|\(dot\)|\[dot\]) [\w-]+)+)", re.I),
+    "ip": re.compile(r"(?<![\w:])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}(?![\w:])", re.I),
+    "card": re.compile(r"(?<![\w])[0-9](?:[./_ -]?[0-9]){11,18}(?!\w)"),
+    "phone": re.compile(r"(?<![\w])\(?[0-9](?:[()./ -]{0,2}[0-9]){6,14}(?!\w)"),
 }
 
 Span = tuple[str, int, int]
@@ -120,89 +122,145 @@ def as_text(spans: list[Span]) -> str:
 
 
 def contexts(before: list[str], after: list[str]) -> list[str]:
-    """Lexical patterns of a place, from the lower-case words around it."""
+    """Lexical patterns of a place, from the two words before and the two after it."""
     out = []
-    if len(before) > 1:
-        out.append(f"{before[-2]} {before[-1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
-    if len(after) > 1:
-        out.append(f"_ {after[0]} {after[1]}")
+    if before:
+        out.append(f"{before[-1]} _")
+        if len(before) > 1:
+            out.append(f"{before[-2]} {before[-1]} _")
+        if after:
+            out.append(f"{before[-1]} _ {after[0]}")
+    if after:
+        out.append(f"_ {after[0]}")
+        if len(after) > 1:
+            out.append(f"_ {after[0]} {after[1]}")
     return out
 
 
+class Words:
+    """The words of a text, in lower case with digits as 0, and where they are."""
+
+    def __init__(self, text: str):
+        found = list(_WORD.finditer(text))
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        self.words = [_DIGIT.sub("0", m.group().lower()) for m in found]
+
+    def around(self, a: int, b: int) -> list[str]:
+        """Patterns of a span; a word that it cuts into counts as part of it."""
+        i, j = bisect.bisect_right(self.ends, a), bisect.bisect_left(self.starts, b)
+        return contexts(self.words[max(0, i - 2) : i], self.words[j : j + 2])
+
+    def of(self, i: int) -> list[str]:
+        """Patterns of the i-th word."""
+        return contexts(self.words[max(0, i - 2) : i], self.words[i + 1 : i + 3])
+
+
 def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def seed_patterns(text: str) -> list[tuple[str, str, int]]:
-    """(kind, pattern, instance) of each base span's places; a place's words don't reach past 400 characters."""
+    """(kind, pattern, instance) of each base span's places."""
+    base = base_spans(text)
+    words = Words(text) if base else None
+    return [(kind, p, _key(text[a:b].lower())) for kind, a, b in base for p in words.around(a, b)]
+
+
+def candidates(text: str, base: list[Span]) -> list[Span]:
+    """Places of a shape that overlap no base span."""
+    starts, ends = [], []  # of base spans, joined where they overlap
+    for _, x, y in base:
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
     out = []
-    for kind, a, b in base_spans(text):
-        if (a and not text[a - 1].isspace() and text[a - 1] not in _EDGE) or (b < len(text) and not text[b].isspace() and text[b] not in _EDGE):
-            continue
-        instance = _key(text[a:b].lower())
-        before, after = text[max(0, a - 400) : a].lower().rstrip(_EDGE).split()[-2:], text[b : b + 400].lower().lstrip(_EDGE).split()[:2]
-        out += [(kind, p, instance) for p in contexts(before, after)]
-    return out
-
-
-def fitting(text: str, wanted: dict[str, tuple[str, ...]], lefts: set, arounds: set, rights: set, other: set) -> list[tuple]:
-    """(pattern, kind, instance, start, end) of unseen identifiers where wanted patterns fit; other gets (pattern, kind, hash) of what else they hold."""
-    words = text.lower().split()
-    if not (lefts.intersection(zip(words, words[1:])) or rights.intersection(zip(words, words[1:])) or arounds.intersection(zip(words, words[2:]))):
-        return []
-    out, base = [], base_spans(text)
-    places = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    if len(places) != len(words):  # lower-casing never makes or removes white space, but stay whole if it should
-        words = [text[a:b].lower() for a, b in places]
-    for i, (a, b) in enumerate(places):
-        fits = [p for p in contexts(words[max(0, i - 2) : i], words[i + 1 : i + 3]) if p in wanted]
-        if not fits:
-            continue
-        while a < b and text[a] in _EDGE:
-            a += 1
-        while b > a and text[b - 1] in _EDGE:
-            b -= 1
-        if any(x < b and a < y for _, x, y in base):
-            continue
-        token = text[a:b]
-        for p in fits:
-            for kind in wanted[p]:
-                if _SHAPES[kind].fullmatch(token):
-                    out.append((p, kind, _key(token.lower()), a, b))
-                else:
-                    other.add((p, kind, _key(token.lower())))
+    for kind, shape in _SHAPES.items():
+        for m in shape.finditer(text):
+            a, b = m.span()
+            while a < b and text[a] in _EDGE and text[a] != "(":
+                a += 1
+            while b > a and text[b - 1] in _EDGE and text[b - 1] not in ")]":
+                b -= 1
+            if any(c.isalnum() for c in text[a:b]) and bisect.bisect_right(ends, a) == bisect.bisect_left(starts, b):
+                out.append((kind, a, b))
     return out
 
 
-def _scan(wanted: dict[str, tuple[str, ...]]):
-    """A mapInArrow function over (doc_id, text): rows of candidates, and, without a place, of what else patterns hold."""
-    split = [p.split(" ") for p in wanted]
-    lefts = {(p[0], p[1]) for p in split if p[2] == "_" and p[0] != "_"}
-    arounds = {(p[0], p[2]) for p in split if p[1] == "_"}
-    rights = {(p[1], p[2]) for p in split if p[0] == "_"}
+class Wanted:
+    """Patterns looked for, by kind, and the words that a text needs for any of them to fit."""
+
+    def __init__(self, patterns: dict[str, tuple[str, ...]]):
+        self.patterns = patterns
+        self.words = {next(w for w in p.split(" ") if w != "_") for p in patterns}
+
+    def may_fit(self, text: str) -> bool:
+        return bool(self.words) and not self.words.isdisjoint(_WORD.findall(_DIGIT.sub("0", text.lower())))
+
+    def marked(self, text: str, base: list[Span]) -> list[tuple[str, str, int, int]]:
+        """(pattern, kind, start, end) of the candidates where a pattern of their kind fits."""
+        found = candidates(text, base)
+        words = Words(text) if found else None
+        return [(p, kind, a, b) for kind, a, b in found for p in words.around(a, b) if kind in self.patterns.get(p, ())]
+
+
+def fitting(text: str, wanted: Wanted) -> tuple[set[tuple], set[tuple]]:
+    """(pattern, kind, instance) of candidates, and of other words, where wanted patterns fit."""
+    if not wanted.may_fit(text):
+        return set(), set()
+    base, words = base_spans(text), Words(text)
+    found = candidates(text, base)
+    held, other = set(), set()
+    for kind, a, b in found:
+        held.update((p, kind, _key(text[a:b].lower())) for p in words.around(a, b) if kind in wanted.patterns.get(p, ()))
+    taken: dict[str, set[int]] = {k: set() for k in KINDS}  # words of base spans, and of candidates of the kind
+    for kind, a, b in [*((k, x, y) for _, x, y in base for k in KINDS), *found]:
+        taken[kind].update(range(bisect.bisect_right(words.ends, a), bisect.bisect_left(words.starts, b)))
+    for i, word in enumerate(words.words):
+        for p in words.of(i):
+            for kind in wanted.patterns.get(p, ()):
+                if i not in taken[kind]:
+                    other.add((p, kind, _key(word)))
+    return held, other
+
+
+def _scan(patterns: dict[str, tuple[str, ...]], n_seeds: dict[tuple[str, str], int]):
+    """A mapInArrow function over (text): rows of candidates (fits) and of other words, distinct as far as memory goes.
+
+    A pattern that holds more other words than seeds has no confidence; once it does, it is looked for no longer, as the other
+    words passed on so far are enough to show it.
+    """
 
     def scan(batches):
-        told: set = set()
+        wanted, live, told, counts = Wanted(patterns), dict(patterns), set(), Counter()
         for batch in batches:
-            rows, other = [], set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and (found := fitting(text, wanted, lefts, arounds, rights, other)):
-                    h = _key(text)
-                    rows += [(doc_id, h, *f) for f in found]
-            rows += [(None, None, *x, None, None) for x in other - told]
-            told = told | other if len(told) + len(other) <= PARTIAL_WORDS else other
-            yield pa.RecordBatch.from_pylist([dict(zip(PLACES.names, r)) for r in rows], schema=_PLACES_ARROW)
+            rows = []
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                for fits, found in zip((True, False), fitting(text, wanted)):
+                    for x in found:
+                        if (x, fits) not in told:
+                            told.add((x, fits))
+                            rows.append((*x, fits))
+                            counts[x[:2]] += not fits
+                if any(n > n_seeds[p] for p, n in counts.items()):
+                    for p, kind in [p for p, n in counts.items() if n > n_seeds[p]]:
+                        live[p] = tuple(k for k in live[p] if k != kind)
+                        del counts[p, kind]
+                    live = {p: kinds for p, kinds in live.items() if kinds}
+                    wanted = Wanted(live)
+                if len(told) > PARTIAL_WORDS:
+                    told.clear()
+                    counts.clear()
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["pattern", "kind", "instance", "fits"])
 
     return scan
 
 
-PLACES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("pattern", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("instance", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-])
-_PLACES_ARROW = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in PLACES])
+PLACES = "pattern string, kind string, instance long, fits boolean"
 
 
 def _seeds(batches):
@@ -213,17 +271,22 @@ def _seeds(batches):
 
 
 def score_graph(seeds: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) after some rounds over the pattern-instance graph."""
-    held = places.where(F.col("start").isNotNull()).select("pattern", "kind", "instance").distinct().withColumn("seed", F.lit(False))
-    edges = staged(seeds.withColumn("seed", F.lit(True)).select("pattern", "kind", "instance", "seed").unionByName(held), "pii-edges")
-    others = places.where(F.col("start").isNull()).select("pattern", "kind", "instance").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("n_other"))
+    """(pattern, kind, confidence) after some rounds over the pattern-instance graph; seeds and places are distinct.
+
+    Patterns that hold more other words than seeds are no part of it.
+    """
+    others = places.where("not fits").groupBy("pattern", "kind").agg(F.count("*").alias("n_other"))
+    supported = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).join(others, ["pattern", "kind"], "left").fillna(0, ["n_other"])
+    live = staged(supported.where("n_other <= n_seeds").select("pattern", "kind", "n_other"), "pii-live")
+    held = places.where("fits").select("pattern", "kind", "instance").withColumn("seed", F.lit(False))
+    edges = seeds.withColumn("seed", F.lit(True)).select("pattern", "kind", "instance", "seed").unionByName(held)
+    edges = staged(edges.join(live.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), "pii-edges")
     scores = edges.select("kind", "instance", "seed").distinct().groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     patterns = None
     for _ in range(rounds):
         patterns = (
             edges.join(scores, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.count("*").alias("held"))
-            .join(others, ["pattern", "kind"], "left")
-            .select("pattern", "kind", (F.col("good") / (F.col("held") + F.coalesce("n_other", F.lit(0)))).alias("confidence"))
+            .join(live, ["pattern", "kind"]).select("pattern", "kind", (F.col("good") / (F.col("held") + F.col("n_other"))).alias("confidence"))
         )
         missed = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         scores = edges.join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg(
@@ -232,30 +295,36 @@ def score_graph(seeds: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> Da
     return patterns
 
 
-def discover(documents: DataFrame) -> DataFrame | None:
-    """(doc_id, h, found) with the spans that patterns of high confidence add; None if there is no such pattern."""
+def trusted_patterns(documents: DataFrame) -> DataFrame | None:
+    """(pattern, kind) of high confidence, staged; None if there is none."""
     spark = documents.sparkSession
     texts = documents.select(F.col("text").cast("string").alias("text"))
     seeds = staged(texts.mapInArrow(_seeds, "kind string, pattern string, instance long").distinct(), "pii-seeds")
     supported = staged(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= MIN_SEEDS), "pii-patterns")
-    scans = -(-supported.count() // PATTERNS_PER_SCAN)
     places = None
-    for k in range(scans):
-        wanted: dict[str, tuple[str, ...]] = {}
-        for r in supported.where(F.pmod(F.xxhash64("pattern"), F.lit(scans)) == k).toLocalIterator():  # about PATTERNS_PER_SCAN rows
-            wanted[r["pattern"]] = (*wanted.get(r["pattern"], ()), r["kind"])
-        shared = spark.sparkContext.broadcast(wanted)
-        part = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b, s=shared: _scan(s.value)(b), PLACES)
-        places = part if places is None else places.unionByName(part)
+    for part in _parts(supported):
+        patterns: dict[str, tuple[str, ...]] = {}
+        n_seeds = {}
+        for r in part.toLocalIterator():  # about PATTERNS_PER_SCAN rows
+            patterns[r["pattern"]] = (*patterns.get(r["pattern"], ()), r["kind"])
+            n_seeds[r["pattern"], r["kind"]] = r["n_seeds"]
+        shared = spark.sparkContext.broadcast((patterns, n_seeds))
+        found = texts.mapInArrow(lambda b, s=shared: _scan(*s.value)(b), PLACES)
+        places = found if places is None else places.unionByName(found)
     if places is None:
         return None
-    places = staged(places, "pii-places")
-    if places.where(F.col("start").isNotNull()).isEmpty():
+    places = staged(places.distinct(), "pii-places")
+    if places.where("fits").isEmpty():
         return None
-    trusted = score_graph(seeds.join(supported.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), places).where(F.col("confidence") >= MIN_CONFIDENCE)
-    found = places.where(F.col("start").isNotNull()).join(trusted, ["pattern", "kind"], "left_semi")
-    found = staged(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("kind", "start", "end")).alias("found")), "pii-found")
-    return None if found.isEmpty() else found
+    scored = score_graph(seeds.join(supported.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), places)
+    trusted = staged(scored.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind"), "pii-trusted")
+    return None if trusted.isEmpty() else trusted
+
+
+def _parts(patterns: DataFrame) -> list[DataFrame]:
+    """patterns in parts of about PATTERNS_PER_SCAN rows; all kinds of a pattern are in one part."""
+    n = -(-patterns.count() // PATTERNS_PER_SCAN)
+    return [patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k) for k in range(n)]
 
 
 FOUND = T.StructType([
@@ -278,26 +347,38 @@ def find(documents: DataFrame, redacted: bool = False) -> DataFrame:
     """Personal data in every row: base counts, base_sha256, all spans and how many of them were added.
 
     n_email, n_ip, n_card and n_phone count base spans. Null texts are empty and hold nothing; repeated
-    rows get equal results; null ids are kept; an empty table gives no rows. With redacted, the column
-    text holds the redacted text (null stays null) and row the document's own columns, whatever their names.
+    rows get equal results; null ids are kept, and spans are added to them as to others; an empty table gives no rows.
+    With redacted, the column text holds the redacted text (null stays null) and row the document's own columns, whatever their names.
     """
     require(documents, "doc_id", "text")
-    added = discover(documents)
+    spark = documents.sparkSession
+    trusted = trusted_patterns(documents)
+    chunks = []
+    for part in _parts(trusted) if trusted is not None else ():
+        patterns: dict[str, tuple[str, ...]] = {}
+        for r in part.toLocalIterator():  # about PATTERNS_PER_SCAN rows
+            patterns[r["pattern"]] = (*patterns.get(r["pattern"], ()), r["kind"])
+        chunks.append(spark.sparkContext.broadcast(patterns))
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(documents[c] for c in documents.columns)).alias("row")] if redacted else []))
-    if added is not None:
-        hashed = keyed.mapInArrow(_with_key, T.StructType([*keyed.schema.fields, T.StructField("h", T.LongType())]))
-        keyed = hashed.join(added, ["doc_id", "h"], "left").drop("h").select(*keyed.columns[: 3 if redacted else 2], "found")
     schema = T.StructType([f for f in FOUND if redacted or f.name != "text"])
     if redacted:
         schema = schema.add("row", documents.schema)
+    more = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    for k, chunk in enumerate(chunks[:-1]):  # only if there are more trusted patterns than one scan looks for
+        keyed = keyed.mapInArrow(_adding(chunk, k > 0), T.StructType([*(f for f in keyed.schema if f.name != "found"), T.StructField("found", more)]))
+    last, carried, names = chunks[-1] if chunks else None, len(chunks) > 1, schema.names
 
     def spans(batches):
+        wanted = Wanted(last.value) if last is not None else None
         for batch in batches:
-            more = batch.column(batch.schema.get_field_index("found")).to_pylist() if added_any else [None] * batch.num_rows
+            extra = batch.column(batch.schema.get_field_index("found")).to_pylist() if carried else [None] * batch.num_rows
             columns: list[list] = [[] for _ in range(8)]
-            for text, extra in zip(batch.column(1).to_pylist(), more):
+            for text, held in zip(batch.column(1).to_pylist(), extra):
                 base = base_spans(text or "")
-                every = in_order(base + [(x["kind"], x["start"], x["end"]) for x in extra or ()])
+                added = [(x["kind"], x["start"], x["end"]) for x in held or ()]
+                if wanted is not None and text and wanted.may_fit(text):
+                    added += [(kind, a, b) for _, kind, a, b in wanted.marked(text, base)]
+                every = in_order(base + added)
                 counts = Counter(s[0] for s in base)
                 row = [*(counts[k] for k in KINDS), hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(every), len(every) - len(base)]
                 row.append(redact(text, every) if redacted and text is not None else None)
@@ -307,14 +388,25 @@ def find(documents: DataFrame, redacted: bool = False) -> DataFrame:
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column(2)] if redacted else arrays[:-1], names=names)
 
-    added_any, names = added is not None, schema.names
     return keyed.mapInArrow(spans, schema)
 
 
-def _with_key(batches):
-    for batch in batches:
-        keys = pa.array([_key(t) if t else None for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "h"])
+def _adding(chunk, carried: bool):
+    """A mapInArrow function that adds what one part of the trusted patterns marks to the column found, the last one."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        wanted = Wanted(chunk.value)
+        for batch in batches:
+            held = batch.columns[:-1] if carried else batch.columns
+            before = batch.column(batch.num_columns - 1).to_pylist() if carried else [None] * batch.num_rows
+            found = []
+            for text, own in zip(batch.column(1).to_pylist(), before):
+                marked = wanted.marked(text, base_spans(text)) if text and wanted.may_fit(text) else []
+                found.append([*(own or ()), *({"kind": kind, "start": a, "end": b} for _, kind, a, b in marked)])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(found, kind)], names=[*batch.schema.names[: len(held)], "found"])
+
+    return run
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:
