@@ -10,8 +10,8 @@ retains the SKETCH least values. Documents with equal sets are one class from th
 * A list is linked as stars first: its members, by size class, with the least member of their own and the two
   neighbouring size classes. That is linear in the list, and joins groups of copies, however large.
 * Every candidate passes the union-sketch estimate, then the exact Jaccard of the full sets of both texts.
-* What the stars leave open - members of one list in different components - is compared in blocks of bounded
-  size, by sketches first and then by full sets, so no link depends on which member was a centre.
+* What the stars leave open - members of one list in different components - is compared in blocks, bounded in members and in
+  bytes, of the same or neighbouring size classes; by sketches first and then by full sets, so no link depends on which member was a centre.
 * Components come from rounds of contraction, with tables staged between rounds.
 """
 
@@ -29,8 +29,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 75  # percent
 SKETCH = 48
 MIN_OVERLAP = 22
-#: Members of one block when the rest of a list is compared.
-BLOCK = 1500
+#: Members of one block when the rest of a list is compared, and shingles of their full sets (8 bytes each), both on average.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Ids up to this many (16 bytes each) are broadcast to pick rows; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -160,9 +160,14 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return ranked.withColumns({"alone": alone, "rank": rank}).where(F.col("alone") + F.col("rank") <= prefix).select("value", "node", "n")
 
 
+def _size_class(n: str):
+    """Sets of a Jaccard index of 0.75 or more are in the same size class or neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(float(np.log(4 / 3)))).cast("long")
+
+
 def stars(lists: DataFrame) -> DataFrame:
     """Candidate pairs: each member of a list with the least member of its size class and of the neighbouring ones."""
-    sized = lists.withColumn("size", F.floor(F.log("n") / F.lit(float(np.log(4 / 3)))))
+    sized = lists.withColumn("size", _size_class("n"))
     centres = sized.groupBy("value", "size").agg(F.min("node").alias("centre")).select("value", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "centre")
     pairs = sized.join(centres, ["value", "size"]).where("node <> centre")
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -266,16 +271,19 @@ def rest(lists: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFra
     """The links that the stars left open, staged: among members of one list whose components differ.
 
     Lists with the same least member are joined, as those of one passage or one group of copies mostly are, and cut into
-    blocks. The sketches tell which members of a pair of blocks have someone to be compared with; only their full
+    blocks by size class. The sketches tell which members of a pair of blocks have someone to be compared with; only their full
     sets are sent after them, and compared there. What comes out is linear in the members.
     """
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_lists = labelled.groupBy("value").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("centre"))
     open_lists = open_lists.where("size > 2 and low <> high").select("value", "centre")
-    members = staged(labelled.join(open_lists, "value").select("centre", "node", "n", "label").distinct(), "open-members")
-    sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    side = members.join(sizes, "centre").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    paired = side.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
+    members = staged(labelled.join(open_lists, "value").select("centre", "node", "n", "label").distinct().withColumn("class", _size_class("n")), "open-members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = members.groupBy("centre", "class").agg(blocks.alias("blocks"))
+    code = lambda block: F.col("class") * F.lit(1 << 40) + block  # noqa: E731 of a block: its class, and its number there
+    side = members.join(sizes, ["centre", "class"]).withColumn("side", code(F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    targets = sizes.select("centre", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select("centre", code(F.col("block")).alias("other"), F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"))
+    paired = side.join(targets, ["centre", "class"]).withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
     sketches = _picked(classes, members.select("node").distinct(), members.count())
     rows = paired.join(sketches, ["node", "n"]).select("centre", "one", "two", "node", "n", "label", "side", "sketch")
     rows = rows.repartition("centre", "one", "two").sortWithinPartitions("centre", "one", "two")
