@@ -15,7 +15,7 @@ from leafmill.functions import clean, dates, filters, geometry, images, layout,
 from leafmill.functions import text as codes
 from leafmill.operators import formats, relational
 from leafmill.operators.fixtures import write_documents, write_malformed, write_operators
-from leafmill.operators.parse import Options, extract_images, inspect, parse, parse_raw, result, text_runs
+from leafmill.operators.parse import Options, extract_images, inspect, parse, parse_raw, result, spread, text_runs
 from leafmill.sources.pdf import from_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,11 +197,11 @@ _L = "[a-zA-ZäöåÄÖÅ]"
 
 @query(f"SELECT doc_id, regexp_replace(text, '({_L}{{2,}}) ({_L})({_L}{{2,}})', '\\1\\2\\3', 'g') AS text FROM documents")
 def clean_fuse(spark, sf_dir):
+    """Adjacent words of two and three letters or more become one; nulls stay null."""
     return table(spark, sf_dir, "documents").select("doc_id", clean.fuse(F.col("text")).alias("text"))
 
 
-def _split_sql() -> str:
-    out = "replace(text, ' ', '')"
+def _split_sql(out: str) -> str:
     for first, second in clean.APART:
         out = f"regexp_replace({out}, '({first})({second})', '{first if first == 'uppdatera' else chr(92) + '1'} \\2', 'gi')"
     return out
@@ -210,7 +210,10 @@ def _split_sql() -> str:
 _PHRASES = " ".join(f"{a} {b.split('|')[0]}" for a, b in clean.APART)
 
 
-@query(f"SELECT doc_id, {_split_sql()} AS text FROM (SELECT doc_id, substring('{_PHRASES}', 1 + CAST(doc_id % 40 AS INTEGER), 60 + CAST(doc_id % 100 AS INTEGER)) AS text FROM documents)")
+_UNSPACED = "replace(text, ' ', '')"
+
+
+@query(f"SELECT doc_id, {_split_sql(_UNSPACED)} AS text FROM (SELECT doc_id, substring('{_PHRASES}', 1 + CAST(doc_id % 40 AS INTEGER), 60 + CAST(doc_id % 100 AS INTEGER)) AS text FROM documents)")
 def clean_split(spark, sf_dir):
     """The words that belong apart, in texts where they were fused."""
     n = F.col("doc_id") % 40
@@ -220,19 +223,34 @@ def clean_split(spark, sf_dir):
 
 @query("SELECT doc_id, replace(replace(text || ' Företagsnamnetsregistreringsdatum', 'Företagsnamnetsregistreringsdatum', 'Företagsnamnets registreringsdatum'), 'Objektetsregis treringsdatum', 'Objektets registreringsdatum') AS text FROM documents")
 def clean_repair(spark, sf_dir):
+    """Literal repairs; nulls stay null."""
     return table(spark, sf_dir, "documents").select("doc_id", clean.repair(F.concat("text", F.lit(" Företagsnamnetsregistreringsdatum"))).alias("text"))
 
 
-@query()
+def _merge_sql(text: str) -> str:
+    """merge_letter without a back-reference: a branch for each letter that the first word may end with."""
+    ended = "|".join(f"{clean.L}+{c} {c} {clean.L}{{2,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöåÄÖÅ")
+    return f"regexp_replace({text}, '({ended})|({clean.L}{{2,}}) ({clean.L}) ({clean.L}{{2,}})', '\\1\\2\\3\\4', 'g')"
+
+
+def _swedish_sql(text: str) -> str:
+    """All repairs in order; the letter that must not follow a long run is a character that is kept."""
+    out = f"regexp_replace({_merge_sql(text)}, '({clean.L}{{2,}}) ({clean.L})({clean.L}{{2,}})', '\\1\\2\\3', 'g')"
+    for wrong, right in clean.REPAIRS:
+        out = f"replace({out}, '{wrong}', '{right}')"
+    return f"regexp_replace({_split_sql(out)}, '({clean.L}{{9,}}(?:ets|ens|ats))({clean.L}{{8}})($|[^{clean.L[1:]})', '\\1 \\2\\3', 'g')"
+
+
+@query(f"SELECT doc_id, {_merge_sql('text')} AS text FROM documents")
 def clean_merge_letter(spark, sf_dir):
-    """Back-references have no counterpart in the other engine; tested against Python."""
-    return table(spark, sf_dir, "documents").select("doc_id", clean.merge_letter(F.col("text")).alias("text"))
+    """A letter between two words joins them, unless the first ends with it; nulls stay null."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean.merge_letter(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {_swedish_sql('text')} AS text FROM documents")
 def clean_swedish(spark, sf_dir):
-    """All repairs in order; tested against Python."""
-    return table(spark, sf_dir, "documents").select("doc_id", clean.swedish(F.col("text")).alias("text"))
+    """All repairs in order; nulls stay null."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean.swedish(F.col("text")).alias("text"))
 
 
 # -- filters
@@ -296,7 +314,7 @@ def pdf_images(spark, sf_dir):
 @query("SELECT o_orderkey, date_trunc('second', o_orderdate) AS parsed FROM orders")
 def pdf_date(spark, sf_dir):
     text = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("Z"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.pdf_date(text).alias("parsed"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", dates.pdf_date(F.col("text")).alias("parsed"))
 
 
 @query("""SELECT o_orderkey, make_timestamp(1990 + o_orderkey % 30, 1, 1, 0, 0, 0.0) + to_months(CAST(coalesce(nullif(o_orderkey % 60, 0), 1) - 1 AS INTEGER))
@@ -306,7 +324,7 @@ def date_rollover(spark, sf_dir):
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     k = F.col("o_orderkey")
     text = F.concat(F.lit("D:"), (1990 + k % 30).cast("string"), two(k % 60), two(F.col("o_custkey") % 90), two(k % 50))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.pdf_date(text).alias("parsed"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", dates.pdf_date(F.col("text")).alias("parsed"))
 
 
 # -- limits, joins of texts, formats
