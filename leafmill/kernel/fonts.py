@@ -142,6 +142,10 @@ def parse_to_unicode(data: bytes) -> CodeMap:
     return out
 
 
+#: Codes that one character map may name: as many as there are characters.
+MAX_CODES = 0x110000
+
+
 def truetype_glyphs(data: bytes) -> dict[int, str]:
     """Glyph index to character, from the best cmap subtable of a TrueType font (formats 4 and 12)."""
     try:
@@ -151,14 +155,17 @@ def truetype_glyphs(data: bytes) -> dict[int, str]:
         for i in range(struct.unpack_from(">H", data, base + 2)[0]):
             platform, own, offset = struct.unpack_from(">HHI", data, base + 4 + 8 * i)
             found[platform, own] = base + offset
-        order = [(3, 10), (3, 1), *sorted(k for k in found if k[0] == 0)]
+        order = [(3, 10), (3, 1), *sorted(k for k in found if k[0] == 0), *found]  # else the first one
         at = next(found[k] for k in order if k in found)
         out: dict[int, str] = {}
         kind = struct.unpack_from(">H", data, at)[0]
         if kind == 12:
+            left = MAX_CODES
             for i in range(min(struct.unpack_from(">I", data, at + 12)[0], 100_000)):
                 first, last, glyph = struct.unpack_from(">III", data, at + 16 + 12 * i)
-                for code in range(first, min(last, first + 0x10FFFF) + 1):
+                last = min(last, 0x10FFFF, first + left - 1)
+                left -= max(0, last - first + 1)
+                for code in range(first, last + 1):
                     if glyph + code - first:
                         out.setdefault(glyph + code - first, _chr(code))
         elif kind == 4:

@@ -160,19 +160,20 @@ def _event_runs(spark, sf_dir) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("doc_id"), e.alias("seq"), F.when(e % 3 == 0, F.substring("event_type", 1, 1)).otherwise(F.col("event_type")).alias("text"),
-        ((e * 37) % 400).cast("double").alias("x"), (F.floor(e / 50) * 3).cast("double").alias("y"), (e % 30).cast("double").alias("width"),
-        F.lit(10.0).alias("font_size"), (e % 2).cast("double").alias("char_spacing"), (e % 5).cast("double").alias("word_spacing"),
+        ((e * 37) % 400).cast("double").alias("x"), (F.floor(e / 50) * 3).cast("double").alias("y"), F.when(e % 11 != 0, (e % 30).cast("double")).alias("width"),
+        F.when(e % 7 == 0, 0.0).when(e % 13 != 0, (8 + e % 6).cast("double")).alias("font_size"), (e % 2).cast("double").alias("char_spacing"), (e % 5).cast("double").alias("word_spacing"),
     )
 
 
 _LAYOUT_SQL = """WITH r AS (
       SELECT user_id AS doc_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN substring(event_type, 1, 1) ELSE event_type END AS text, CAST((event_id * 37) % 400 AS DOUBLE) AS x,
-             CAST(floor(event_id / 50) * 3 AS DOUBLE) AS y, CAST(event_id % 30 AS DOUBLE) AS width, CAST(event_id % 2 AS DOUBLE) AS tc, CAST(event_id % 5 AS DOUBLE) AS tw FROM events),
+             CAST(floor(event_id / 50) * 3 AS DOUBLE) AS y, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 30 AS DOUBLE) ELSE 5.0 * length(CASE WHEN event_id % 3 = 0 THEN substring(event_type, 1, 1) ELSE event_type END) END AS width,
+             CASE WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN 12.0 ELSE CAST(8 + event_id % 6 AS DOUBLE) END AS fs, CAST(event_id % 2 AS DOUBLE) AS tc, CAST(event_id % 5 AS DOUBLE) AS tw FROM events),
     b AS (SELECT *, lag(text) OVER w AS bt, lag(x + width) OVER w AS bend, lag(y) OVER w AS by_ FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
     s AS (SELECT *, CASE WHEN bt IS NULL THEN '' WHEN abs(y - by_) > 5 THEN chr(10) WHEN bend > 0 AND (CASE
-        WHEN length(text) = 1 AND length(bt) = 1 THEN NOT (x - bend < 5.0) AND x - bend > greatest(tw * 0.8, 7.0, tc * 6, 4.0)
-        WHEN length(text) = 1 OR length(bt) = 1 THEN NOT (x - bend < 5.0) AND x - bend > greatest(tw * 0.8, 6.0, tc * 5)
-        ELSE x - bend > greatest(tc * 1.2, tw * 0.5, 2.0) END) THEN ' ' ELSE '' END AS sep FROM b)
+        WHEN length(text) = 1 AND length(bt) = 1 THEN NOT (x - bend < fs * 0.5) AND x - bend > greatest(tw * 0.8, fs * 0.7, tc * 6, fs * 0.4)
+        WHEN length(text) = 1 OR length(bt) = 1 THEN NOT (x - bend < fs * 0.5) AND x - bend > greatest(tw * 0.8, fs * 0.6, tc * 5)
+        ELSE x - bend > greatest(tc * 1.2, tw * 0.5, fs * 0.2) END) THEN ' ' ELSE '' END AS sep FROM b)
     SELECT doc_id, string_agg(sep || text, '' ORDER BY seq) AS text FROM s GROUP BY doc_id"""
 
 

@@ -153,9 +153,18 @@ def test_truetype_cmap():
     cmap = struct.pack(">HHHHI", 0, 1, 3, 1, 12) + segments
     data = b"\0\1\0\0" + struct.pack(">HHHH", 1, 0, 0, 0) + b"cmap" + struct.pack(">III", 0, 28, len(cmap)) + cmap
     assert fonts.truetype_glyphs(data) == {3: "A", 4: "B", 5: "C"}
+    symbols = data.replace(struct.pack(">HHI", 3, 1, 12), struct.pack(">HHI", 3, 0, 12))
+    assert fonts.truetype_glyphs(symbols) == {3: "A", 4: "B", 5: "C"}  # the only table there is
     assert fonts.truetype_glyphs(b"junk") == {}
 
 
+def test_no_character_map_names_more_codes_than_there_are():
+    groups = 50_000
+    cmap = struct.pack(">HHHHI", 0, 1, 3, 10, 12) + struct.pack(">HHIII", 12, 0, 16 + 12 * groups, 0, groups) + struct.pack(">III", 0, 0x10FFFF, 1) * groups
+    data = b"\0\1\0\0" + struct.pack(">HHHH", 1, 0, 0, 0) + b"cmap" + struct.pack(">III", 0, 28, len(cmap)) + cmap
+    assert len(fonts.truetype_glyphs(data)) <= 0x110000
+
+
 def _run(content: bytes, resources: dict | None = None, compat: bool = False):
     s = Structure(writer.text_pdf("x"))
     return Interpreter(s, resources or {}, compat=compat).run(content)
