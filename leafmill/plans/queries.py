@@ -276,6 +276,7 @@ _roundtrip("filter_chain", lambda x: filters.ascii85_encode(filters.flate_encode
 
 @query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'image/jp2' ELSE 'application/octet-stream' END AS mime_type FROM pages""")
 def mime_sniff(spark, sf_dir):
+    """Types of images by their first bytes; an empty or null content is an octet stream."""
     from leafmill.kernel.images import SIGNATURES
 
     heads = F.array(*(F.unhex(F.lit(h.hex())) for h, _ in SIGNATURES), F.lit(b""))
@@ -314,6 +315,7 @@ def pdf_images(spark, sf_dir):
 
 @query("SELECT o_orderkey, date_trunc('second', o_orderdate) AS parsed FROM orders")
 def pdf_date(spark, sf_dir):
+    """Dates as the info dictionary has them; null stays null."""
     text = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("Z"))
     return spread(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", dates.pdf_date(F.col("text")).alias("parsed"))
 
@@ -332,6 +334,7 @@ def date_rollover(spark, sf_dir):
 
 @query("SELECT user_id, event_id, CAST(place AS INTEGER) AS place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events) WHERE place <= 10")
 def page_limit(spark, sf_dir):
+    """Each document's first ten pages; ties don't occur, as event ids are unique."""
     return relational.first_per_document(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"], 10)
 
 
@@ -346,6 +349,7 @@ def image_cap(spark, sf_dir):
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def document_join_text(spark, sf_dir):
+    """Page texts of a document in order, joined by a blank line; null texts are left out."""
     return relational.join_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
@@ -364,15 +368,20 @@ def _conversation_results(spark, sf_dir) -> DataFrame:
     SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Conversation ' || doc_id || chr(10) ELSE '# Document' END || chr(10) || '## Metadata' || chr(10) || '- Author: someone' || chr(10) || '- Pages: ' || n || chr(10) || body
       || CASE WHEN k > 0 THEN chr(10) || chr(10) || '## Images' || chr(10) || 'Total images: ' || k || repeat(chr(10) || '- Page 1: 2x3 (image/png)', least(k, 20)) || CASE WHEN k > 20 THEN chr(10) || '- ...and ' || (k - 20) || ' more' ELSE '' END ELSE '' END AS markdown FROM c""")
 def markdown_doc(spark, sf_dir):
+    """Markdown of results: title, metadata, pages, images up to the limit of the list."""
     return formats.to_markdown(_conversation_results(spark, sf_dir))
 
 
-@query("""SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS page_count, CASE WHEN conv_id % 2 = 0 THEN 'Conversation ' || conv_id ELSE '' END AS title FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS page_count, CASE WHEN conv_id % 2 = 0 THEN 'Conversation ' || conv_id ELSE '' END AS title,
+    string_agg(turn || ':' || text, chr(10) ORDER BY turn) AS pages, CASE WHEN conv_id % 4 = 0 THEN repeat('2x3 image/png AP8Q;', CAST(conv_id % 30 AS INTEGER)) ELSE '' END AS images FROM conversations GROUP BY conv_id""")
 def json_doc(spark, sf_dir):
-    """JSON texts, read again: the other engine prints them otherwise."""
-    made = formats.to_json(_conversation_results(spark, sf_dir))
-    back = F.from_json("json", "text string, metadata struct<title string, page_count int>")
-    return made.select("doc_id", back.alias("r")).select("doc_id", "r.text", "r.metadata.page_count", "r.metadata.title")
+    """JSON texts, read again, with their pages and images (bytes as base64): the other engine prints them otherwise."""
+    results = _conversation_results(spark, sf_dir).withColumn("images", F.transform("images", lambda i: i.withField("data", F.unhex(F.lit("00FF10")))))
+    back = F.from_json("json", "text string, metadata struct<title string, page_count int>, pages array<struct<page_number int, text string>>, images array<struct<width int, height int, mime_type string, data string>>")
+    r = formats.to_json(results).select("doc_id", back.alias("r")).select("doc_id", "r.*")
+    pages = F.array_join(F.transform("pages", lambda p: F.concat(p["page_number"].cast("string"), F.lit(":"), p["text"])), "\n")
+    images = F.array_join(F.transform("images", lambda i: F.concat(i["width"], F.lit("x"), i["height"], F.lit(" "), i["mime_type"], F.lit(" "), i["data"], F.lit(";"))), "")
+    return r.select("doc_id", "text", "metadata.page_count", "metadata.title", pages.alias("pages"), images.alias("images"))
 
 
 _TRIMMED = f"regexp_replace(regexp_replace({_PAGE_TEXT}, '\\r\\n?', chr(10), 'g'), '(?m)[\\t ]+$', '', 'g')"
@@ -389,23 +398,27 @@ def pdf_markdown(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def xref_latest_wins(spark, sf_dir):
+    """The newest entry of each object; ties go to the greater id."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     return relational.latest_entries(events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def xref_first_wins(spark, sf_dir):
+    """The oldest entry of each object; ties go to the smaller id."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     return relational.latest_entries(events, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def ref_resolution(spark, sf_dir):
+    """References to the objects that they name; those to none keep nulls."""
     return relational.resolve_references(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def visited_anti(spark, sf_dir):
+    """Nodes that no reference led to."""
     seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return relational.unvisited(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), seen, ["c_custkey"])
 
@@ -456,12 +469,14 @@ def charmap_decode(spark, sf_dir):
 
 @query("SELECT p_partkey, CAST(code AS INTEGER) AS code, chr(CAST(256 + p_partkey % 500 + code - p_size AS INTEGER)) AS char FROM (SELECT p_partkey, p_size, unnest(range(p_size, p_size + 1 + p_partkey % 5)) AS code FROM part)")
 def bfrange_expand(spark, sf_dir):
+    """Ranges of a character map, a row for each code."""
     ranges = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("first"), (F.col("p_size") + F.col("p_partkey") % 5).cast("int").alias("last"), (256 + F.col("p_partkey") % 500).cast("int").alias("target"))
     return codes.expand_ranges(ranges)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(2 * l_quantity + l_tax * l_discount + 10, 4) AS x, round(0.5 * l_quantity + 3 * l_discount - 4, 4) AS y, round(length(l_returnflag) * l_quantity * 0.55 * 50 / 100, 4) AS width FROM lineitem""")
 def affine_transform(spark, sf_dir):
+    """Points and widths through a matrix."""
     m: Column = F.array(F.lit(2.0), F.lit(0.5), F.col("l_tax"), F.lit(3.0), F.lit(10.0), F.lit(-4.0))
     identity = F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)))
     moved = geometry.transform(geometry.multiply(m, identity), F.col("l_quantity"), F.col("l_discount"))
