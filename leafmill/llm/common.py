@@ -14,13 +14,15 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets one of its own; a cluster has to name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             at = set_before.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="leafmill-")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -93,7 +93,7 @@ def pack(documents: DataFrame, max_len: int = 1024, end_id: int = 0, vocabulary:
 
     pad_to is the sequence's padded size: max_len, or its own size where that is a power of two.
     Null texts are empty (the end id alone makes a piece). Rows that share a doc_id are packed as
-    separate documents; null ids stay null. Ties in a length are ordered by doc_id and start. An
+    separate documents; null ids stay null. Ties in a length are ordered by a hash of the piece, then by doc_id and start. An
     empty table gives no rows; other columns of documents are not looked at.
     """
     spark = documents.sparkSession
@@ -101,7 +101,7 @@ def pack(documents: DataFrame, max_len: int = 1024, end_id: int = 0, vocabulary:
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_len rows at most
     rows = plan_rows(plan_packs(histogram, max_len), max_len)
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")

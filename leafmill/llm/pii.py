@@ -217,11 +217,13 @@ def fitting(text: str, wanted: Wanted) -> tuple[set[tuple], set[tuple]]:
     taken: dict[str, set[int]] = {k: set() for k in KINDS}  # words of base spans, and of candidates of the kind
     for kind, a, b in [*((k, x, y) for _, x, y in base for k in KINDS), *found]:
         taken[kind].update(range(bisect.bisect_right(words.ends, a), bisect.bisect_left(words.starts, b)))
-    for i, word in enumerate(words.words):
-        for p in words.of(i):
-            for kind in wanted.patterns.get(p, ()):
-                if i not in taken[kind]:
-                    other.add((p, kind, _key(word)))
+    near = {i + d for i, word in enumerate(words.words) if word in wanted.words for d in (-1, 1, 2)}  # where the pattern of a wanted word may fit
+    for i in near:
+        if 0 <= i < len(words.words):
+            for p in words.of(i):
+                for kind in wanted.patterns.get(p, ()):
+                    if i not in taken[kind]:
+                        other.add((p, kind, _key(words.words[i])))
     return held, other
 
 

@@ -41,6 +41,8 @@ RESTART_EVERY = 16
 BLOOM_BITS_PER_KEY = 10
 #: A shard is closed at this many ids, so that no file or its index grows with the input.
 SHARD_IDS = 16_000_000
+#: Bytes of input, as its files have them, for each partition of a write.
+PARTITION_BYTES = 32 << 20
 MANIFEST = "path string, first_key binary, n_docs long, n_ids long"
 
 
@@ -211,6 +213,7 @@ def lookup(manifest: Iterable[tuple[str, bytes]], doc_id: int, copy: int = 0) ->
         return None
     reader = open_shard(shards[i][0])
     value = reader.get(key)
+    reader.file.close()
     return None if value is None else np.frombuffer(value, f"<u{reader.width}").astype(np.uint32)
 
 
@@ -255,12 +258,18 @@ def write_shards(documents: DataFrame, folder: str, end_id: int = 2, vocabulary:
 
     require(documents, "doc_id", "text")
     spark = documents.sparkSession
-    ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(
-        max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id"
-    ).sortWithinPartitions("doc_id")
+    held = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ordered = held.repartitionByRange(_partitions(documents), "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(write, MANIFEST), "sst-manifest")
 
 
+def _partitions(documents: DataFrame) -> int:
+    """Partitions of a write: by the planner's estimate of the input's size, which costs no scan; at least the session's number."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return least if size >= 1 << 60 else max(least, -(-size // PARTITION_BYTES))  # no estimate is a huge one
+
+
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files; start counts the ids of all before it."""
 
@@ -276,6 +285,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if len(out) >= 20_000:
                         yield _batch(out)
                         out = []
+                reader.file.close()
                 if out:
                     yield _batch(out)
 
@@ -284,16 +294,15 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     starts = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "start")
-    return starts.repartition(max(8, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    shards = max(8, min(manifest.count(), 100_000))
+    return starts.repartition(shards, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_sstable(spark, sf_dir: str) -> DataFrame:
     """Contract query: encode all documents, write shards, read them back.
 
-    Null texts are empty and hold the end id alone. Rows of one doc_id are kept apart by a counter, in no
-    set order; null ids come first. An empty table writes no shard and gives no rows.
+    Null texts are empty and hold the end id alone. Rows of one doc_id are kept apart by a counter, in the
+    order of their texts (null first); null ids come first. An empty table writes no shard and gives no rows.
     """
     folder = scratch_path(spark, "sst")
     return read_shards(write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder))
