@@ -47,7 +47,7 @@ HEAD_WORDS = 300_000
 #: Bytes of texts whose words are held at once.
 SLICE_BYTES = 8 << 20
 BATCH_WINDOWS = 96
-TRAIN_BATCH = 256
+TRAIN_BATCH = 512
 #: Ids of texts held at once while counting and scoring.
 SEQUENCE_IDS = 400_000
 #: Ids that a shard holds before it trains on them.
@@ -525,29 +525,36 @@ def _each(words: list[bytes], vocabulary: str | None) -> list[bytes]:
     return [next(ids) if w else b"" for w in words]
 
 
-def pair_counts(learning: DataFrame, wide: int, cells, end: int, name: str) -> np.ndarray:
-    """(ids, wide) counts of the cells that cells(before, after) finds, over all neighbouring ids of learning (ids); an end precedes each text."""
-    kind = id_type(end)
+def pair_counts(learning: DataFrame, order: np.ndarray, wide: int, cells, end: int, name: str) -> np.ndarray:
+    """(len(order), wide) counts of the cells that cells(before, after) finds, over all neighbouring ids of learning (ids).
+
+    order: the ids that occur, the commonest first; cells get places in it, so that what is counted most lies together. An end
+    precedes each text.
+    """
+    kind, rank = id_type(end), np.zeros(end + 1, np.int64)
+    rank[order] = np.arange(len(order))
+    shared = learning.sparkSession.sparkContext.broadcast(rank)
+    n_cells = len(order) * wide
 
     def count(batches):
-        held = np.zeros((end + 1) * wide, np.int32)
+        rank, held = shared.value, np.zeros(n_cells, np.int32)
         for batch in batches:
             for sequences in _sequences(batch.column(0), kind):
-                after = np.concatenate(sequences).astype(np.int64)
-                before = np.concatenate([[end], after[:-1]])  # each text ends with an end
-                np.add.at(held, cells(before, after), 1)
+                after = rank.take(np.concatenate(sequences))
+                before = np.concatenate([rank[end : end + 1], after[:-1]])  # each text ends with an end
+                np.add.at(held, cells(before, after), np.int32(1))  # of held's own type: a cast would take twenty times as long
         found = np.flatnonzero(held)
         for a in range(0, len(found), 1_000_000):
             part = found[a : a + 1_000_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(held[part], pa.int64())], names=["cell", "n"])
 
     found = staged(learning.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), name)
-    counts = np.zeros((end + 1) * wide, np.float32)
+    counts = np.zeros(n_cells, np.float32)
     parts = 1 + found.count() // CELLS_AT_ONCE
     for k in range(parts):  # CELLS_AT_ONCE rows or so
         some = found.where(F.pmod("cell", F.lit(parts)) == k).toArrow()
         counts[some.column("cell").to_numpy()] = some.column("n").to_numpy()
-    return counts.reshape(end + 1, wide)
+    return counts.reshape(len(order), wide)
 
 
 def fit(documents: DataFrame, word_totals: DataFrame, vocabulary: str | None = None) -> Model:
@@ -556,13 +563,14 @@ def fit(documents: DataFrame, word_totals: DataFrame, vocabulary: str | None = N
     _, end, _ = encoding(vocabulary)
     learning = documents.where("not held_out")
     total = id_counts(word_totals, vocabulary)
-    columns = spark.sparkContext.broadcast(context_columns(total))
-    counts = pair_counts(learning.select("ids"), 2 * CONTEXTS, lambda b, a: neighbour_cells(b, a, columns.value), end, "neighbours")
-    seen = np.flatnonzero(total)
-    classes, groups = cluster_ids(seen, total[seen], counts[seen], end + 1)
+    order = np.argsort(-total, kind="stable")[: np.count_nonzero(total)]
+    columns = spark.sparkContext.broadcast(context_columns(total)[order])
+    counts = pair_counts(learning.select("ids"), order, 2 * CONTEXTS, lambda b, a: neighbour_cells(b, a, columns.value), end, "neighbours")
+    classes, groups = cluster_ids(order, total[order], counts, end + 1)
     del counts
-    shared = spark.sparkContext.broadcast((classes, groups))
-    joint = pair_counts(learning.select("ids"), GROUPS + CLASSES, lambda b, a: joint_cells(b, a, *shared.value), end, "joint-counts")
+    shared = spark.sparkContext.broadcast((classes[order], groups[order]))
+    joint = np.zeros((end + 1, GROUPS + CLASSES), np.float32)
+    joint[order] = pair_counts(learning.select("ids"), order, GROUPS + CLASSES, lambda b, a: joint_cells(b, a, *shared.value), end, "joint-counts")
     model = assemble(total, classes, groups, joint[:, :GROUPS], joint[:, GROUPS:])
     del joint
     model.weights = train(learning, int(total.sum()), model, vocabulary)
@@ -581,7 +589,7 @@ def train(learning: DataFrame, n_ids: int, model: Model, vocabulary: str | None
     while low < shards:
         high = min(shards, max(1, low * GROWTH))
         start = spark.sparkContext.broadcast(Model(model.classes, model.groups, None, model.direct, weights, model.end))
-        rate, warm = (0.01, 50) if low == 0 else (0.003, 20)
+        rate, warm = (0.016, 50) if low == 0 else (0.005, 20)
 
         def local(batches, start=start, rate=rate, warm=warm):
             shard, trainer, held, room = None, None, [], 0

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -329,13 +330,38 @@ def test_licences_are_found(license_model):
     for family, texts in licenses.TEMPLATES.items():
         for text in texts:
             found = licenses.scan_text(license_model, f"Some words of the page.\n\n{text}\n\nAnd more words.")
-            assert [f[0] for f in found] == [family], text
+            assert family in {f[0] for f in found} and len({f[0] for f in found}) <= 1 + (family == "agpl-3.0"), text  # one sentence of the AGPL is the GPL's
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
     assert licenses.scan_text(license_model, wrapped)[0][0] == "mit"
 
 
+HELD_OUT = [
+    ("mit", "This package is licensed under the MIT License, see the file LICENSE for details."), ("mit", "the warranties of merchantability, fitness for a particular purpose and noninfringement, without warranty of any kind"),
+    ("mit", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
+    ("mit", "Permission is hereby granted, free of charge, to anyone obtaining a copy of this software and its documentation, to use, copy, modify, merge and publish copies of the Software"),
+    ("apache-2.0", "You may not use these files except in compliance with the License. You may obtain a copy of the License at www.apache.org"), ("apache-2.0", "Each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, royalty-free, irrevocable copyright license to reproduce and prepare Derivative Works"),
+    ("apache-2.0", "Released under the Apache License, Version 2.0, by its contributors"), ("bsd", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met"), ("bsd", "This software is provided by the regents and contributors as is and any express or implied warranties, including the implied warranties of merchantability, are disclaimed."),
+    ("gpl", "This file is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with Example; see the file COPYING."), ("gpl", "Everyone is permitted to copy and distribute verbatim copies of this document, but changing it is not allowed."),
+    ("lgpl", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3"), ("agpl-3.0", "under the terms of the GNU Affero General Public License, version 3, as published by the Free Software Foundation"),
+    ("mpl-2.0", "The contents of this file are subject to the terms of the Mozilla Public License, v. 2.0."), ("isc", "Permission to use, copy, modify, and distribute this software for any purpose without fee is hereby granted, provided that the above copyright notice appears in all copies."),
+    ("boost", "Distributed under the terms of the Boost Software License, Version 1.0."), ("epl-2.0", "made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution"), ("cc-by-sa", "Content is licensed under a Creative Commons Attribution-ShareAlike 3.0 License."),
+    ("cc-by", "This article is licensed under a Creative Commons Attribution 3.0 Unported License."), ("cc-by-nc", "Slides are licensed under a Creative Commons Attribution-NonCommercial 3.0 License."), ("cc0", "has dedicated the work to the public domain by waiving all rights to the work worldwide under copyright law"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, and to alter it and redistribute it freely."), ("unlicense", "the author dedicates any and all copyright interest in the software to the public domain"), ("proprietary", "No part of this book may be reproduced or transmitted in any form without prior written permission of the publisher."),
+]
+
+
+def test_statements_outside_the_training_set(license_model):
+    """Recall over wordings that no template has: at least four in five; and hardly any as another family."""
+    got = [{f[0] for f in licenses.scan_text(license_model, text)} for _, text in HELD_OUT]
+    right = sum(family in found for (family, _), found in zip(HELD_OUT, got))
+    wrong = [(text, found) for (family, text), found in zip(HELD_OUT, got) if found - {family}]
+    assert right >= 0.8 * len(HELD_OUT) and len(wrong) <= 2, (right, len(HELD_OUT), wrong)
+
+
 def test_talk_of_licences_is_none(license_model):
-    held_out = ["The city council discussed the license fees of taxis.", "She lost her fishing license in the river.", "A new version of the file was released today.", "The public domain of the park is large.", "Copy the file, then modify the list."]
+    held_out = ["The city council discussed the license fees of taxis.", "She lost her fishing license in the river.", "A new version of the file was released today.", "The public domain of the park is large.", "Copy the file, then modify the list.", "The software was provided by the school, and the warranty of the car has ended.", "Everyone is permitted to enter the garden, but picking flowers is not allowed.", "The author of the book will not be held at the station for any purpose.", "Without permission of the owner, nobody may use the boat or the dock.", "The eclipse was seen by the public on Monday; version two of the plan is free.", "In no event will the concert begin before nine."]
     assert all(not licenses.scan_text(license_model, t) for t in [*licenses.ABOUT, *held_out, "", "license"])
 
 
@@ -386,6 +412,79 @@ def test_deep_and_broken_pages_are_survived():
         html.visible_text("".join(rng.choice(parts) for _ in range(40)))
 
 
+SHEETS = [
+    ("@media print { .noprint {display:none} }", '<p class="noprint">seen</p>', "seen"), ("@media screen, print { .x {display:none} } .y{color:red}", '<p class="x">no</p><p class="y">yes', "yes"),
+    ("@media (max-width: 9px) { p {display:none} } @import 'x'; @supports (a:b) { p { display:none } }", "<p>seen", "seen"), ("@layer a { .h { display : none } }", "<i class=h>no</i>yes", "yes"),
+    ("div.hid { display:none }", '<div class="a hid">no</div><p class=hid>yes', "yes"), ("p > .z{visibility:hidden}", "<p>a<b class=z>no</b><i><b class=z>c</b></i>", "ac"),
+    ("ul .q b { display:none }", "<b>a</b><div class=q><b>b</b></div><ul><li class=q><i><b>no</b></i>c</ul>", "a\nb\n\n- c"), (".a{display:none} .a{display:block}", "<p class=a>yes", "yes"),
+    (".a{display:block} p{display:none}", "<p class=a>yes</p><p>no", "yes"), ("#k{display:none} .a{display:block}", "<p class=a id=k>no</p>yes", "yes"), ("p{display:none!important}", "<p style='display:block'>no</p>yes", "yes"),
+    (".a:hover, .b::before, a ~ b { display:none } /* .c{display:none} */", "<p class=a>x</p><p class=c>y", "x\n\ny"), ("[data-x='1'], [data-y] { display:none }", "<i data-x=1>no</i><i data-x=2>a</i><i data-y>no</i>", "a"),
+    ("* { visibility:hidden } .v { visibility:visible }", "<p>no<b class=v>yes</b></p>", "yes"), ("}} .a{display:none", "<i class=a>no</i>x", "x"),
+]
+
+
+@pytest.mark.parametrize(("sheet", "body", "expected"), SHEETS)
+def test_style_sheets_are_heard(sheet, body, expected):
+    assert html.visible_text(f"<style>{sheet}</style>{body}") == expected
+
+
+def test_formulas_and_labels_are_visible():
+    assert html.visible_text("a <svg><title>t</title><g><rect/><text>chart <tspan>label</tspan></text></g>not drawn<desc>d</desc></svg> b") == "a chart label b"
+    assert html.visible_text("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>x</annotation></math> holds") == "so E=m holds"
+
+
+def test_unclosed_quotes_take_linear_time():
+    for part in ("<a '", "<a \"", "<a ' \"", "<a '<b \"", "<a b='>", "<", "<a ", "<!--", "</a ", "<a b='c", "<a", "<a\n", "<a =", "<p>x", "&", "<a b"):
+        page, began = part * (1_000_000 // len(part)), time.time()
+        html.visible_text(page)
+        assert time.time() - began < 5, part
+    assert html.visible_text("x <a 'b <i>c</i>") == "x <a 'b c" and html.visible_text("x <a href='>'>y</a> z") == "x y z"
+
+
+def _random_page(rng, depth=0):
+    """(markup, blocks) of a random small page: blocks are the lines it shows, computed while it is written."""
+    markup, lines, now = [], [], []
+
+    def close():
+        if now:
+            lines.append(" ".join(now))
+            now.clear()
+
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["word", "word", "b", "hidden", "div", "br", "comment"] if depth < 3 else ["word"])
+        if kind == "word":
+            w = rng.choice(["alpha", "beta", "x&amp;y", "&lt;z&gt;"])
+            markup.append(f" {w} ")
+            now.append(w.replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">"))
+        elif kind == "b":
+            markup.append(" <b> bold </b> ")
+            now.append("bold")
+        elif kind == "hidden":
+            inner, _ = _random_page(rng, depth + 1)
+            markup.append(rng.choice(["<div hidden>%s</div>", "<div class='off'>%s</div>", "<div style='display: none'>%s</div>"]) % inner)
+        elif kind == "br":
+            markup.append("<br>")
+            lines.extend([] if now else [""] if lines else [])
+            close()
+        elif kind == "comment":
+            markup.append("<!-- <p>no</p> -->")
+        else:
+            inner, own = _random_page(rng, depth + 1)
+            markup.append(f"<div>{inner}</div>")
+            close()
+            lines.extend(own)
+    close()
+    return "".join(markup), lines
+
+
+def test_pages_against_a_second_rendering():
+    rng = random.Random(8)
+    for _ in range(500):
+        markup, lines = _random_page(rng)
+        got = html.visible_text("<style>.off{display:none}</style>" + markup).split("\n")
+        assert [x for x in got if x] == [x for x in lines if x], markup
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>hi"), (2, None, None), (1, "u", "<p>hi"), (None, "", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted(((r["page_id"] or 0), r["text"], r["n_lines"], r["n_chars"]) for r in html.extract(df).collect())
