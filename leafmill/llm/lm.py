@@ -52,6 +52,8 @@ TRAIN_BATCH = 512
 SEQUENCE_IDS = 400_000
 #: Ids that a shard holds before it trains on them.
 TRAIN_IDS = 100_000
+#: Ids that one task counts neighbours of, at least (in MAX_SHARDS tasks at most): a task passes on as many cells for few ids as for many.
+COUNT_IDS = 40_000_000
 #: Counts sent to the driver at once.
 CELLS_AT_ONCE = 4_000_000
 #: Weight of the prior in a class by the id before, and in a sub-word by the group before.
@@ -525,8 +527,8 @@ def _each(words: list[bytes], vocabulary: str | None) -> list[bytes]:
     return [next(ids) if w else b"" for w in words]
 
 
-def pair_counts(learning: DataFrame, order: np.ndarray, wide: int, cells, end: int, name: str) -> np.ndarray:
-    """(len(order), wide) counts of the cells that cells(before, after) finds, over all neighbouring ids of learning (ids).
+def pair_counts(learning: DataFrame, n_ids: int, order: np.ndarray, wide: int, cells, end: int, name: str) -> np.ndarray:
+    """(len(order), wide) counts of the cells that cells(before, after) finds, over all neighbouring ids of learning (ids), n_ids in all.
 
     order: the ids that occur, the commonest first; cells get places in it, so that what is counted most lies together. An end
     precedes each text.
@@ -548,7 +550,8 @@ def pair_counts(learning: DataFrame, order: np.ndarray, wide: int, cells, end: i
             part = found[a : a + 1_000_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(held[part], pa.int64())], names=["cell", "n"])
 
-    found = staged(learning.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), name)
+    few = learning.coalesce(min(MAX_SHARDS, max(8, n_ids // COUNT_IDS)))
+    found = staged(few.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), name)
     counts = np.zeros(n_cells, np.float32)
     parts = 1 + found.count() // CELLS_AT_ONCE
     for k in range(parts):  # CELLS_AT_ONCE rows or so
@@ -565,15 +568,16 @@ def fit(documents: DataFrame, word_totals: DataFrame, vocabulary: str | None = N
     total = id_counts(word_totals, vocabulary)
     order = np.argsort(-total, kind="stable")[: np.count_nonzero(total)]
     columns = spark.sparkContext.broadcast(context_columns(total)[order])
-    counts = pair_counts(learning.select("ids"), order, 2 * CONTEXTS, lambda b, a: neighbour_cells(b, a, columns.value), end, "neighbours")
+    n_ids = int(total.sum())
+    counts = pair_counts(learning.select("ids"), n_ids, order, 2 * CONTEXTS, lambda b, a: neighbour_cells(b, a, columns.value), end, "neighbours")
     classes, groups = cluster_ids(order, total[order], counts, end + 1)
     del counts
     shared = spark.sparkContext.broadcast((classes[order], groups[order]))
     joint = np.zeros((end + 1, GROUPS + CLASSES), np.float32)
-    joint[order] = pair_counts(learning.select("ids"), order, GROUPS + CLASSES, lambda b, a: joint_cells(b, a, *shared.value), end, "joint-counts")
+    joint[order] = pair_counts(learning.select("ids"), n_ids, order, GROUPS + CLASSES, lambda b, a: joint_cells(b, a, *shared.value), end, "joint-counts")
     model = assemble(total, classes, groups, joint[:, :GROUPS], joint[:, GROUPS:])
     del joint
-    model.weights = train(learning, int(total.sum()), model, vocabulary)
+    model.weights = train(learning, n_ids, model, vocabulary)
     return model
 
 

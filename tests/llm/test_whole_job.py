@@ -140,8 +140,8 @@ def test_counts_come_from_all_training_documents(spark, monkeypatch):
     assert (lm.id_counts(lm.word_counts(words)) == total).all()
     order = np.argsort(-total, kind="stable")[: np.count_nonzero(total)]
     column, own_classes, own_groups = lm.context_columns(total)[order], classes[order], groups[order]
-    assert (lm.pair_counts(df.select("ids"), order, 2 * lm.CONTEXTS, lambda b, a: lm.neighbour_cells(b, a, column), end, "near") == near[order]).all()
-    assert (lm.pair_counts(df.select("ids"), order, lm.GROUPS + lm.CLASSES, lambda b, a: lm.joint_cells(b, a, own_classes, own_groups), end, "joint") == joint[order]).all()
+    assert (lm.pair_counts(df.select("ids"), int(total.sum()), order, 2 * lm.CONTEXTS, lambda b, a: lm.neighbour_cells(b, a, column), end, "near") == near[order]).all()
+    assert (lm.pair_counts(df.select("ids"), int(total.sum()), order, lm.GROUPS + lm.CLASSES, lambda b, a: lm.joint_cells(b, a, own_classes, own_groups), end, "joint") == joint[order]).all()
 
 
 def test_all_windows_of_every_document_train_once():
