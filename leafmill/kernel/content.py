@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from .fonts import Font, decode_text, load_font
-from .structure import MAX_FORM_DEPTH, Structure
+from .structure import MAX_FORM_DEPTH, MAX_FORMS_DRAWN, Structure
 from .values import END, Keyword, Name, PdfString, Reader, Stream, SyntaxTrouble
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -244,8 +244,12 @@ class Interpreter:
 
     def xobject(self, o) -> None:
         form = self.structure.resolve(self._named("XObject", o[0])) if len(o) == 1 else None
-        if not isinstance(form, Stream) or self.structure.resolve(form.dictionary.get("Subtype")) != "Form" or self.depth >= MAX_FORM_DEPTH:
+        if not isinstance(form, Stream) or self.structure.resolve(form.dictionary.get("Subtype")) != "Form":
             return
+        if self.depth >= MAX_FORM_DEPTH or self.structure.forms_drawn >= MAX_FORMS_DRAWN:
+            self.structure.note(f"cut at {MAX_FORM_DEPTH} levels or {MAX_FORMS_DRAWN} drawings of forms")
+            return
+        self.structure.forms_drawn += 1
         resources = self.structure.resolve(form.dictionary.get("Resources"))
         own = isinstance(resources, dict)
         inner = Interpreter(self.structure, resources if own else self.resources, None if own else self.fonts, self.depth + 1, self.compat)

@@ -12,6 +12,8 @@ MAX_OBJECT = 10_000_000
 MAX_PAGE_DEPTH = 30
 MAX_SECTIONS = 1000
 MAX_FORM_DEPTH = 12
+#: Forms drawn in one document: a form that draws itself some times would else take the time of their power by depth.
+MAX_FORMS_DRAWN = 100_000
 #: Numbers that one cross-reference stream may name, whatever its dictionary says.
 MAX_SIZE = 10_000_000
 _VERSION = re.compile(rb"%PDF-([0-9]+\.[0-9]+)")
@@ -65,6 +67,7 @@ class Structure:
         self.recovered = False
         self.notes: dict[str, None] = {}  # what was cut or could not be read, in order
         self.cut = False
+        self.forms_drawn = 0
         self._cache: dict[int, object] = {}
         self._containers: dict[int, list] = {}
         self._scanned: dict[tuple[int, int], int] | None = None

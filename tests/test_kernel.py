@@ -243,3 +243,17 @@ def test_what_a_limit_cuts_is_told(monkeypatch):
         monkeypatch.setattr(module, "MAX_DECODED", 60)
     row = document.parse(data)
     assert row["status"] == "truncated" and "cut at 60 decoded bytes" in row["error"]
+
+
+def test_forms_that_draw_themselves_end():
+    from leafmill.kernel import document, structure, writer
+
+    objects, info = writer.text_objects("x")
+    objects[8] = writer.stream(b"BT /F1 10 Tf 72 720 Td <0061> Tj ET " + b"/Fm Do " * 30, b"/Type /XObject /Subtype /Form /Resources << /Font << /F1 3 0 R >> /XObject << /Fm 8 0 R >> >>")
+    objects[7] = b"<< /Type /Page /Parent 2 0 R /Contents 9 0 R /Resources << /XObject << /Fm 8 0 R >> >> >>"
+    objects[9] = writer.stream(b"/Fm Do")
+    with pytest.MonkeyPatch.context() as m:
+        for module in (structure, document.Interpreter.__module__):
+            m.setattr(f"{module}.MAX_FORMS_DRAWN" if isinstance(module, str) else f"{module.__name__}.MAX_FORMS_DRAWN", 500)
+        row = document.parse(writer.assemble(objects, info=info))
+    assert row["status"] == "truncated" and "drawings of forms" in row["error"] and sum(len(s) for p in row["pages"] for s in p["streams"]) == 500
