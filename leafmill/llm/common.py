@@ -45,6 +45,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch in operators that hold whole texts of a batch as Python objects, beside what the JVM holds of it.
+BATCH_ROWS = 2000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower this session's Arrow batches to BATCH_ROWS rows, if they are larger: workers' memory is bounded by them."""
+    now = int(df.sparkSession.conf.get(_BATCH_SETTING))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def require(df: DataFrame, *names: str) -> None:
     """Fail early, with the names, if df lacks a column that an operator needs."""
     if missing := [n for n in names if n not in df.columns]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, staged
+from .common import require, small_batches, staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 75  # percent
@@ -303,6 +303,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     doc_id joins no component (component_id null) and is kept. An empty table gives no rows.
     """
     require(documents, "doc_id", "text")
+    small_batches(documents)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = staged(texts.mapInArrow(_sketches, SKETCHED), "sketched")
     linkable = sketched.where("n_shingles > 0 and doc_id is not null")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require, staged
+from .common import require, small_batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seed instances that a pattern needs.
@@ -31,7 +31,7 @@ ROUNDS = 3
 #: Patterns that one scan looks for; more of them take more scans.
 PATTERNS_PER_SCAN = 200_000
 #: Instances that a scan remembers, so as not to pass them on again.
-PARTIAL_WORDS = 200_000
+PARTIAL_WORDS = 50_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -353,6 +353,7 @@ def find(documents: DataFrame, redacted: bool = False) -> DataFrame:
     With redacted, the column text holds the redacted text (null stays null) and row the document's own columns, whatever their names.
     """
     require(documents, "doc_id", "text")
+    small_batches(documents)
     spark = documents.sparkSession
     trusted = trusted_patterns(documents)
     chunks = []

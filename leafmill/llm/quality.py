@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require, staged
+from .common import require, small_batches, staged
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -122,6 +122,7 @@ def assess(documents: DataFrame, host: str = "source", clean: bool = False, copi
     a null host is the host ''. Repeated rows are judged each. An empty table gives no rows.
     """
     require(documents, "doc_id", "text", host)
+    small_batches(documents)
     spark = documents.sparkSession
     hot = staged(hot_lines(documents, host, copies_once), "hot-lines")
     n_hot = hot.count()
