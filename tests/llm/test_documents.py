@@ -45,6 +45,31 @@ def test_encoding_of_specials_and_a_small_memo(tokenizer):
         assert enc.encode([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@given(st.lists(st.text(alphabet=" \n\r\x1c\xa0\u2028\u3000ab1É.,", max_size=30), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_cuts_beside_any_white_space(texts):
+    t = test_cuts_beside_any_white_space.__dict__.setdefault("t", Tokenizer.from_file(VOCABULARY))
+    assert [raw for _, raw in encode_slices(texts, VOCABULARY)] == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_words_are_learned_apart_from_line_ends_and_marks(tokenizer):
+    enc = ChunkEncoder(VOCABULARY)
+    left, right = [f"{a}x{b}" for a in "bcdfgh" for b in "aeiouy"], [f"{a}q{b}" for a in "BCDFGH" for b in "aeiouy"]
+    text = " ".join(f"{x}.\n{y}," for x in left for y in right) + " end"
+    assert enc.encode([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(enc.memo) < 2 * (len(left) + len(right))
+
+
+def test_a_full_memo_keeps_what_is_met_again():
+    enc, learned = ChunkEncoder(VOCABULARY, max_memo=100), []
+    learn = enc.model.tokenize if enc.model else None
+    enc.model = type("Spy", (), {"tokenize": lambda self, x: learned.append(x) or learn(x)})()
+    for k in range(40):
+        enc.encode(["often met words " + " ".join(f"n{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}{x}{y}" for x in "abcdef" for y in "abcde")])
+        assert len(enc.memo) + len(enc.older) < 300
+    assert Counter(learned)["Ġmet"] == 1
+
+
 # -- packing
 
 def test_plan_places_every_length_once():
