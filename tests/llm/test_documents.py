@@ -86,6 +86,17 @@ def test_plan_places_every_length_once():
     assert used / (sequences * 1024) > 0.97
 
 
+def test_packing_alone_bounds_its_batches(documents):
+    conf, setting = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, 10_000)
+    try:
+        packing.pack(documents.limit(3))
+        assert int(conf.get(setting)) <= 2000
+    finally:
+        conf.set(setting, before)
+
+
 def test_packing_against_brute_force(documents, rows, tokenizer):
     got = packing.pack(documents, max_len=64).collect()
     want = Counter()
