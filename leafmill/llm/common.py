@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .tokens import forget_encoders
+
 #: ASCII white space that separates words in every contract of this package.
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Java and RE2 class of the same characters, negated: one word.
@@ -57,6 +62,37 @@ def small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: Arrow's pool and the C heap both keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def lean(kernel, encodes: bool = False):
+    """The mapInArrow function kernel, giving back free memory before each batch and at its end.
+
+    Python workers outlive their tasks and go from operator to operator, so what one keeps counts beside the next one's.
+    Only a kernel that encodes finds the encoder of the task before; others drop it.
+    """
+
+    @functools.wraps(kernel)
+    def run(batches):
+        def fed():
+            for batch in batches:
+                give_back()
+                yield batch
+
+        if not encodes:
+            forget_encoders()
+        try:
+            yield from kernel(fed())
+        finally:
+            give_back()
+
+    return run
+
+
 def require(df: DataFrame, *names: str) -> None:
     """Fail early, with the names, if df lacks a column that an operator needs."""
     if missing := [n for n in names if n not in df.columns]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, small_batches, staged
+from .common import lean, require, small_batches, staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 75  # percent
@@ -65,6 +65,7 @@ def _bytes(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+@lean
 def _sketches(batches):
     for batch in batches:
         n, key, sketch = [], [], []
@@ -107,6 +108,7 @@ def _picked(table: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return table.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
+@lean
 def _confirm(batches):
     cache: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -238,6 +240,7 @@ def _by_group(batches, handle):
         yield from handle(key, held)
 
 
+@lean
 def _near(batches):
     def handle(key, held):
         if len(set(held["label"])) < 2:
@@ -251,6 +254,7 @@ def _near(batches):
     yield from _by_group(batches, handle)
 
 
+@lean
 def _link(batches):
     def handle(key, held):
         node, label, side = (np.array(held[c], np.int64) for c in ("node", "label", "side"))
@@ -262,6 +266,7 @@ def _link(batches):
     yield from _by_group(batches, handle)
 
 
+@lean
 def _full_sets(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in _bytes(batch.column(1))], pa.binary())], names=["node", "full"])

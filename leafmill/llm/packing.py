@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require, small_batches, staged
+from .common import lean, require, small_batches, staged
 from .tokens import encode_slices
 
 #: Rows of one rank bucket, on average, when pieces of a length are counted off.
@@ -27,6 +27,8 @@ PIECES = T.StructType([
     T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()),
 ])
 
+PLAN = ["p_length", "p_from", "p_end", "p_sequence", "p_offset", "pad_to"]
+
 
 def plan_packs(histogram: dict[int, int], max_len: int) -> list[tuple[int, list[int]]]:
     """(count, lengths) of each packing pattern. Shortest-pack-first: of the open packs, those with most room are filled first."""
@@ -85,7 +87,7 @@ def cut_pieces(documents: DataFrame, max_len: int = 1024, end_id: int = 0, vocab
             yield pa.RecordBatch.from_arrays(columns, names=PIECES.names)
 
     require(documents, "doc_id", "text")
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(pieces, encodes=True), PIECES)
 
 
 def pack(documents: DataFrame, max_len: int = 1024, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def pack(documents: DataFrame, max_len: int = 1024, end_id: int = 0, vocabulary:
     offsets = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = keyed.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("skip"))
-    plan = spark.createDataFrame(rows, "p_length long, p_from long, p_end long, p_sequence long, p_offset long, pad_to long")
+    plan = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * len(PLAN))], names=PLAN))  # rows of Python would start workers of their own
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_end")))
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

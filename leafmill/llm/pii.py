@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require, small_batches, staged
+from .common import lean, require, small_batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seed instances that a pattern needs.
@@ -234,6 +234,7 @@ def _scan(patterns: dict[str, tuple[str, ...]], n_seeds: dict[tuple[str, str], i
     words passed on so far are enough to show it.
     """
 
+    @lean
     def scan(batches):
         wanted, live, told, counts = Wanted(patterns), dict(patterns), set(), Counter()
         for batch in batches:
@@ -265,6 +266,7 @@ def _scan(patterns: dict[str, tuple[str, ...]], n_seeds: dict[tuple[str, str], i
 PLACES = "pattern string, kind string, instance long, fits boolean"
 
 
+@lean
 def _seeds(batches):
     schema = pa.schema([("kind", pa.string()), ("pattern", pa.string()), ("instance", pa.int64())])
     for batch in batches:
@@ -371,6 +373,7 @@ def find(documents: DataFrame, redacted: bool = False) -> DataFrame:
         keyed = keyed.mapInArrow(_adding(chunk, k > 0), T.StructType([*(f for f in keyed.schema if f.name != "found"), T.StructField("found", more)]))
     last, carried, names = chunks[-1] if chunks else None, len(chunks) > 1, schema.names
 
+    @lean
     def spans(batches):
         wanted = Wanted(last.value) if last is not None else None
         for batch in batches:
@@ -398,6 +401,7 @@ def _adding(chunk, carried: bool):
     """A mapInArrow function that adds what one part of the trusted patterns marks to the column found, the last one."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @lean
     def run(batches):
         wanted = Wanted(chunk.value)
         for batch in batches:

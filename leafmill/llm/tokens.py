@@ -179,6 +179,11 @@ def encoder(path: str | None = None) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Drop this process's encoders, with what they remember."""
+    _ENCODERS.clear()
+
+
 def encode_slices(texts: list[str | None], path: str | None, chars: int = 2_000_000):
     """Yield (index, ids as bytes) for all texts, a bounded number of characters at a time; null counts as empty."""
     enc, begin, size = encoder(path), 0, 0
