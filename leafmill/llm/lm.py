@@ -48,6 +48,8 @@ HEAD_WORDS = 300_000
 SLICE_BYTES = 8 << 20
 BATCH_WINDOWS = 96
 TRAIN_BATCH = 512
+#: Windows of a training batch that are worked on at once.
+GRADIENT_WINDOWS = 64
 #: Ids of texts held at once while counting and scoring.
 SEQUENCE_IDS = 400_000
 #: Ids that a shard holds before it trains on them.
@@ -146,7 +148,7 @@ def exponential(bits: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """class and group of each id, log P(id | class, group before), the ids' direct path, and the trained weights."""
+    """class and group of each id, log P(id | class, group before), the ids' direct path (its last component is zero), and the trained weights."""
 
     classes: np.ndarray
     groups: np.ndarray
@@ -160,7 +162,7 @@ class Model:
         w = self.weights
         self.kv, self.q = key_values(w), w["q"] * SCALE
         self.bias, self.mask = distance_bits(w["distance"], WINDOW, STEP)
-        self.r = np.concatenate([self.direct + w["r"][self.groups], np.zeros((len(self.direct), 1), np.float32)], 1)
+        self.r = self.direct + np.pad(w["r"], ((0, 0), (0, 1)))[self.groups]
         self.out = output_bits(w)
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -176,12 +178,12 @@ class Model:
             s = exponential(s)
             s *= self.mask
             h = np.matmul(s, kv[:, :, WIDTH:])
-            h /= h[:, :, WIDTH - 1 :].copy()
+            h *= 1 / h[:, :, WIDTH - 1 :]
             h += self.r.take(last, axis=0)
             p = exponential(h.reshape(-1, WIDTH) @ self.out)
-            own = p[np.arange(len(goal)), self.classes.take(goal)]
+            own = p.take(np.arange(0, p.size, CLASSES) + self.classes.take(goal))
             own /= p @ ones
-            within = self.log_within[goal, groups[:, WINDOW - STEP :].ravel()]
+            within = self.log_within.take(goal * np.int64(GROUPS) + groups[:, WINDOW - STEP :].ravel())
             out[a : a + BATCH_WINDOWS] = (np.log(own) + within).reshape(-1, STEP)
         return out
 
@@ -203,21 +205,25 @@ def distance_bits(distance: np.ndarray, window: int, step: int) -> tuple[np.ndar
 
 
 def cut_windows(sequences: list[np.ndarray], end: int, window: int = WINDOW, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, targets, which targets count, first window of each sequence); an end precedes each sequence."""
-    parts, goals, real, first, n = [], [], [], [], 0
-    lead = np.full(window - step + 1, end, np.int32)
-    for ids in sequences:
-        blocks = -(-len(ids) // step)
-        fill = np.full(blocks * step - len(ids), end, np.int32)
-        flat = np.concatenate([lead, ids[:-1], fill])
-        parts.append(np.lib.stride_tricks.sliding_window_view(flat, window)[::step])
-        goals.append(np.concatenate([ids, fill]).reshape(blocks, step))
-        keep = np.ones(blocks * step, bool)
-        keep[len(ids) :] = False
-        real.append(keep.reshape(blocks, step))
-        first.append(n)
-        n += blocks
-    return np.concatenate(parts), np.concatenate(goals), np.concatenate(real), np.array(first)
+    """(windows, targets, which targets count, first window of each sequence); an end precedes each sequence. Neighbouring windows share a step at most."""
+    size = np.array([len(ids) for ids in sequences])
+    blocks = -(-size // step)
+    first, n = np.cumsum(blocks) - blocks, int(blocks.sum())
+    at = np.repeat(first * step - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    goals, real = np.full(n * step, end, np.int32), np.zeros(n * step, bool)
+    goals[at] = np.concatenate(sequences)
+    real[at] = True
+    before = np.empty(n * step, np.int32)
+    before[1:] = goals[:-1]
+    before[first * step] = end
+    before = before.reshape(n, step)
+    if (more := window - step) > 0:
+        lead = np.empty((n, more), np.int32)
+        lead[1:] = before[:-1, step - more :]
+        lead[first] = end
+        before = np.concatenate([lead, before], 1)
+    return before, goals.reshape(n, step), real.reshape(n, step), first
 
 
 def score_sequences(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -296,7 +302,8 @@ def assemble(total: np.ndarray, classes: np.ndarray, groups: np.ndarray, by_grou
         "q": draw(WIDTH, 0.3), "k": draw(WIDTH, 0.3), "v": draw(WIDTH - 1, 0.1), "r": np.zeros((GROUPS, WIDTH - 1), np.float32),
         "out": np.ascontiguousarray(out.T, np.float32), "class": np.log(common).astype(np.float32), "distance": np.linspace(1, 0, WINDOW, dtype=np.float32),
     }
-    return Model(classes, groups, within, _shorter((lift @ out).astype(np.float32), MOST_R), _held(weights), len(total) - 1)
+    direct = np.pad(_shorter((lift @ out).astype(np.float32), MOST_R), ((0, 0), (0, 1)))
+    return Model(classes, groups, within, direct, _held(weights), len(total) - 1)
 
 
 def _shorter(x: np.ndarray, most: float, axis: int = 1) -> np.ndarray:
@@ -314,64 +321,72 @@ def _held(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _by_group(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """(GROUPS, width) sums of rows (n, width) by group (n)."""
-    order, count = np.argsort(groups, kind="stable"), np.bincount(groups, minlength=GROUPS)
-    there = np.flatnonzero(count)
+    ends = np.cumsum(np.bincount(groups, minlength=GROUPS)).tolist()
+    rows, one = rows.take(np.argsort(groups, kind="stable"), axis=0), np.ones(len(groups), np.float32)
     out = np.zeros((GROUPS, rows.shape[1]), np.float32)
-    if len(there):
-        out[there] = np.add.reduceat(rows[order], (np.cumsum(count) - count)[there], axis=0)
+    for own, a, b in zip(out, [0, *ends], ends):
+        if a < b:
+            np.dot(one[a:b], rows[a:b], out=own)
     return out
 
 
-def gradients(w: dict[str, np.ndarray], direct: np.ndarray, groups: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(w: dict[str, np.ndarray], direct: np.ndarray, groups: np.ndarray, goals: np.ndarray, room: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the class predictions and its gradients.
 
-    direct: (n, window, WIDTH - 1) and groups: (n, window) of the tokens, goals: the next ones' classes, -1 where none counts.
+    direct: (n, window, WIDTH) and groups: (n, window) of the tokens, goals: the next ones' classes, -1 where none counts.
+    GRADIENT_WINDOWS at a time go through all steps, which a core's cache holds; room is (n, window, 2 WIDTH) to work in.
+    Queries meet keys in a table by both groups, which also sums what they pass back.
     """
     n, window = groups.shape
-    kv, q = key_values(w).take(groups, axis=0), w["q"].take(groups, axis=0)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    meet, values, r, out = (w["q"] * SCALE) @ w["k"].T, key_values(w)[:, WIDTH:], np.zeros((GROUPS, WIDTH), np.float32), output_bits(w)
+    r[:, : WIDTH - 1] = w["r"]
+    out_back, ones = np.concatenate([w["out"].T, np.zeros((CLASSES, 1), np.float32)], 1), np.ones(CLASSES, np.float32)
     bias, mask = distance_bits(w["distance"], window, window)
-    e = np.matmul(q * SCALE, k.transpose(0, 2, 1))
-    e += bias
-    e = exponential(e)
-    e *= mask
-    h = np.matmul(e, v)
-    scale = 1 / h[:, :, WIDTH - 1 :]
-    h *= scale
-    attended = h[:, :, : WIDTH - 1].copy()
-    h[:, :, : WIDTH - 1] += direct
-    h[:, :, : WIDTH - 1] += w["r"].take(groups, axis=0)
-    flat = h.reshape(-1, WIDTH)
-    p = exponential(flat @ output_bits(w))
-    p /= (p @ np.ones(CLASSES, np.float32))[:, None]
-    goal = goals.ravel()
-    real = goal >= 0
-    rows = np.flatnonzero(real)
-    total = np.float32(max(1, len(rows)))
-    own = p[rows, goal[rows]]
-    loss = -float(np.log(own).sum()) / float(total)
-    p[rows, goal[rows]] = own - 1
-    if len(rows) < len(goal):
-        p[~real] = 0
-    d_out = flat.T @ p
-    by_token = np.zeros((n, window, 4 * WIDTH), np.float32)  # keys, values, queries, direct path
-    back = np.empty((n, window, WIDTH), np.float32)
-    back[:, :, : WIDTH - 1] = (p @ w["out"].T).reshape(n, window, WIDTH - 1)
-    by_token[:, :, 3 * WIDTH : 4 * WIDTH - 1] = back[:, :, : WIDTH - 1]
-    back[:, :, WIDTH - 1] = -np.einsum("nwd,nwd->nw", back[:, :, : WIDTH - 1], attended)
-    back *= scale
-    ds = np.matmul(back, v.transpose(0, 2, 1))
-    ds *= e
-    by_token[:, :, :WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-    by_token[:, :, WIDTH : 2 * WIDTH] = np.matmul(e.transpose(0, 2, 1), back)
-    by_token[:, :, 2 * WIDTH : 3 * WIDTH] = np.matmul(ds, k)
-    sums = _by_group(by_token.reshape(-1, 4 * WIDTH), groups.ravel())
+    by_token = np.empty((n, window, 2 * WIDTH), np.float32) if room is None else room[:n]  # values, direct path
+    by_groups, by_place = np.zeros(GROUPS * GROUPS, np.float32), np.zeros((window, window), np.float32)
+    d_out, loss, total = np.zeros((WIDTH, CLASSES), np.float32), 0.0, 0
+    for a in range(0, n, GRADIENT_WINDOWS):
+        own, sums, goal = groups[a : a + GRADIENT_WINDOWS], by_token[a : a + GRADIENT_WINDOWS], goals[a : a + GRADIENT_WINDOWS].ravel()
+        pair = (own.astype(np.uint16)[:, :, None] * np.uint16(GROUPS) + own[:, None, :]).astype(np.intp)
+        e = meet.take(pair)
+        e += bias
+        e = exponential(e)
+        e *= mask
+        v = values.take(own, axis=0)
+        h = np.matmul(e, v)
+        scale = 1 / h[:, :, WIDTH - 1 :]
+        h *= scale
+        attended = h.copy()
+        h += direct[a : a + GRADIENT_WINDOWS]
+        h += r.take(own, axis=0)
+        flat = h.reshape(-1, WIDTH)
+        p = exponential(flat @ out)
+        real = goal >= 0
+        p *= (real.astype(np.float32) / (p @ ones))[:, None]
+        at = np.arange(0, p.size, CLASSES) + np.maximum(goal, 0)
+        met = p.take(at)
+        p.reshape(-1)[at] = met - real
+        total += np.count_nonzero(real)
+        loss -= float(np.log(met[real]).sum())
+        d_out += flat.T @ p
+        back = (p @ out_back).reshape(h.shape)
+        sums[:, :, WIDTH:] = back
+        attended *= back
+        back[:, :, WIDTH - 1] = attended @ -ones[:WIDTH]
+        back *= scale
+        ds = np.matmul(back, v.transpose(0, 2, 1))
+        ds *= e
+        by_place += ds.sum(0)
+        np.add.at(by_groups, pair.ravel(), ds.ravel())
+        np.matmul(e.transpose(0, 2, 1), back, out=sums[:, :, :WIDTH])
+    sums, by_groups = _by_group(by_token.reshape(-1, 2 * WIDTH), groups.ravel()), by_groups.reshape(GROUPS, GROUPS)
     d = np.arange(window)[:, None] - np.arange(window)[None]
     found = {
-        "k": sums[:, :WIDTH], "v": sums[:, WIDTH : 2 * WIDTH - 1], "q": sums[:, 2 * WIDTH : 3 * WIDTH], "r": sums[:, 3 * WIDTH : 4 * WIDTH - 1], "out": d_out[: WIDTH - 1], "class": d_out[WIDTH - 1],
-        "distance": np.bincount(d[d >= 0], ds.sum(0)[d >= 0], len(w["distance"])).astype(np.float32),
+        "k": by_groups.T @ w["q"], "v": sums[:, : WIDTH - 1], "q": by_groups @ w["k"], "r": sums[:, WIDTH : 2 * WIDTH - 1], "out": d_out[: WIDTH - 1], "class": d_out[WIDTH - 1],
+        "distance": np.bincount(d[d >= 0], by_place[d >= 0], len(w["distance"])).astype(np.float32),
     }
-    return loss, {name: g / total for name, g in found.items()}
+    total = np.float32(max(1, total))
+    return loss / float(total), {name: g / total for name, g in found.items()}
 
 
 class Trainer:
@@ -383,6 +398,7 @@ class Trainer:
         self.m, self.s = {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.room = 0
+        self.space = np.empty((TRAIN_BATCH, TRAIN_WINDOW, 2 * WIDTH), np.float32)
 
     def add(self, sequences: list[np.ndarray]) -> None:
         windows, targets, real, _ = cut_windows(sequences, self.model.end, TRAIN_WINDOW, TRAIN_WINDOW)
@@ -402,7 +418,7 @@ class Trainer:
         return self.w
 
     def _step(self, windows: np.ndarray, goals: np.ndarray) -> None:
-        _, g = gradients(self.w, self.model.direct.take(windows, axis=0), self.model.groups.take(windows), goals)
+        _, g = gradients(self.w, self.model.direct.take(windows, axis=0), self.model.groups.take(windows), goals, self.space)
         self.steps += 1
         self.windows += len(windows)
         rate = self.rate * min(1.0, self.steps / self.warm) / np.sqrt(1 + self.steps / 400)

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -217,6 +218,45 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
             assert (values[0] - values[1]) / 2e-2 == pytest.approx(float(g[name][at]), abs=2e-3, rel=0.03), name
 
 
+def _random_batch(n):
+    rng = np.random.default_rng(1)
+    model = lm.assemble(rng.integers(1, 9, 400), np.arange(400) % lm.CLASSES, (np.arange(400) % lm.GROUPS).astype(np.uint8), np.zeros((400, lm.GROUPS), np.float32), rng.random((400, lm.CLASSES)).astype(np.float32))
+    windows, goals = rng.integers(0, 400, (n, lm.TRAIN_WINDOW)), rng.integers(-1, lm.CLASSES, (n, lm.TRAIN_WINDOW))
+    return model, model.direct[windows], model.groups[windows], goals
+
+
+def test_a_batch_is_trained_in_parts_that_a_cache_holds(monkeypatch):
+    """Working memory of a batch is that of a few windows and its sums; the parts add up to the whole batch."""
+    model, direct, groups, goals = _random_batch(lm.TRAIN_BATCH)
+    tracemalloc.start()
+    loss, found = lm.gradients(model.weights, direct, groups, goals)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+    monkeypatch.setattr(lm, "GRADIENT_WINDOWS", lm.TRAIN_BATCH)
+    whole_loss, whole = lm.gradients(model.weights, direct, groups, goals)
+    assert loss == pytest.approx(whole_loss, rel=1e-6)
+    for name, g in found.items():
+        assert np.allclose(g, whole[name], rtol=1e-4, atol=1e-5 * np.abs(whole[name]).max()), name
+
+
+@pytest.mark.parametrize("window, step", [(lm.WINDOW, lm.STEP), (lm.TRAIN_WINDOW, lm.TRAIN_WINDOW), (5, 3)])
+def test_windows_are_those_of_each_sequence_alone(window, step):
+    rng, end = np.random.default_rng(2), 99
+    sequences = [np.append(rng.integers(0, 90, n), end).astype(np.int32) for n in (0, 1, step - 1, step, 3 * step - 2, 70)]
+    windows, targets, real, first = lm.cut_windows(sequences, end, window, step)
+    at = 0
+    for ids, begin in zip(sequences, first):
+        assert begin == at
+        line = [end] * (window - step + 1) + ids.tolist() + [end] * step
+        for a in range(0, len(ids), step):
+            goal = ids[a : a + step].tolist()
+            assert windows[at].tolist() == line[a : a + window] and targets[at].tolist() == goal + [end] * (step - len(goal))
+            assert real[at].tolist() == [True] * len(goal) + [False] * (step - len(goal))
+            at += 1
+    assert at == len(windows)
+
+
 def _counts(sequences, end):
     """Counts of ids, neighbours' and joint ones, by loops."""
     total = np.bincount(np.concatenate(sequences), minlength=end + 1)
